@@ -76,11 +76,11 @@ def full_outer_year_compare(spark, folder):
 @query("join_scalar_total", """
 SELECT target, count(DISTINCT site_id) AS n_distinct,
   R(count(DISTINCT site_id) * CAST(100 AS DOUBLE) / (SELECT count(DISTINCT site_id) FROM m)) AS share_pct
-FROM m WHERE NOT below_loq AND value > 9000000 GROUP BY target""")
+FROM m WHERE NOT below_loq GROUP BY target""")
 def join_scalar_total(spark, folder):
     m = meas(spark, folder)
-    high = m.withColumn("target", F.when(~col("below_loq") & (col("value") > 9000000), col("target")))
-    return op.join_scalar_total(high, "target", "site_id").dropna(subset=["target"])
+    quantified = m.withColumn("target", F.when(~col("below_loq"), col("target")))
+    return op.join_scalar_total(quantified, "target", "site_id").dropna(subset=["target"])
 
 
 @query("dedupe_rows", "SELECT DISTINCT site_id, target, uom, status FROM m")

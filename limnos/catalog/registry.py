@@ -68,8 +68,8 @@ def with_views(sql: str) -> str:
 
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
-    """Round doubles for comparison between engines."""
-    return df.select(*[F.round(col(f.name), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType) else col(f.name)
+    """Round doubles for comparison between engines; adding zero turns -0.0 into 0.0."""
+    return df.select(*[(F.round(col(f.name), digits) + F.lit(0.0)).alias(f.name) if isinstance(f.dataType, T.DoubleType) else col(f.name)
                        for f in df.schema.fields])
 
 
@@ -100,7 +100,7 @@ def _expand_rounding(sql: str, digits: int) -> str:
             while depth:
                 depth += {"(": 1, ")": -1}.get(sql[j], 0)
                 j += 1
-            out.append(f"round(CAST({_expand_rounding(sql[i + 2:j - 1], digits)} AS DOUBLE), {digits})")
+            out.append(f"(round(CAST({_expand_rounding(sql[i + 2:j - 1], digits)} AS DOUBLE), {digits}) + 0e0)")
             i = j
         else:
             out.append(sql[i])

@@ -90,12 +90,14 @@ def density_curve(df: DataFrame, column: str, by: Sequence[str], grid: int = 128
            .agg((quantile_of(column, 0.75) - quantile_of(column, 0.25)).alias("__iqr")))
     spread = rows.groupBy(*by).agg(F.stddev_samp("__v").alias("__sd"), F.count(F.lit(1)).alias("n"))
     ready = (curves.join(spread, list(by)).join(iqr, list(by))
-             .withColumn("bandwidth", 0.9 * F.least("__sd", F.col("__iqr") / 1.34) * F.pow(F.col("n"), F.lit(-0.2))))
+             .withColumn("bandwidth", 0.9 * F.least("__sd", F.col("__iqr") / 1.34) * F.pow(F.col("n"), F.lit(-0.2)))
+             .withColumn("__lo", lo).withColumn("__range", hi - lo))
     points = ready.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
-        "x", lo + F.col("point") * (hi - lo) / float(grid - 1))
+        "x", F.col("__lo") + F.col("point") * F.col("__range") / float(grid - 1))
 
     def kernel(total: Column, b: Column) -> Column:
-        z = (F.col("x") - lo - (b.getField("__bin") + 0.5) * width) / F.col("bandwidth")
+        centre = F.col("__lo") + (b.getField("__bin") + 0.5) * F.col("__range") / float(bins)
+        z = (F.col("x") - centre) / F.col("bandwidth")
         return total + b.getField("__c") * F.exp(-z * z / 2.0)
 
     return points.select(
