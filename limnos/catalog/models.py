@@ -1,0 +1,203 @@
+"""2.14 Distances, clustering, projection, classification and their evaluation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from limnos.catalog.registry import TARGETS, merged, query
+from limnos.functions.nulls import col
+from limnos.operators import evaluation as ev
+from limnos.operators import models as ml
+from limnos.operators import neighbours as nn
+from limnos.operators.features import scale_sample
+from limnos.operators.reshape import site_target_matrix
+from limnos.sources.driver_tables import table
+
+EMBEDDING_SIZE = 64
+EMBEDDING = [f"x{i}" for i in range(EMBEDDING_SIZE)]
+
+
+def _matrix(spark, folder, condition: str = "true"):
+    """Complete site rows in millions; columns are the targets."""
+    wide = site_target_matrix(merged(spark, folder).where(condition), TARGETS, ["site_id", "wb_code"])
+    return wide.dropna(subset=TARGETS).select("site_id", "wb_code", *[(col(t) / 1e6).alias(t) for t in TARGETS])
+
+
+def _sql_matrix(name: str, condition: str = "true") -> str:
+    cells = ", ".join(f"avg(value) FILTER (target = '{t}') / 1e6 AS {t}" for t in TARGETS)
+    complete = " AND ".join(f"{t} IS NOT NULL" for t in TARGETS)
+    return f"{name} AS (SELECT * FROM (SELECT site_id, wb_code, {cells} FROM me WHERE {condition} GROUP BY ALL) WHERE {complete})"
+
+
+def _sql_distance(a: str, b: str) -> str:
+    return "sqrt(" + " + ".join(f"({a}.{t} - {b}.{t}) ** 2" for t in TARGETS) + ")"
+
+
+def _embeddings(spark, folder):
+    return ml.expand_array(table(spark, folder, "embeddings"), "embedding", EMBEDDING_SIZE)
+
+
+EARLY, LATE = "year <= 1997", "year >= 1998"
+
+
+@query("pairwise_distance", f"""
+WITH {_sql_matrix('w')}, z AS (SELECT site_id, {", ".join(f"({t} - avg({t}) OVER ()) / stddev_samp({t}) OVER () AS {t}" for t in TARGETS)} FROM w),
+d AS (SELECT a.site_id AS id_a, b.site_id AS id_b, {_sql_distance('a', 'b')} AS distance FROM z a JOIN z b ON a.site_id <> b.site_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY id_a ORDER BY distance, id_b) AS rank FROM d)
+SELECT id_a, id_b, R(distance) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5""")
+def pairwise_distance(spark, folder):
+    return nn.nearest_distances(scale_sample(_matrix(spark, folder), TARGETS), "site_id", TARGETS, 5)
+
+
+@query("classify_knn", f"""
+WITH {_sql_matrix('a', EARLY)}, {_sql_matrix('q', LATE)},
+d AS (SELECT q.site_id, q.wb_code AS actual, a.wb_code AS vote, row_number() OVER (PARTITION BY q.site_id
+  ORDER BY {_sql_distance('a', 'q')}, a.site_id) AS r FROM q, a),
+v AS (SELECT site_id, actual, vote, count(*) AS n FROM d WHERE r <= 5 GROUP BY ALL)
+SELECT site_id, actual, vote AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY n DESC, vote) = 1""")
+def classify_knn(spark, folder):
+    return nn.classify_knn(_matrix(spark, folder, EARLY), _matrix(spark, folder, LATE), "site_id", "wb_code", TARGETS, 5)
+
+
+@query("classify_knn_embeddings", """
+WITH e AS (SELECT *, row_number() OVER (PARTITION BY a.vec_id ORDER BY dist, b_id) AS r FROM (
+  SELECT a.vec_id, a.label AS actual, b.vec_id AS b_id, b.label AS vote, sqrt(list_sum([(x[1] - x[2]) ** 2 FOR x IN
+    list_zip(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))])) AS dist
+  FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id) a),
+v AS (SELECT vec_id, actual, vote, count(*) AS n FROM e WHERE r <= 5 GROUP BY ALL)
+SELECT vec_id, actual, vote AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, vote) = 1""")
+def classify_knn_embeddings(spark, folder):
+    """Leave-one-out vote over the raw vectors."""
+    rows = table(spark, folder, "embeddings").select(
+        "vec_id", "label", col("embedding").cast("array<double>").alias("features"))
+    train = rows.select(col("vec_id").alias("train_id"), col("label").alias("vote"), "features")
+    found = nn.nearest_neighbours(rows, train, 6, "vec_id", "train_id", carry=["vote"])
+    others = found.where("vec_id <> train_id")
+    votes = nn.keep_nearest(others, "vec_id", "train_id", 5)
+    return nn.majority(votes, "vec_id", "vote").join(
+        rows.select("vec_id", col("label").alias("actual")), "vec_id").select("vec_id", "actual", "predicted")
+
+
+@query("knn_tune")
+def knn_tune(spark, folder):
+    df = _matrix(spark, folder)
+    largest = 2 * int(df.count() ** 0.5)
+    return nn.knn_tune(df, "site_id", "wb_code", TARGETS, range(1, largest + 1))
+
+
+@query("kmeans")
+def kmeans(spark, folder):
+    return ml.kmeans(_embeddings(spark, folder), EMBEDDING, 10, starts=3).select("vec_id", "label", "cluster")
+
+
+@query("kmeans_sites")
+def kmeans_sites(spark, folder):
+    return ml.kmeans(_matrix(spark, folder), TARGETS, 2, starts=5).select("site_id", "wb_code", "cluster")
+
+
+@query("kmeans_sweep")
+def kmeans_sweep(spark, folder):
+    return ml.kmeans_sweep(_embeddings(spark, folder), EMBEDDING)
+
+
+@query("gmm_sweep")
+def gmm_sweep(spark, folder):
+    scores = ml.pca(_embeddings(spark, folder), EMBEDDING, 3)[0]
+    return ml.gmm_sweep(scores, ["PC1", "PC2", "PC3"], max_iter=20)
+
+
+@query("pca")
+def pca(spark, folder):
+    return ml.pca(_embeddings(spark, folder), EMBEDDING, 5)[1]
+
+
+@query("pca_scores")
+def pca_scores(spark, folder):
+    return ml.pca(_matrix(spark, folder), TARGETS, 3, scale=True)[0]
+
+
+@query("pca_loadings")
+def pca_loadings(spark, folder):
+    return ml.pca(_matrix(spark, folder), TARGETS, 3, scale=True)[2]
+
+
+@query("cluster_projection")
+def cluster_projection(spark, folder):
+    return ml.cluster_projection(_matrix(spark, folder), TARGETS, ["site_id", "wb_code"], 4, starts=3)
+
+
+def _split(spark, folder):
+    return _matrix(spark, folder, EARLY), _matrix(spark, folder, LATE)
+
+
+@query("classify_linear_svc")
+def classify_linear_svc(spark, folder):
+    return ml.classify_linear_svc(*_split(spark, folder), ["site_id"], "wb_code", TARGETS, max_iter=50)
+
+
+@query("classify_random_forest")
+def classify_random_forest(spark, folder):
+    return ml.classify_random_forest(*_split(spark, folder), ["site_id"], "wb_code", TARGETS)
+
+
+@query("classify_svc_rbf")
+def classify_svc_rbf(spark, folder):
+    return ml.classify_svc_rbf(*_split(spark, folder), ["site_id"], "wb_code", TARGETS, max_iter=30)
+
+
+_GIVEN = """pred AS (SELECT o_orderstatus AS actual,
+  CASE WHEN o_totalprice < 150000 THEN 'F' WHEN o_totalprice < 320000 THEN 'O' ELSE 'P' END AS predicted FROM orders)"""
+
+
+def _given(spark, folder):
+    price = col("o_totalprice")
+    return table(spark, folder, "orders").select(
+        col("o_orderstatus").alias("actual"),
+        F.when(price < 150000, "F").when(price < 320000, "O").otherwise("P").alias("predicted"))
+
+
+_CLASSES = """l AS (SELECT label, CAST(sum(s) AS BIGINT) AS support, CAST(sum(g) AS BIGINT) AS given, CAST(sum(h) AS BIGINT) AS hits FROM (
+  SELECT actual AS label, 1 AS s, 0 AS g, CASE WHEN actual = predicted THEN 1 ELSE 0 END AS h FROM pred
+  UNION ALL SELECT predicted, 0, 1, 0 FROM pred) GROUP BY label)"""
+
+
+@query("confusion_matrix", f"""
+WITH {_GIVEN} SELECT actual, count(*) FILTER (predicted = 'F') AS F, count(*) FILTER (predicted = 'O') AS O,
+  count(*) FILTER (predicted = 'P') AS P FROM pred GROUP BY actual""")
+def confusion_matrix(spark, folder):
+    return ev.confusion_matrix(_given(spark, folder), ["F", "O", "P"])
+
+
+@query("overall_statistics", f"""
+WITH {_GIVEN}, {_CLASSES}, t AS (SELECT sum(support) AS n, sum(hits) / CAST(sum(support) AS DOUBLE) AS po,
+  sum(CAST(support AS DOUBLE) * given) / (CAST(sum(support) AS DOUBLE) * sum(support)) AS pe FROM l)
+SELECT CAST(n AS BIGINT) AS n, R(po) AS accuracy, R((po - pe) / (1 - pe)) AS kappa FROM t""")
+def overall_statistics(spark, folder):
+    return ev.overall_statistics(_given(spark, folder))
+
+
+@query("class_statistics", f"""
+WITH {_GIVEN}, {_CLASSES}, n AS (SELECT count(*) AS n FROM pred)
+SELECT label, support, given, hits, R(hits / CAST(support AS DOUBLE)) AS sensitivity,
+  R((n - support - (given - hits)) / CAST(n - support AS DOUBLE)) AS specificity FROM l, n""")
+def class_statistics(spark, folder):
+    return ev.class_statistics(_given(spark, folder))
+
+
+@query("classification_report", f"""
+WITH {_GIVEN}, {_CLASSES}, f AS (SELECT label, support, hits, hits / CAST(given AS DOUBLE) AS p, hits / CAST(support AS DOUBLE) AS r,
+  2.0e0 * hits / (given + support) AS f1 FROM l)
+SELECT label, R(p) AS precision, R(r) AS recall, R(f1) AS f1, support FROM f
+UNION ALL SELECT 'accuracy', R(sum(hits) / CAST(sum(support) AS DOUBLE)), R(sum(hits) / CAST(sum(support) AS DOUBLE)),
+  R(sum(hits) / CAST(sum(support) AS DOUBLE)), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', R(avg(p)), R(avg(r)), R(avg(f1)), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', R(sum(p * support) / sum(support)), R(sum(r * support) / sum(support)),
+  R(sum(f1 * support) / sum(support)), CAST(sum(support) AS BIGINT) FROM f""")
+def classification_report(spark, folder):
+    return ev.classification_report(_given(spark, folder))
+
+
+@query("classify_knn_report")
+def classify_knn_report(spark, folder):
+    pred = nn.classify_knn(*_split(spark, folder), "site_id", "wb_code", TARGETS, 5)
+    return ev.classification_report(pred)

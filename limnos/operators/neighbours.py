@@ -13,7 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from limnos.functions.draws import draw
+from limnos.functions.draws import draw, shuffled_position
 from limnos.functions.nulls import col
 
 MAX_PIVOTS = 128
@@ -105,15 +105,26 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int, query_id: s
                     train_id, *carry, "distance", "rank"))
 
 
+def keep_nearest(found: DataFrame, query_id: str, train_id: str, k: int) -> DataFrame:
+    """Rank the remaining neighbours of every query again and keep k of them."""
+    order = Window.partitionBy(query_id).orderBy("distance", train_id)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def nearest_distances(df: DataFrame, id_column: str, columns: Sequence[str], k: int) -> DataFrame:
     """Euclidean distances of every row to its k nearest other rows."""
     rows = df.select(id_column, feature_array(columns).alias("features"))
     found = nearest_neighbours(rows, rows, k + 1, id_column, id_column)
     mine = f"query_{id_column}"
     others = found.where(col(mine) != col(id_column))
-    order = Window.partitionBy(mine).orderBy("distance", id_column)
-    return (others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select(F.col(mine).alias("id_a"), F.col(id_column).alias("id_b"), "distance", "rank"))
+    return keep_nearest(others, mine, id_column, k).select(
+        F.col(mine).alias("id_a"), F.col(id_column).alias("id_b"), "distance", "rank")
+
+
+def majority(votes: DataFrame, query_id: str, vote: str) -> DataFrame:
+    """Most frequent vote per query; a tie goes to the smaller label."""
+    counts = votes.groupBy(query_id, vote).agg(F.count(F.lit(1)).alias("__votes"))
+    return counts.groupBy(query_id).agg(F.min_by(col(vote), F.struct(-F.col("__votes"), col(vote))).alias("predicted"))
 
 
 def classify_knn(train: DataFrame, test: DataFrame, id_column: str, label: str, columns: Sequence[str],
@@ -121,9 +132,7 @@ def classify_knn(train: DataFrame, test: DataFrame, id_column: str, label: str,
     """Majority vote of the k nearest training rows; a tied vote goes to the smaller label."""
     a = train.select(F.col(id_column).alias("train_id"), col(label), feature_array(columns).alias("features"))
     q = test.select(id_column, feature_array(columns).alias("features"))
-    votes = (nearest_neighbours(q, a, k, id_column, "train_id", carry=[label])
-             .groupBy(id_column, label).agg(F.count(F.lit(1)).alias("__votes")))
-    won = votes.groupBy(id_column).agg(F.min_by(col(label), F.struct(-F.col("__votes"), col(label))).alias("predicted"))
+    won = majority(nearest_neighbours(q, a, k, id_column, "train_id", carry=[label]), id_column, label)
     return test.select(id_column, F.col(label).alias("actual")).join(won, id_column, "left")
 
 
@@ -134,8 +143,6 @@ def knn_tune(df: DataFrame, id_column: str, label: str, columns: Sequence[str],
     Folds keep the label proportions. Running vote counts over the ranks give the prediction of every k:
     the most votes reached so far, the smaller label on a tie.
     """
-    from limnos.functions.draws import shuffled_position
-
     folded = (shuffled_position(df, [label], [id_column], seed, "__pos")
               .select(id_column, label, feature_array(columns).alias("features"),
                       F.pmod("__pos", F.lit(folds)).cast("int").alias("fold")))
