@@ -11,7 +11,6 @@ from collections.abc import Iterable, Sequence
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -21,6 +20,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from limnos.functions.nulls import col
 from limnos.operators.features import scale_sample
+from limnos.session import staged
+
+# An iteration reads every partition; small inputs should not pay for many of them.
+ROWS_PER_FIT_PARTITION = 50_000
 
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -34,6 +37,12 @@ def expand_array(df: DataFrame, column: str, size: int, prefix: str = "x") -> Da
                      *[col(column)[i].cast("double").alias(f"{prefix}{i}") for i in range(size)])
 
 
+def fit_input(df: DataFrame) -> DataFrame:
+    """Training rows computed once, cached, and in no more partitions than their number asks for."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    return cached.coalesce(max(1, math.ceil(cached.count() / ROWS_PER_FIT_PARTITION)))
+
+
 def kmeans_model(vectors: DataFrame, k: int, starts: int = 10, seed: int = 1, max_iter: int = 100) -> KMeansModel:
     """The best of several random starts, by within-cluster sum of squares."""
     best = None
@@ -46,7 +55,7 @@ def kmeans_model(vectors: DataFrame, k: int, starts: int = 10, seed: int = 1, ma
 
 def kmeans(df: DataFrame, columns: Sequence[str], k: int, starts: int = 10, seed: int = 1) -> DataFrame:
     """Rows with their cluster number, 0-based."""
-    vectors = assembled(df, columns).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = fit_input(assembled(df, columns))
     model = kmeans_model(vectors, k, starts, seed)
     return model.setPredictionCol("cluster").transform(vectors).drop("features")
 
@@ -54,20 +63,19 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int, starts: int = 10, seed
 def kmeans_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2, 15), starts: int = 1,
                  seed: int = 1) -> DataFrame:
     """Silhouette and within-cluster sum of squares per number of clusters."""
-    vectors = assembled(df, columns).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = fit_input(assembled(df, columns).select("features"))
     score = ClusteringEvaluator(predictionCol="prediction", featuresCol="features")
     rows = []
     for k in ks:
         model = kmeans_model(vectors, k, starts, seed)
         rows.append((k, float(score.evaluate(model.transform(vectors))), float(model.summary.trainingCost)))
-    vectors.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, within_ss double")
 
 
 def gmm_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2, 15), seed: int = 1,
               max_iter: int = 100) -> DataFrame:
     """Full-covariance mixtures: log-likelihood, AIC, BIC and silhouette; the least BIC is marked best."""
-    vectors = assembled(df, columns).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = fit_input(assembled(df, columns).select("features"))
     n, d = vectors.count(), len(columns)
     score = ClusteringEvaluator(predictionCol="prediction", featuresCol="features")
     rows = []
@@ -79,7 +87,6 @@ def gmm_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2
         apart = labelled.select("prediction").distinct().count() > 1
         rows.append((k, ll, 2.0 * free - 2.0 * ll, free * math.log(n) - 2.0 * ll,
                      float(score.evaluate(labelled)) if apart else None))
-    vectors.unpersist()
     least = min(r[3] for r in rows)
     return df.sparkSession.createDataFrame([(*r, r[3] == least) for r in rows],
                                            "k int, log_likelihood double, aic double, bic double, silhouette double, best boolean")
@@ -96,7 +103,7 @@ def _centred(df: DataFrame, columns: Sequence[str], scale: bool) -> DataFrame:
 
 def pca(df: DataFrame, columns: Sequence[str], k: int, scale: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores per row (PC1..PCk), explained-variance ratio per component, loadings per column."""
-    vectors = assembled(_centred(df, columns, scale), columns).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = fit_input(assembled(_centred(staged(df), columns, scale), columns))
     model = PCA(k=k, inputCol="features", outputCol="__pc").fit(vectors)
     keep = [c for c in df.columns if c not in columns]
     scores = (model.transform(vectors).withColumn("__pc", vector_to_array("__pc"))
@@ -112,7 +119,7 @@ def pca(df: DataFrame, columns: Sequence[str], k: int, scale: bool = False) -> t
 def cluster_projection(df: DataFrame, columns: Sequence[str], ids: Sequence[str], clusters: int, components: int = 3,
                        starts: int = 10, seed: int = 1, scale: bool = True) -> DataFrame:
     """Ids, cluster and first components of every row, in one pass over the same vectors."""
-    vectors = assembled(_centred(df, columns, scale), columns).persist(StorageLevel.MEMORY_AND_DISK)
+    vectors = fit_input(assembled(_centred(staged(df), columns, scale), columns))
     grouped = kmeans_model(vectors, clusters, starts, seed).setPredictionCol("cluster").transform(vectors)
     both = PCA(k=components, inputCol="features", outputCol="__pc").fit(vectors).transform(grouped)
     return (both.withColumn("__pc", vector_to_array("__pc"))
@@ -120,18 +127,18 @@ def cluster_projection(df: DataFrame, columns: Sequence[str], ids: Sequence[str]
 
 
 def _fit_and_predict(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, estimator) -> DataFrame:
+    train = staged(train)
     index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
-    ready = index.transform(train).persist(StorageLevel.MEMORY_AND_DISK)
-    model = estimator.fit(ready)
+    model = estimator.fit(fit_input(index.transform(train)))
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)
     return (names.transform(model.transform(test))
             .select(*ids, F.col(label).cast("string").alias("actual"), "predicted"))
 
 
 def classify_linear_svc(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, columns: Sequence[str],
-                        reg: float = 1e-3, max_iter: int = 100) -> DataFrame:
+                        reg: float = 1e-3, max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
     """Linear support vectors, one class against the rest (hinge loss)."""
-    svc = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), parallelism=4)
+    svc = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=tol), parallelism=4)
     return _fit_and_predict(assembled(train, columns), assembled(test, columns), ids, label, svc)
 
 
@@ -156,7 +163,7 @@ def fourier_features(columns: Sequence[str], gamma: float, size: int, seed: int)
 
 def classify_svc_rbf(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, columns: Sequence[str],
                      gamma: float | None = None, size: int = 200, seed: int = 1, reg: float = 1e-3,
-                     max_iter: int = 100) -> DataFrame:
+                     max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
     """Gaussian-kernel support vectors: random Fourier features, then the linear machine.
 
     The exact kernel machine is quadratic in the rows; this one is linear. Default gamma is
@@ -168,5 +175,5 @@ def classify_svc_rbf(train: DataFrame, test: DataFrame, ids: Sequence[str], labe
         gamma = 1.0 / (len(columns) * max(v.s - v.m * v.m, 1e-12))
     mapped = [df.dropna(subset=list(columns)).withColumn("features", array_to_vector(fourier_features(columns, gamma, size, seed)))
               for df in (train, test)]
-    svc = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter), parallelism=4)
+    svc = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=tol), parallelism=4)
     return _fit_and_predict(*mapped, ids, label, svc)

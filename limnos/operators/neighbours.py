@@ -3,117 +3,166 @@
 Training rows belong to the cell of their nearest pivot. The triangle inequality bounds, for every
 query, how far its k-th neighbour can be, so a query is sent only to the cells that can hold a
 neighbour. Copies of a vector are collapsed first on both sides, and large cells are split, so
-neither a hot vector nor a hot cell lands in one task. Nothing is approximated or capped.
+neither a hot vector nor a hot cell lands in one task. Rows meet in blocks of bounded size, and only
+the k best of a block leave it. Nothing is approximated or capped.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limnos.functions.draws import draw, shuffled_position
 from limnos.functions.nulls import col
+from limnos.session import staged
 
 MAX_PIVOTS = 128
-ROWS_PER_CELL_PART = 20_000
-
-
-def distance(a: Column, b: Column) -> Column:
-    """Euclidean distance of two arrays."""
-    squares = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, s: total + s))
+TRAIN_BLOCK = 4096
+QUERY_BLOCK = 1024
 
 
 def feature_array(columns: Sequence[str]) -> Column:
     return F.array(*[col(c).cast("double") for c in columns])
 
 
+def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of n vectors to p pivots, n x p."""
+    return np.stack([np.sqrt(((vectors - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
+
+
+def _cell_udf(pivots: np.ndarray):
+    """Nearest pivot of a vector, and the distance to it."""
+    @F.pandas_udf("cell int, gap double")
+    def cell(vectors: pd.Series) -> pd.DataFrame:
+        gaps = _gaps(np.stack(vectors.to_list()), pivots)
+        nearest = gaps.argmin(axis=1)
+        return pd.DataFrame({"cell": nearest.astype("int32"), "gap": gaps[np.arange(len(gaps)), nearest]})
+    return cell
+
+
+def _reachable_udf(pivots: np.ndarray, sure: np.ndarray, held: np.ndarray, radius: np.ndarray, k: int):
+    """Cells that can hold one of the k nearest rows of a vector.
+
+    Taking cells by their farthest possible row until they surely hold k rows bounds the k-th distance.
+    """
+    @F.pandas_udf("array<int>")
+    def reachable(vectors: pd.Series) -> pd.Series:
+        gaps = _gaps(np.stack(vectors.to_list()), pivots)
+        farthest = gaps + radius
+        order = farthest.argsort(axis=1)
+        enough = sure[order].cumsum(axis=1) >= k
+        last = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
+        rows = np.arange(len(gaps))
+        bound = np.where(enough.any(axis=1), farthest[rows, order[rows, last]], np.inf)
+        inside = (gaps - radius <= (bound * (1 + 1e-9) + 1e-9)[:, None]) & (held > 0)
+        return pd.Series([np.flatnonzero(r).astype("int32") for r in inside])
+    return reachable
+
+
+def _best_of_blocks(k: int, size: int, carry: Sequence[str], apart: bool):
+    """The k best pairs of every query in a pair of blocks."""
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for b in batch.itertuples(index=False):
+                train = np.asarray(b.t_features, dtype=float).reshape(-1, size)
+                asked = np.asarray(b.q_features, dtype=float).reshape(-1, size)
+                ids, out = np.asarray(b.t_id), []
+                for i, vector in enumerate(asked):
+                    gap = np.sqrt(((train - vector) ** 2).sum(axis=1))
+                    if apart:
+                        gap[np.asarray(b.t_apart) == b.q_apart[i]] = np.inf
+                    near = np.flatnonzero(gap <= np.partition(gap, min(k, len(gap)) - 1)[min(k, len(gap)) - 1])
+                    near = near[np.isfinite(gap[near])]
+                    near = near[np.lexsort((ids[near], gap[near]))][:k]
+                    found = {"__q": [b.q_id[i]] * len(near), "train": ids[near], "distance": gap[near]}
+                    for c in range(len(carry)):
+                        found[f"carry_{c}"] = np.asarray(getattr(b, f"c_{c}"))[near]
+                    out.append(pd.DataFrame(found))
+                yield pd.concat(out, ignore_index=True)
+    return best
+
+
 def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int, query_id: str, train_id: str,
                        features: str = "features", carry: Sequence[str] = (), apart: str | None = None) -> DataFrame:
     """Rows (query_id, train_id, carried columns, distance, rank 1..k); ties go to the smaller id.
 
-    ``apart`` names a column both sides hold: rows with the same value are never neighbours.
+    ``features`` are arrays of doubles without nulls. ``apart`` names a column both sides hold: rows
+    with the same value are never neighbours. When both ids have one name, the query's comes out as
+    ``query_<name>``.
     """
     classes = [apart] if apart else []
     # Of equal vectors only the k smallest ids can be neighbours; the limit applies before the shuffle.
     copies = Window.partitionBy(features, *classes).orderBy(train_id)
-    points = (train.select(train_id, features, *dict.fromkeys([*carry, *classes]))
-              .withColumn("__r", F.row_number().over(copies)).where(F.col("__r") <= k).drop("__r"))
-    asked = queries.select(features, *classes).distinct().withColumn("__q", F.struct(features, *classes))
+    points = staged(train.select(train_id, features, *dict.fromkeys([*carry, *classes]))
+                    .withColumn("__r", F.row_number().over(copies)).where(F.col("__r") <= k).drop("__r"))
+    queries = staged(queries.select(query_id, features, *classes))
+    asked = queries.groupBy(features, *classes).agg(F.min(query_id).alias("__q"))
 
-    n = train.count()
+    n = points.count()
     if n == 0:
         raise ValueError("the training set is empty")
     wanted = max(8, min(MAX_PIVOTS, int(math.sqrt(n))))
-    vectors = train.select(features).distinct()
-    pivots = [list(r[0]) for r in vectors.orderBy(draw(0, F.array_join(F.transform(features, lambda x: x.cast("string")), ",")))
-              .limit(wanted).collect()]
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in p]) for p in pivots])
-
-    def to_centres(vector: Column) -> Column:
-        return F.transform(centres, lambda c: distance(c, vector))
-
-    reach = F.array_min("__reach")
-    points = (points.withColumn("__reach", to_centres(col(features)))
-              .withColumn("__radius", reach)
-              .withColumn("__cell", (F.array_position("__reach", reach) - 1).cast("int")).drop("__reach"))
+    by_draw = draw(0, F.array_join(F.transform(features, lambda x: x.cast("string")), ","))
+    pivots = np.array([r[0] for r in points.select(features).distinct().orderBy(by_draw).limit(wanted).collect()], dtype=float)
+    size = pivots.shape[1]
+
+    points = staged(points.withColumn("__at", _cell_udf(pivots)(col(features))).withColumn("__cell", F.col("__at.cell")))
+    held, largest, radius = (np.zeros(len(pivots)) for _ in range(3))
     # At most one row per pivot and class of ``apart``.
-    cells = {i: [0, 0, 0.0] for i in range(len(pivots))}
-    for row in points.groupBy("__cell", *classes).agg(F.count(F.lit(1)).alias("n"), F.max("__radius").alias("r")).collect():
-        cell = cells[row["__cell"]]
-        cell[0] += row["n"]
-        cell[1] = max(cell[1], row["n"])
-        cell[2] = max(cell[2], row["r"])
-    parts = {i: max(1, math.ceil(c[0] / ROWS_PER_CELL_PART)) for i, c in cells.items()}
-    # With ``apart`` the largest class of a cell may be excluded, so it does not count for the bound.
-    sure = [c[0] - (c[1] if apart else 0) for c in cells.values()]
-    info = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(c[0]).cast("long").alias("n"),
-                              F.lit(s).cast("long").alias("sure"),
-                              F.lit(float(c[2])).alias("radius"), F.lit(parts[i]).alias("parts"))
-                     for (i, c), s in zip(cells.items(), sure)])
-
-    near = F.zip_with(info, F.col("__reach"), lambda c, d: F.struct(
-        (d + c["radius"]).alias("upper"), (d - c["radius"]).alias("lower"), c["sure"].alias("sure"),
-        c["cell"].alias("cell"), c["n"].alias("n"), c["parts"].alias("parts")))
-    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(float("inf")).alias("bound"))
-    bound = F.aggregate(
-        F.array_sort("__near"), start,
-        lambda acc, c: F.struct(
-            (acc["seen"] + c["sure"]).alias("seen"),
-            F.when((acc["seen"] < k) & (acc["seen"] + c["sure"] >= k), c["upper"]).otherwise(acc["bound"]).alias("bound")),
-    )["bound"]
-    sent = (asked.withColumn("__reach", to_centres(col(features))).withColumn("__near", near)
-            .withColumn("__bound", bound * (1 + 1e-9) + 1e-9)
-            .select("__q", F.explode(F.filter(
-                "__near", lambda c: (c["n"] > 0) & (c["lower"] <= F.col("__bound")))).alias("c"))
-            .select("__q", F.col("c.cell").alias("__cell"),
-                    F.explode(F.sequence(F.lit(0), F.col("c.parts") - 1)).alias("__part")))
-    split = F.element_at(F.array(*[F.lit(parts[i]) for i in range(len(pivots))]), F.col("__cell") + 1)
-    placed = points.withColumn("__part", F.pmod(F.xxhash64(train_id), split).cast("int")).drop("__radius")
-    pairs = sent.join(placed.withColumnRenamed(features, "__vector"), ["__cell", "__part"])
-    if apart:
-        pairs = pairs.where(F.col("__q").getField(apart) != col(apart))
-    by_distance = Window.partitionBy("__q").orderBy("distance", train_id)
-    ranked = (pairs.withColumn("distance", distance(F.col("__vector"), F.col("__q").getField(features)))
-              .select("__q", train_id, *carry, "distance")
-              .withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= k))
-    named = queries.select(F.col(query_id).alias("__id"), F.struct(features, *classes).alias("__q"))
-    return (named.join(ranked, "__q")
-            .select(F.col("__id").alias(query_id if query_id != train_id else f"query_{query_id}"),
-                    train_id, *carry, "distance", "rank"))
+    for r in points.groupBy("__cell", *classes).agg(F.count(F.lit(1)).alias("n"), F.max("__at.gap").alias("gap")).collect():
+        held[r["__cell"]] += r["n"]
+        largest[r["__cell"]] = max(largest[r["__cell"]], r["n"])
+        radius[r["__cell"]] = max(radius[r["__cell"]], r["gap"])
+    # A cell's largest class may be the excluded one, so it does not count for the bound.
+    sure = held - largest if apart else held
+
+    sent = staged(asked.withColumn("__cell", F.explode(_reachable_udf(pivots, sure, held, radius, k)(col(features)))))
+    arrived = {r["__cell"]: r["n"] for r in sent.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    def parts(counts: dict[int, float], block: int) -> Column:
+        split = [max(1, math.ceil(counts.get(i, 0) / block)) for i in range(len(pivots))]
+        return F.element_at(F.lit(split), F.col("__cell") + 1)
+
+    train_parts = parts(dict(enumerate(held)), TRAIN_BLOCK)
+    query_blocks = (sent.withColumn("__slice", F.pmod(F.xxhash64("__q"), parts(arrived, QUERY_BLOCK)))
+                    .groupBy("__cell", "__slice")
+                    .agg(F.collect_list(F.struct("__q", features, *classes)).alias("q"))
+                    .withColumn("__part", F.explode(F.sequence(F.lit(0), train_parts - 1))))
+    train_blocks = (points.withColumn("__part", F.pmod(F.xxhash64(train_id), train_parts).cast("int"))
+                    .groupBy("__cell", "__part")
+                    .agg(F.collect_list(F.struct(train_id, features, *dict.fromkeys([*carry, *classes]))).alias("t")))
+    pairs = query_blocks.join(train_blocks, ["__cell", "__part"]).select(
+        F.col("q.__q").alias("q_id"), F.flatten(F.col("q").getField(features)).alias("q_features"),
+        F.col("t").getField(train_id).alias("t_id"), F.flatten(F.col("t").getField(features)).alias("t_features"),
+        *[F.col("t").getField(c).alias(f"c_{i}") for i, c in enumerate(carry)],
+        *([F.col("q").getField(apart).alias("q_apart"), F.col("t").getField(apart).alias("t_apart")] if apart else []))
+
+    def kind(df: DataFrame, name: str) -> str:
+        return df.schema[name].dataType.simpleString()
+
+    schema = ", ".join([f"`__q` {kind(queries, query_id)}", f"train {kind(train, train_id)}", "distance double",
+                        *[f"carry_{i} {kind(train, c)}" for i, c in enumerate(carry)]])
+    best = pairs.mapInPandas(_best_of_blocks(k, size, carry, bool(apart)), schema)
+    ranked = keep_nearest(best, "__q", "train", k)
+    out_id = query_id if query_id != train_id else f"query_{query_id}"
+    named = queries.join(asked, [features, *classes]).select(col(query_id).alias(out_id), "__q")
+    return named.join(ranked, "__q").select(out_id, F.col("train").alias(train_id),
+                                            *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)], "distance", "rank")
 
 
 def keep_nearest(found: DataFrame, query_id: str, train_id: str, k: int) -> DataFrame:
-    """Rank the remaining neighbours of every query again and keep k of them."""
+    """Rank the candidates of every query and keep k of them."""
     order = Window.partitionBy(query_id).orderBy("distance", train_id)
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def nearest_distances(df: DataFrame, id_column: str, columns: Sequence[str], k: int) -> DataFrame:
     """Euclidean distances of every row to its k nearest other rows."""
-    rows = df.select(id_column, feature_array(columns).alias("features"))
+    rows = df.dropna(subset=list(columns)).select(id_column, feature_array(columns).alias("features"))
     found = nearest_neighbours(rows, rows, k + 1, id_column, id_column)
     mine = f"query_{id_column}"
     others = found.where(col(mine) != col(id_column))
@@ -130,9 +179,10 @@ def majority(votes: DataFrame, query_id: str, vote: str) -> DataFrame:
 def classify_knn(train: DataFrame, test: DataFrame, id_column: str, label: str, columns: Sequence[str],
                  k: int = 5) -> DataFrame:
     """Majority vote of the k nearest training rows; a tied vote goes to the smaller label."""
+    train, test = train.dropna(subset=list(columns)), test.dropna(subset=list(columns))
     a = train.select(F.col(id_column).alias("train_id"), col(label), feature_array(columns).alias("features"))
-    q = test.select(id_column, feature_array(columns).alias("features"))
-    won = majority(nearest_neighbours(q, a, k, id_column, "train_id", carry=[label]), id_column, label)
+    test = staged(test.select(id_column, label, feature_array(columns).alias("features")))
+    won = majority(nearest_neighbours(test, a, k, id_column, "train_id", carry=[label]), id_column, label)
     return test.select(id_column, F.col(label).alias("actual")).join(won, id_column, "left")
 
 
@@ -143,19 +193,20 @@ def knn_tune(df: DataFrame, id_column: str, label: str, columns: Sequence[str],
     Folds keep the label proportions. Running vote counts over the ranks give the prediction of every k:
     the most votes reached so far, the smaller label on a tie.
     """
-    folded = (shuffled_position(df, [label], [id_column], seed, "__pos")
-              .select(id_column, label, feature_array(columns).alias("features"),
-                      F.pmod("__pos", F.lit(folds)).cast("int").alias("fold")))
+    complete = df.dropna(subset=[label, *columns])
+    folded = staged(shuffled_position(complete, [label], [id_column], seed, "__pos")
+                    .select(id_column, label, feature_array(columns).alias("features"),
+                            F.pmod("__pos", F.lit(folds)).cast("int").alias("fold")))
     train = folded.select(F.col(id_column).alias("train_id"), F.col(label).alias("vote"), "features", "fold")
     found = nearest_neighbours(folded, train, max(ks), id_column, "train_id", carry=["vote"], apart="fold")
-    labels = [r[0] for r in df.select(label).where(col(label).isNotNull()).distinct().orderBy(label).collect()]
+    labels = [r[0] for r in folded.select(label).distinct().orderBy(label).collect()]
     place = F.array_position(F.lit(labels), F.col("vote")).cast("int")
     running = (found.withColumn("__votes", F.row_number().over(Window.partitionBy(id_column, "vote").orderBy("rank")))
-               .withColumn("__best", F.max(F.struct("__votes", -place)).over(
+               .withColumn("__best", F.max(F.struct("__votes", (-place).alias("place"))).over(
                    Window.partitionBy(id_column).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
                .where(F.col("rank").isin([int(x) for x in ks]))
                .select(id_column, F.col("rank").alias("k"),
-                       F.element_at(F.lit(labels), -F.col("__best.col2")).alias("predicted")))
+                       F.element_at(F.lit(labels), -F.col("__best.place")).alias("predicted")))
     scored = (running.join(folded.select(id_column, label, "fold"), id_column)
               .groupBy("k", "fold").agg(F.avg((col(label) == F.col("predicted")).cast("double")).alias("a")))
     return (scored.groupBy("k").agg(F.avg("a").alias("accuracy"), F.stddev_samp("a").alias("accuracy_sd"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app_name: str = "limnos") -> SparkSession:
@@ -39,3 +39,13 @@ def shared_folder(spark: SparkSession, *parts: str) -> str:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of slices a hot group is cut into: as many as a shuffle has partitions."""
     return max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1024))
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """Write a result that several later steps read to the shared folder, and go on from the table.
+
+    The steps before it run once, and a lost executor does not bring them back.
+    """
+    path = shared_folder(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
