@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from limnos.functions.nulls import col
 from limnos.operators.aggregates import aggregate_stats
 from limnos.plans.europe import merge_measurements
+from limnos.session import shared_folder
 from limnos.sources import driver_tables as tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -112,8 +114,17 @@ def meas(spark: SparkSession, folder: str) -> DataFrame:
     return tables.measurements(spark, folder)
 
 
+@lru_cache(maxsize=64)
+def _site_table(application: str, folder: str) -> str:
+    spark = SparkSession.getActiveSession()
+    path = shared_folder(spark, "sites")
+    tables.sites(spark, folder).write.parquet(path)
+    return path
+
+
 def sites(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.sites(spark, folder)
+    """Site metadata as a table of known size, derived once per session."""
+    return spark.read.parquet(_site_table(spark.sparkContext.applicationId, folder))
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:

@@ -77,6 +77,21 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
             .drop("n_equal", "n_below", "__order"))
 
 
+def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, out: str = "rank") -> DataFrame:
+    """The first k rows of every group, numbered from 1.
+
+    Up to 1000 the optimizer limits the rows of a group before the shuffle. Beyond that a hot group is
+    first thinned out in salted parts.
+    """
+    number = F.row_number()
+    if k > 1000:
+        salt = F.pmod(F.xxhash64(*[col(c) for c in order]), F.lit(shuffle_width(df.sparkSession)))
+        part = Window.partitionBy(*keys, "__salt").orderBy(*order)
+        df = (df.withColumn("__salt", salt).withColumn(out, number.over(part)).where(F.col(out) <= k)
+              .drop("__salt", out))
+    return df.withColumn(out, number.over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= k)
+
+
 def value_at(value: str, index: Column) -> Column:
     """Aggregate over ranked rows: the value at a zero-based index of the ordered group."""
     inside = (F.col("n_below") <= index) & (index < F.col("n_below") + F.col("n_equal"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limnos.functions.nulls import (col, distinct_with_null, keys_not_null, mean_if_complete, one_row,
                                     percent, ratio, stddev_if_complete)
 from limnos.functions.ranks import quantiles, ranked_values, value_at
+from limnos.session import staged
 
 
 def aggregate_stats(meas: DataFrame, groups: Sequence[str], value: str = "value",
@@ -201,11 +202,11 @@ def tukey_five_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFr
 def grouped_mutate(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Attach group mean, sd and size to every row.
 
-    Aggregated first and joined back: the big side is not sorted per group in one task, as a window
-    would do, and a hot group is split by the join.
+    Aggregated first and joined back: no group is sorted in one task, as a window would do. Rows stay
+    where they are if the statistics are small; else the join splits a hot group.
     """
-    stats = df.groupBy(*keys).agg(F.avg(col(value)).alias("group_mean"), F.stddev_samp(col(value)).alias("group_sd"),
-                                  F.count(col(value)).alias("group_n"))
+    stats = staged(df.groupBy(*keys).agg(F.avg(col(value)).alias("group_mean"), F.stddev_samp(col(value)).alias("group_sd"),
+                                         F.count(col(value)).alias("group_n")))
     return df.join(stats, list(keys))
 
 
@@ -238,7 +239,7 @@ def frequent_targets(df: DataFrame, threshold: int, key: str = "target", flag: s
     """All quantified rows of the targets with more than ``threshold`` of them."""
     quantified = df.where(~col(flag))
     often = quantified.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > threshold)
-    return quantified.join(often.select(key), key, "left_semi")
+    return quantified.join(staged(often.select(key)), key, "left_semi")
 
 
 def counts_by_year(df: DataFrame, year: str = "year", by_count: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from limnos.functions.draws import uniform
 from limnos.functions.normal import normal_quantile
 from limnos.functions.nulls import col, one_row
 from limnos.functions.ranks import positions, quantile_of, ranked_values
+from limnos.operators.joins import semi_site_years
 
 
 def _as_number(df: DataFrame, column: str) -> Column:
@@ -138,7 +139,7 @@ def time_trace_panel(meas: DataFrame, pairs: DataFrame, target: str) -> DataFram
 
     The global sort is range-partitioned over site and date, so a hot site spreads over many tasks.
     """
-    rows = meas.where(col("target") == target).join(pairs.select("site_id", "year"), ["site_id", "year"], "left_semi")
+    rows = semi_site_years(meas, pairs, target)
     label = F.concat_ws(" ", F.lit(target), F.concat(F.lit("["), col("uom"), F.lit("]")), F.lit("at"),
                         col("site_id").cast("string"))
     return (rows.select("site_id", "sampled_on", "value", "depth", "uom", label.alias("panel"))

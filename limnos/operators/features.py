@@ -10,6 +10,7 @@ from limnos.functions.draws import draw, shuffled_position
 from limnos.functions.nulls import col, mean_if_complete, one_row, ratio, stddev_if_complete
 from limnos.operators.columns import composite_key
 from limnos.operators.reshape import pivot_fill_absent, pivot_values
+from limnos.session import staged
 
 
 def _column_stats(df: DataFrame, columns: Sequence[str], *measures) -> list[Column]:
@@ -179,6 +180,7 @@ def feature_approaches(meas: DataFrame, grain: str = "site", stats: Sequence[str
     ``impute``: ``zero``, ``mean`` (column mean) or ``drop`` (complete rows only).
     """
     wide = feature_table(meas, grain, stats, targets, na_rm, 0.0 if impute == "zero" else None)
+    wide = staged(wide)
     names = [c for c in wide.columns if c != "obs_id"]
     if impute == "mean":
         wide = impute_mean(wide, names)

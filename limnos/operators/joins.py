@@ -1,7 +1,8 @@
 """Joins and duplicate handling.
 
-No broadcast hints: the optimizer broadcasts a side whose size it knows, adaptive execution one
-whose size it has measured, and beyond that both split a skewed side of a sort-merge join.
+No broadcast hints: a key list that comes out of an aggregate is written first, so the optimizer knows
+its size and broadcasts it only if it is small. Beyond that adaptive execution splits a hot key of the
+sort-merge join.
 Duplicates are settled by aggregation, which combines before the shuffle, not by window sorts.
 """
 
@@ -12,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limnos.functions.nulls import col, keys_not_null, one_row, percent, ratio
+from limnos.session import staged
 
 
 def enrich_sites(meas: DataFrame, sites: DataFrame, key: str = "site_id") -> DataFrame:
@@ -35,7 +37,7 @@ def drop_ambiguous_keys(df: DataFrame, keys: Sequence[str], repeats: Column | No
     ``repeats`` is the aggregate that must not exceed 1; by default the row count.
     """
     repeats = F.count(F.lit(1)) if repeats is None else repeats
-    unclear = df.groupBy(*keys).agg(repeats.alias("__repeats")).where("__repeats > 1").drop("__repeats")
+    unclear = staged(df.groupBy(*keys).agg(repeats.alias("__repeats")).where("__repeats > 1").drop("__repeats"))
     right = unclear.toDF(*[f"__{k}" for k in keys])
     same = [col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     condition = same[0]
@@ -46,13 +48,13 @@ def drop_ambiguous_keys(df: DataFrame, keys: Sequence[str], repeats: Column | No
 
 def semi_site_years(meas: DataFrame, pairs: DataFrame, target: str) -> DataFrame:
     """Rows of a target whose (site, year) pair qualified."""
-    return meas.where(col("target") == target).join(pairs.select("site_id", "year"), ["site_id", "year"],
-                                                    "left_semi")
+    qualified = staged(pairs.select("site_id", "year").distinct())
+    return meas.where(col("target") == target).join(qualified, ["site_id", "year"], "left_semi")
 
 
 def semi_common_years(df: DataFrame, country: str) -> DataFrame:
     """Rows of the years in which the given country has data."""
-    years = df.where(col("country") == country).select("year").distinct()
+    years = staged(df.where(col("country") == country).select("year").distinct())
     return df.join(years, "year", "left_semi")
 
 
@@ -109,8 +111,8 @@ def priority_dedupe_sites(sites: DataFrame, key: str = "site_id", scheme: str =
 
 def duplicate_report(df: DataFrame, key: str, category: str) -> DataFrame:
     """Per category: rows overall, and rows and keys among the repeated keys."""
-    per_key = (keys_not_null(df, [key]).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-               .where("__n > 1").select(key))
+    per_key = staged(keys_not_null(df, [key]).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+                     .where("__n > 1").select(key))
     repeated = (df.join(per_key, key, "left_semi").groupBy(category)
                 .agg(F.count(F.lit(1)).alias("rows_repeated"), F.count_distinct(col(key)).alias("keys_repeated")))
     overall = df.groupBy(category).agg(F.count(F.lit(1)).alias("rows_total"))

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limnos.functions.draws import draw, shuffled_position
 from limnos.functions.nulls import col
+from limnos.functions.ranks import first_k
 from limnos.session import staged
 
 MAX_PIVOTS = 128
@@ -96,9 +97,8 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int, query_id: s
     """
     classes = [apart] if apart else []
     # Of equal vectors only the k smallest ids can be neighbours; the limit applies before the shuffle.
-    copies = Window.partitionBy(features, *classes).orderBy(train_id)
-    points = staged(train.select(train_id, features, *dict.fromkeys([*carry, *classes]))
-                    .withColumn("__r", F.row_number().over(copies)).where(F.col("__r") <= k).drop("__r"))
+    points = train.select(train_id, features, *dict.fromkeys([*carry, *classes]))
+    points = staged(first_k(points, [features, *classes], [train_id], k, "__r").drop("__r"))
     queries = staged(queries.select(query_id, features, *classes))
     asked = queries.groupBy(features, *classes).agg(F.min(query_id).alias("__q"))
 
@@ -156,8 +156,7 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int, query_id: s
 
 def keep_nearest(found: DataFrame, query_id: str, train_id: str, k: int) -> DataFrame:
     """Rank the candidates of every query and keep k of them."""
-    order = Window.partitionBy(query_id).orderBy("distance", train_id)
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return first_k(found.drop("rank"), [query_id], ["distance", train_id], k)
 
 
 def nearest_distances(df: DataFrame, id_column: str, columns: Sequence[str], k: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from limnos.functions.draws import draw
+from limnos.functions.draws import shuffled_position
 from limnos.functions.normal import (normal_quantile, normal_upper_tail, polynomial, student_quantile,
                                      student_two_sided_p)
 from limnos.functions.nulls import col, keys_not_null
@@ -50,12 +50,10 @@ def normality_shapiro(df: DataFrame, keys: Sequence[str], row_key: str, value: s
                       sample: int = SHAPIRO_SAMPLE) -> DataFrame:
     """Shapiro-Wilk W and p per group, on a repeatable random sample where the group is larger.
 
-    The row limit per group is applied before the shuffle, so no task sees more than the sample.
+    No task sees more of a group than the sample.
     """
-    by_draw = Window.partitionBy(*keys).orderBy("__draw", row_key)
-    drawn = (keys_not_null(df, keys).where(col(value).isNotNull()).select(*keys, value, row_key)
-             .withColumn("__draw", draw(seed, col(row_key)))
-             .withColumn("__row", F.row_number().over(by_draw)).where(F.col("__row") <= sample))
+    valued = keys_not_null(df, keys).where(col(value).isNotNull()).select(*keys, value, row_key)
+    drawn = shuffled_position(valued, keys, [row_key], seed, "__row").where(F.col("__row") < sample)
     in_group = Window.partitionBy(*keys)
     scores = (drawn.withColumn("n", F.count(F.lit(1)).over(in_group).cast("double"))
               .withColumn("__i", F.row_number().over(in_group.orderBy(value, row_key)))

@@ -8,6 +8,7 @@ from limnos.functions.nulls import col
 from limnos.operators.filters import filter_false_or_null, filter_thresholds
 from limnos.operators.joins import semi_known_sites, semi_site_years
 from limnos.operators.reshape import count_matrix, pivot_values
+from limnos.session import staged
 
 # Fixed value: the catch-all target left out of the traces.
 CATCH_ALL_TARGET = "Other chemical parameter"
@@ -16,7 +17,7 @@ CATCH_ALL_TARGET = "Other chemical parameter"
 def well_covered(rows: DataFrame, keys: list[str], at_least: int) -> DataFrame:
     """Rows of the targets that occur in at least so many key combinations."""
     cells = rows.select(*keys, "target").distinct().groupBy("target").agg(F.count(F.lit(1)).alias("__cells"))
-    return rows.join(cells.where(F.col("__cells") >= at_least).select("target"), "target", "left_semi")
+    return rows.join(staged(cells.where(F.col("__cells") >= at_least).select("target")), "target", "left_semi")
 
 
 def source_trace_rows(agg: DataFrame, sites: DataFrame, min_samples: int = 100, min_sites: int = 10,
@@ -26,7 +27,7 @@ def source_trace_rows(agg: DataFrame, sites: DataFrame, min_samples: int = 100,
         agg = agg.where(col("status") == "A")
     rows = semi_known_sites(agg, sites)
     rows = filter_false_or_null(rows, ["median_below_loq", "max_below_loq", "mean_below_loq"])
-    rows = rows.where(col("n") > min_samples).select("site_id", "target", "year", "n")
+    rows = staged(rows.where(col("n") > min_samples).select("site_id", "target", "year", "n"))
     return well_covered(rows, ["site_id"], min_sites)
 
 
@@ -43,7 +44,7 @@ def trace_rows(agg: DataFrame, keys: list[str], max_below_loq_pct: float, min_sa
                min_cells: int) -> DataFrame:
     """Long form of the selection from custom aggregates: keys, target and sample count."""
     rows = filter_thresholds(agg, max_below_loq_pct, min_samples).where(col("target") != CATCH_ALL_TARGET)
-    return well_covered(rows.select(*keys, "target", "n"), keys, min_cells)
+    return well_covered(staged(rows.select(*keys, "target", "n")), keys, min_cells)
 
 
 def find_time_traces(agg: DataFrame, agg_year: DataFrame, max_below_loq_pct: float = 30, min_samples: int = 300,

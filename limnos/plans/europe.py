@@ -10,6 +10,7 @@ from limnos.operators.columns import WATER_BODY_NAMES, derive_period, recode_cat
 from limnos.operators.features import (drop_small_classes, scale_population, stratified_split,
                                        targets_for_water_bodies, undersample)
 from limnos.operators.joins import priority_dedupe_sites
+from limnos.session import staged
 
 
 def merge_measurements(meas: DataFrame, sites: DataFrame) -> DataFrame:
@@ -46,9 +47,9 @@ def prep_water_body(agg_site: DataFrame, agg_wb: DataFrame, max_below_loq_pct: f
     chosen = [r.target for r in targets_for_water_bodies(agg_wb, max_below_loq_pct, min_samples, top).collect()]
     if not chosen:
         raise ValueError("no target passes the thresholds")
-    data = water_body_matrix(agg_site.where(col("target").isin(chosen)), chosen)
+    data = staged(water_body_matrix(agg_site.where(col("target").isin(chosen)), chosen))
     if min_sites:
         data = drop_small_classes(data, "wb_code", min_sites)
     if rebalance:
-        data = undersample(data, "wb_code", ["site_id"], seed)
+        data = staged(undersample(data, "wb_code", ["site_id"], seed))
     return stratified_split(data, "wb_code", ["site_id"], train, seed + 1)

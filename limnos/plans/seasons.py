@@ -8,6 +8,7 @@ from limnos.operators.aggregates import common_to_all_groups, recap_sampling, to
 from limnos.operators.columns import SEASON_LETTERS, recode_categories
 from limnos.operators.joins import first_per_key
 from limnos.operators.reshape import pivot_fill_absent, pivot_multi, pivot_values
+from limnos.session import staged
 
 MEASURES = ("mean", "sd", "n", "below_loq_sum", "below_loq_pct")
 SITE_KEYS = ("site_id", "season", "lat", "lon", "country", "rbd")
@@ -16,11 +17,11 @@ SITE_KEYS = ("site_id", "season", "lat", "lon", "country", "rbd")
 def season_table(agg: DataFrame, sites: DataFrame, k: int = 10) -> DataFrame:
     """Season aggregates of the k most widespread targets in the countries common to all target-season groups."""
     rows = agg.join(sites.distinct(), "site_id", "left").dropna(subset=["lat", "lon", "rbd"]).distinct()
-    rows = recode_categories(rows, "season", SEASON_LETTERS)
+    rows = staged(recode_categories(rows, "season", SEASON_LETTERS))
     rows = top_k_targets(rows, k, distinct="site_id")
-    rows = first_per_key(rows, ["site_id", "target", "season"], ["lat", "lon"])
+    rows = staged(first_per_key(rows, ["site_id", "target", "season"], ["lat", "lon"]))
     countries = common_to_all_groups(rows, ["target", "season"], "country")
-    return rows.join(countries.select("country"), "country", "left_semi")
+    return rows.join(staged(countries.select("country")), "country", "left_semi")
 
 
 def season_recap(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from limnos.operators.columns import (WATER_BODY_NAMES, drop_empty_columns, reco
 from limnos.operators.features import impute_zero, scale_population, stratified_split, targets_in_every_category
 from limnos.operators.joins import enrich_sites, priority_dedupe_sites
 from limnos.operators.reshape import pivot_values, site_target_matrix
+from limnos.session import staged
 
 
 def merge_data(meas: DataFrame, sites: DataFrame) -> DataFrame:
@@ -22,6 +23,6 @@ def prep_features(merged: DataFrame, train: float = 0.5, seed: int = 0) -> DataF
     targets = pivot_values(targets_in_every_category(valued, "rbd"))
     if not targets:
         raise ValueError("no target occurs in every basin")
-    matrix = site_target_matrix(valued, targets)
-    ready = impute_zero(scale_population(matrix, targets), targets)
+    matrix = staged(site_target_matrix(valued, targets))
+    ready = staged(impute_zero(scale_population(matrix, targets), targets))
     return stratified_split(ready, "wb_code", ["site_id"], train, seed)

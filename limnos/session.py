@@ -44,7 +44,9 @@ def shuffle_width(spark: SparkSession) -> int:
 def staged(df: DataFrame) -> DataFrame:
     """Write a result that several later steps read to the shared folder, and go on from the table.
 
-    The steps before it run once, and a lost executor does not bring them back.
+    The steps before it run once, and a lost executor does not bring them back. The optimizer knows the
+    size of a written table: as one side of a join it is broadcast if it is small, and sorted and split
+    if it is not, while the size of an aggregate would be a guess that shuffles the big side.
     """
     path = shared_folder(df.sparkSession, "stage")
     df.write.parquet(path)
