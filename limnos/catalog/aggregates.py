@@ -18,7 +18,7 @@ def _dated(spark, folder):
 
 def _group_stats(*groups):
     def run(spark, folder):
-        return aggregated(spark, folder, *groups)
+        return op.aggregate_stats(merged(spark, folder), groups)
     return run
 
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from limnos.catalog.registry import aggregated, meas, merged, query, sites, stats_columns
 from limnos.functions.nulls import col
 from limnos.operators import joins as op
+from limnos.operators import quality
+from limnos.operators.aggregates import group_stats
 from limnos.operators.columns import derive_period
 from limnos.operators.time_traces import trace_rows
 from limnos.sources.driver_tables import table
@@ -58,10 +60,8 @@ SELECT site_id, site_name, {stats_columns('target')} FROM sd RIGHT JOIN
    sum(CASE WHEN below_loq THEN 1 ELSE 0 END) * CAST(100 AS DOUBLE) / nullif(count(value), 0) AS below_loq_pct FROM m GROUP BY ALL) g
   USING (site_id)""")
 def right_join_labels(spark, folder):
-    from limnos.operators.aggregates import aggregate_stats
-
     labels = op.priority_dedupe_sites(sites(spark, folder)).select("site_id", "site_name")
-    return op.right_join_labels(labels, aggregate_stats(meas(spark, folder), ["site_id", "target"]), "site_id")
+    return op.right_join_labels(labels, group_stats(meas(spark, folder), ["site_id", "target"]), "site_id")
 
 
 @query("full_outer_year_compare", """
@@ -153,6 +153,4 @@ def integrity_check(spark, folder):
     for c, kind in (("site_id", "bigint"), ("wb_code", "string"), ("target", "string"), ("uom", "string"), ("sampled_on", "date"),
                     ("value", "double"), ("below_loq", "boolean"), ("depth", "int"), ("status", "string"))))
 def column_profile(spark, folder):
-    from limnos.operators.quality import column_profile as profile
-
-    return profile(meas(spark, folder).drop("sample_id"))
+    return quality.column_profile(meas(spark, folder).drop("sample_id"))

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from limnos.functions.nulls import col
-from limnos.operators.aggregates import aggregate_stats
+from limnos.operators.aggregates import group_stats
 from limnos.plans.europe import merge_measurements
 from limnos.session import shared_folder
 from limnos.sources import driver_tables as tables
@@ -114,17 +113,23 @@ def meas(spark: SparkSession, folder: str) -> DataFrame:
     return tables.measurements(spark, folder)
 
 
-@lru_cache(maxsize=64)
-def _site_table(application: str, folder: str) -> str:
-    spark = SparkSession.getActiveSession()
-    path = shared_folder(spark, "sites")
-    tables.sites(spark, folder).write.parquet(path)
-    return path
+# Paths of derived tables, by application, table and folder.
+_DERIVED: dict[tuple[str, str, str], str] = {}
+
+
+def derived(spark: SparkSession, name: str, folder: str, write: Callable[[str], object]) -> str:
+    """Path of a table written once per application to the shared folder."""
+    key = (spark.sparkContext.applicationId, name, folder)
+    if key not in _DERIVED:
+        path = shared_folder(spark, name)
+        write(path)
+        _DERIVED[key] = path
+    return _DERIVED[key]
 
 
 def sites(spark: SparkSession, folder: str) -> DataFrame:
-    """Site metadata as a table of known size, derived once per session."""
-    return spark.read.parquet(_site_table(spark.sparkContext.applicationId, folder))
+    """Site metadata as a table of known size."""
+    return spark.read.parquet(derived(spark, "sites", folder, tables.sites(spark, folder).write.parquet))
 
 
 def merged(spark: SparkSession, folder: str) -> DataFrame:
@@ -132,8 +137,8 @@ def merged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def aggregated(spark: SparkSession, folder: str, *groups: str) -> DataFrame:
-    """Group statistics of the merged table, unordered."""
-    return aggregate_stats(merged(spark, folder), groups)
+    """Group statistics of the merged table."""
+    return group_stats(merged(spark, folder), groups)
 
 
 def stats_columns(*names: str) -> str:

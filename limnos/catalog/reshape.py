@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from limnos.catalog.registry import BASINS, TARGETS, WATER_BODIES, aggregated, meas, merged, query
-from limnos.functions.nulls import col
 from limnos.operators import reshape as op
 from limnos.operators.columns import derive_period
 

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from limnos.catalog.registry import aggregated, meas, query, sites
+from limnos.catalog.registry import aggregated, derived, meas, query, sites
 from limnos.functions.nulls import col
 from limnos.session import shared_folder
 from limnos.sources import readers, staging
 
 
-@lru_cache(maxsize=64)
-def _csv_copy(application: str, name: str, folder: str) -> str:
-    """One text copy per session and table."""
-    spark = SparkSession.getActiveSession()
-    path = shared_folder(spark, name)
-    return staging.export_csv(SOURCES[name](spark, folder), path)
-
-
 def csv_copy(spark: SparkSession, name: str, folder: str) -> str:
-    return _csv_copy(spark.sparkContext.applicationId, name, folder)
+    """Text copy of a table."""
+    return derived(spark, f"{name}.csv", folder, lambda path: staging.export_csv(SOURCES[name](spark, folder), path))
 
 
 def _measurement_text(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,9 +14,25 @@ from pyspark.sql import Column, DataFrame, functions as F
 MISSING_MARKERS = ("", " ", "NA", "N/A")
 
 
+def quoted(name: str) -> str:
+    """Exact column name for Spark calls that parse names; targets may hold dots and blanks."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
-    """Column by exact name, also when the name holds dots or blanks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def drop_null_rows(df: DataFrame, columns: Iterable[str], how: str = "any") -> DataFrame:
+    return df.dropna(how=how, subset=[quoted(c) for c in columns])
+
+
+def fill_null(df: DataFrame, columns: Iterable[str], value: float | str | bool) -> DataFrame:
+    return df.fillna(value, [quoted(c) for c in columns])
+
+
+def unpivot_columns(df: DataFrame, ids: Iterable[str], columns: Iterable[str], name: str, value: str) -> DataFrame:
+    return df.unpivot([col(c) for c in ids], [col(c) for c in columns], name, value)
 
 
 def missing_to_null(c: Column, markers: Iterable[str] = MISSING_MARKERS) -> Column:
@@ -56,7 +72,7 @@ def extract_or_null(c: Column, pattern: str, group: int = 0) -> Column:
 
 def keys_not_null(df: DataFrame, keys: Iterable[str]) -> DataFrame:
     """Drop rows whose grouping key is missing."""
-    return df.dropna(subset=list(keys))
+    return drop_null_rows(df, keys)
 
 
 def one_row(df: DataFrame) -> Column:

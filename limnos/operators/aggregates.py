@@ -6,23 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from limnos.functions.nulls import (col, distinct_with_null, keys_not_null, mean_if_complete, one_row,
-                                    percent, ratio, stddev_if_complete)
+from limnos.functions.nulls import (col, fill_null, distinct_with_null, keys_not_null, mean_if_complete,
+                                    one_row, percent, ratio, stddev_if_complete, unpivot_columns)
 from limnos.functions.ranks import quantiles, ranked_values, value_at
 from limnos.session import staged
 
 
-def aggregate_stats(meas: DataFrame, groups: Sequence[str], value: str = "value",
-                    flag: str = "below_loq") -> DataFrame:
-    """Per group: count, mean and sd of the value, rows below LOQ and their percentage, busiest first.
+def group_stats(meas: DataFrame, groups: Sequence[str], value: str = "value",
+                flag: str = "below_loq") -> DataFrame:
+    """Per group: count, mean and sd of the value, rows below LOQ and their percentage.
 
     Rows with a missing key are dropped. The percentage relates flags to non-null values.
     """
     return (keys_not_null(meas, groups).groupBy(*groups)
             .agg(F.count(col(value)).alias("n"), F.avg(col(value)).alias("mean"),
                  F.stddev_samp(col(value)).alias("sd"), F.sum(col(flag).cast("long")).alias("below_loq_sum"))
-            .withColumn("below_loq_pct", percent(F.col("below_loq_sum"), F.col("n")))
-            .orderBy(F.desc("n"), *groups))
+            .withColumn("below_loq_pct", percent(F.col("below_loq_sum"), F.col("n"))))
+
+
+def aggregate_stats(meas: DataFrame, groups: Sequence[str], value: str = "value",
+                    flag: str = "below_loq") -> DataFrame:
+    """``group_stats``, busiest group first; for reports, where the order matters."""
+    return group_stats(meas, groups, value, flag).orderBy(F.desc("n"), *groups)
 
 
 def aggregate_moments(meas: DataFrame, groups: Sequence[str], value: str = "value",
@@ -178,7 +183,7 @@ def column_means(df: DataFrame, columns: Sequence[str], median: bool = False) ->
     """Mean, or median, of many columns in one pass; one row."""
     if not median:
         return df.agg(*[F.avg(col(c)).alias(c) for c in columns])
-    long = df.select(*[col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    long = unpivot_columns(df.select(*[col(c).cast("double").alias(c) for c in columns]), [], columns, "column", "value")
     medians = quantiles(long, ["column"], "value", {"median": 0.5})
     return medians.agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in columns])
 
@@ -250,7 +255,7 @@ def counts_by_year(df: DataFrame, year: str = "year", by_count: bool = False) ->
 
 def crosstab(df: DataFrame, a: str, b: str, b_values: Sequence[str]) -> DataFrame:
     """Two-way table of counts, 0 where a combination does not occur."""
-    return df.groupBy(a).pivot(b, list(b_values)).agg(F.count(F.lit(1))).fillna(0)
+    return fill_null(df.groupBy(a).pivot(b, list(b_values)).agg(F.count(F.lit(1))), [str(x) for x in b_values], 0)
 
 
 def trend_line(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from limnos.functions.nulls import col, extract_or_null, ratio
+from limnos.functions.nulls import col, extract_or_null, fill_null, ratio
 
 # Water-body codes and their names.
 WATER_BODY_NAMES = {
@@ -138,7 +138,7 @@ def lv03_shift(df: DataFrame, east: str = "east", north: str = "north", to_lv95:
 
 
 def fill_constant(df: DataFrame, columns: Sequence[str], value: float | str | bool) -> DataFrame:
-    return df.fillna(value, subset=list(columns))
+    return fill_null(df, columns, value)
 
 
 def row_totals_and_shares(df: DataFrame, count_columns: Sequence[str], below_columns: Sequence[str] = (),

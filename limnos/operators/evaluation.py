@@ -6,12 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from limnos.functions.nulls import col, one_row, ratio
+from limnos.functions.nulls import fill_null, one_row, ratio
 
 
 def confusion_matrix(pred: DataFrame, labels: Sequence[str], actual: str = "actual", predicted: str = "predicted") -> DataFrame:
     """Actual x predicted counts, one column per label."""
-    return pred.groupBy(actual).pivot(predicted, list(labels)).agg(F.count(F.lit(1))).fillna(0)
+    counts = pred.groupBy(actual).pivot(predicted, list(labels)).agg(F.count(F.lit(1)))
+    return fill_null(counts, [str(x) for x in labels], 0)
 
 
 def class_counts(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:

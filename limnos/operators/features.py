@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limnos.functions.draws import draw, shuffled_position
-from limnos.functions.nulls import col, mean_if_complete, one_row, ratio, stddev_if_complete
+from limnos.functions.nulls import (col, drop_null_rows, fill_null, mean_if_complete,
+                                    one_row, ratio, stddev_if_complete, unpivot_columns)
 from limnos.operators.columns import composite_key
 from limnos.operators.reshape import pivot_fill_absent, pivot_values
 from limnos.session import staged
@@ -37,7 +38,7 @@ def scale_sample(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def impute_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.fillna(0.0, list(columns))
+    return fill_null(df, columns, 0.0)
 
 
 def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -49,7 +50,7 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def variance_metrics(df: DataFrame, columns: Sequence[str], freq_cut: float = 80 / 20,
                      unique_cut: float = 33.0) -> DataFrame:
     """Per column: ratio of the two most common values, percentage of distinct values, and the verdict."""
-    long = df.select(*[col(c).cast("double").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
+    long = unpivot_columns(df.select(*[col(c).cast("double").alias(c) for c in columns]), [], columns, "column", "value")
     sizes = one_row(df.agg(F.count(F.lit(1)).alias("n"))).getField("n")
     counts = (long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
               .withColumn("n", F.when(col("value").isNotNull(), F.col("n"))))
@@ -72,7 +73,8 @@ def near_zero_variance(df: DataFrame, columns: Sequence[str], freq_cut: float =
                        unique_cut: float = 33.0) -> DataFrame:
     """Drop the columns that hold (almost) one value."""
     verdict = variance_metrics(df, columns, freq_cut, unique_cut).where("near_zero_variance")
-    return df.drop(*[r["column"] for r in verdict.select("column").collect()])
+    dropped = {r["column"] for r in verdict.select("column").collect()}
+    return df.select(*[col(c) for c in df.columns if c not in dropped])
 
 
 def class_balance(df: DataFrame, label: str) -> DataFrame:
@@ -185,7 +187,7 @@ def feature_approaches(meas: DataFrame, grain: str = "site", stats: Sequence[str
     if impute == "mean":
         wide = impute_mean(wide, names)
     elif impute == "drop":
-        wide = wide.dropna(subset=names)
+        wide = drop_null_rows(wide, names)
     if variance_filter:
         wide = near_zero_variance(wide, names)
     return scale_sample(wide, [c for c in wide.columns if c != "obs_id"])

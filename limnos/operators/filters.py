@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from limnos.functions.nulls import col
+from limnos.functions.nulls import col, drop_null_rows
 
 # Lists longer than this are joined, not inlined into the plan.
 INLINE_LIST_LIMIT = 1000
@@ -36,7 +36,7 @@ def filter_quantified(df: DataFrame, flag: str = "below_loq") -> DataFrame:
 
 
 def drop_missing(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.dropna(subset=list(columns))
+    return drop_null_rows(df, columns)
 
 
 def filter_false_or_null(df: DataFrame, flags: Sequence[str]) -> DataFrame:
@@ -87,7 +87,7 @@ def filter_years(df: DataFrame, first: int | None = None, last: int | None = Non
 
 def complete_cases(df: DataFrame, columns: Sequence[str], how: str = "any") -> DataFrame:
     """Drop rows with a null in ``any`` (or in ``all``) of the columns."""
-    return df.dropna(how=how, subset=list(columns))
+    return drop_null_rows(df, columns, how)
 
 
 def loq_classes(df: DataFrame, ratio_column: str = "below_loq_ratio", loq_column: str = "loq_value") -> DataFrame:

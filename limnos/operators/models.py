@@ -18,7 +18,7 @@ from pyspark.ml.feature import PCA, IndexToString, StringIndexer, VectorAssemble
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
-from limnos.functions.nulls import col
+from limnos.functions.nulls import col, drop_null_rows
 from limnos.operators.features import scale_sample
 from limnos.session import staged
 
@@ -28,7 +28,9 @@ ROWS_PER_FIT_PARTITION = 50_000
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
     """Complete rows with the columns as one vector."""
-    return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid="skip").transform(df)
+    inputs = [f"__f{i}" for i in range(len(columns))]
+    numbered = drop_null_rows(df, columns).select("*", *[col(c).alias(n) for c, n in zip(columns, inputs)])
+    return VectorAssembler(inputCols=inputs, outputCol=out).transform(numbered).drop(*inputs)
 
 
 def expand_array(df: DataFrame, column: str, size: int, prefix: str = "x") -> DataFrame:
@@ -72,21 +74,37 @@ def kmeans_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = rang
     return df.sparkSession.createDataFrame(rows, "k int, silhouette double, within_ss double")
 
 
+def single_gaussian_likelihood(df: DataFrame, columns: Sequence[str]) -> float:
+    """Log-likelihood of the one-component mixture, which has a closed form."""
+    d = len(columns)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(col(columns[i]), col(columns[j])).alias(f"c_{i}_{j}") for i, j in pairs]).first()
+    covariance = np.zeros((d, d))
+    for i, j in pairs:
+        covariance[i, j] = covariance[j, i] = row[f"c_{i}_{j}"]
+    return -row["n"] / 2 * (d * math.log(2 * math.pi) + np.linalg.slogdet(covariance)[1] + d)
+
+
 def gmm_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2, 15), seed: int = 1,
               max_iter: int = 100) -> DataFrame:
     """Full-covariance mixtures: log-likelihood, AIC, BIC and silhouette; the least BIC is marked best."""
-    vectors = fit_input(assembled(df, columns).select("features"))
+    complete = staged(drop_null_rows(df.select(*[col(c) for c in columns]), columns))
+    vectors = fit_input(assembled(complete, columns).select("features"))
     n, d = vectors.count(), len(columns)
     score = ClusteringEvaluator(predictionCol="prediction", featuresCol="features")
     rows = []
     for k in ks:
-        model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(vectors)
         free = k - 1 + k * d + k * d * (d + 1) // 2
-        ll = float(model.summary.logLikelihood)
-        labelled = model.transform(vectors)
-        apart = labelled.select("prediction").distinct().count() > 1
-        rows.append((k, ll, 2.0 * free - 2.0 * ll, free * math.log(n) - 2.0 * ll,
-                     float(score.evaluate(labelled)) if apart else None))
+        silhouette = None
+        if k == 1:
+            ll = float(single_gaussian_likelihood(complete, columns))
+        else:
+            model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(vectors)
+            ll = float(model.summary.logLikelihood)
+            labelled = model.transform(vectors)
+            if labelled.select("prediction").distinct().count() > 1:
+                silhouette = float(score.evaluate(labelled))
+        rows.append((k, ll, 2.0 * free - 2.0 * ll, free * math.log(n) - 2.0 * ll, silhouette))
     least = min(r[3] for r in rows)
     return df.sparkSession.createDataFrame([(*r, r[3] == least) for r in rows],
                                            "k int, log_likelihood double, aic double, bic double, silhouette double, best boolean")
@@ -94,7 +112,7 @@ def gmm_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2
 
 def _centred(df: DataFrame, columns: Sequence[str], scale: bool) -> DataFrame:
     """Centre by column mean, and divide by the sd on request; Spark's PCA transform does not centre."""
-    complete = df.dropna(subset=list(columns))
+    complete = drop_null_rows(df, columns)
     if scale:
         return scale_sample(complete, columns)
     means = complete.agg(*[F.avg(col(c)).alias(c) for c in columns]).first()
@@ -127,25 +145,27 @@ def cluster_projection(df: DataFrame, columns: Sequence[str], ids: Sequence[str]
 
 
 def _fit_and_predict(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, estimator) -> DataFrame:
-    train = staged(train)
-    index = StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
+    def named(df: DataFrame) -> DataFrame:
+        return df.select(*ids, col(label).cast("string").alias("actual"), "features")
+
+    train = staged(named(train))
+    index = StringIndexer(inputCol="actual", outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
     model = estimator.fit(fit_input(index.transform(train)))
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)
-    return (names.transform(model.transform(test))
-            .select(*ids, F.col(label).cast("string").alias("actual"), "predicted"))
+    return names.transform(model.transform(named(test))).select(*ids, "actual", "predicted")
 
 
 def classify_linear_svc(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, columns: Sequence[str],
                         reg: float = 1e-3, max_iter: int = 100, tol: float = 1e-4) -> DataFrame:
     """Linear support vectors, one class against the rest (hinge loss)."""
-    svc = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=tol), parallelism=4)
+    svc = OneVsRest(labelCol="__label", classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=tol), parallelism=4)
     return _fit_and_predict(assembled(train, columns), assembled(test, columns), ids, label, svc)
 
 
 def classify_random_forest(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, columns: Sequence[str],
                            trees: int = 100, depth: int = 30, seed: int = 1) -> DataFrame:
     """Random forest; Spark limits the depth to 30."""
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)
+    forest = RandomForestClassifier(labelCol="__label", numTrees=trees, maxDepth=depth, seed=seed)
     return _fit_and_predict(assembled(train, columns), assembled(test, columns), ids, label, forest)
 
 
@@ -173,7 +193,7 @@ def classify_svc_rbf(train: DataFrame, test: DataFrame, ids: Sequence[str], labe
         v = train.agg(F.avg(sum(col(c) for c in columns) / len(columns)).alias("m"),
                       F.avg(sum(col(c) * col(c) for c in columns) / len(columns)).alias("s")).first()
         gamma = 1.0 / (len(columns) * max(v.s - v.m * v.m, 1e-12))
-    mapped = [df.dropna(subset=list(columns)).withColumn("features", array_to_vector(fourier_features(columns, gamma, size, seed)))
+    mapped = [drop_null_rows(df, columns).withColumn("features", array_to_vector(fourier_features(columns, gamma, size, seed)))
               for df in (train, test)]
-    svc = OneVsRest(classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=tol), parallelism=4)
+    svc = OneVsRest(labelCol="__label", classifier=LinearSVC(regParam=reg, maxIter=max_iter, tol=tol), parallelism=4)
     return _fit_and_predict(*mapped, ids, label, svc)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limnos.functions.draws import draw, shuffled_position
-from limnos.functions.nulls import col
+from limnos.functions.nulls import col, drop_null_rows
 from limnos.functions.ranks import first_k
 from limnos.session import staged
 
@@ -161,7 +161,7 @@ def keep_nearest(found: DataFrame, query_id: str, train_id: str, k: int) -> Data
 
 def nearest_distances(df: DataFrame, id_column: str, columns: Sequence[str], k: int) -> DataFrame:
     """Euclidean distances of every row to its k nearest other rows."""
-    rows = df.dropna(subset=list(columns)).select(id_column, feature_array(columns).alias("features"))
+    rows = drop_null_rows(df, columns).select(id_column, feature_array(columns).alias("features"))
     found = nearest_neighbours(rows, rows, k + 1, id_column, id_column)
     mine = f"query_{id_column}"
     others = found.where(col(mine) != col(id_column))
@@ -178,7 +178,7 @@ def majority(votes: DataFrame, query_id: str, vote: str) -> DataFrame:
 def classify_knn(train: DataFrame, test: DataFrame, id_column: str, label: str, columns: Sequence[str],
                  k: int = 5) -> DataFrame:
     """Majority vote of the k nearest training rows; a tied vote goes to the smaller label."""
-    train, test = train.dropna(subset=list(columns)), test.dropna(subset=list(columns))
+    train, test = drop_null_rows(train, columns), drop_null_rows(test, columns)
     a = train.select(F.col(id_column).alias("train_id"), col(label), feature_array(columns).alias("features"))
     test = staged(test.select(id_column, label, feature_array(columns).alias("features")))
     won = majority(nearest_neighbours(test, a, k, id_column, "train_id", carry=[label]), id_column, label)
@@ -192,7 +192,7 @@ def knn_tune(df: DataFrame, id_column: str, label: str, columns: Sequence[str],
     Folds keep the label proportions. Running vote counts over the ranks give the prediction of every k:
     the most votes reached so far, the smaller label on a tie.
     """
-    complete = df.dropna(subset=[label, *columns])
+    complete = drop_null_rows(df, [label, *columns])
     folded = staged(shuffled_position(complete, [label], [id_column], seed, "__pos")
                     .select(id_column, label, feature_array(columns).alias("features"),
                             F.pmod("__pos", F.lit(folds)).cast("int").alias("fold")))

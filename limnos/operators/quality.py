@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from limnos.functions.nulls import col, percent
+from limnos.functions.nulls import col, percent, unpivot_columns
 
 
 def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
@@ -26,7 +26,7 @@ def column_profile(df: DataFrame, approximate: bool = False) -> DataFrame:
     profile = one.select(F.inline(lines))
     if not approximate:
         text = df.select(*[col(c).cast("string").alias(c) for c in names])
-        pairs = text.unpivot([], names, "column", "value").dropna(subset=["value"]).distinct()
+        pairs = unpivot_columns(text, [], names, "column", "value").dropna(subset=["value"]).distinct()
         distinct = pairs.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
         profile = (profile.drop("n_distinct").join(distinct, "column", "left")
                    .fillna(0, ["n_distinct"]))

@@ -10,7 +10,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from limnos.functions.nulls import col
+from limnos.functions.nulls import col, drop_null_rows, unpivot_columns
 
 
 def pivot_values(df: DataFrame, column: str = "target", limit: int = 10_000) -> list[str]:
@@ -25,7 +25,7 @@ def pivot_values(df: DataFrame, column: str = "target", limit: int = 10_000) ->
 def site_target_matrix(meas: DataFrame, targets: Sequence[str], keys: Sequence[str] = ("site_id", "wb_code", "rbd"),
                        value: str = "value", names: str = "target") -> DataFrame:
     """Mean value; a row per site, a column per target. Rows without any value are not produced."""
-    rows = meas.dropna(subset=[*keys, value]).where(col(names).isin(list(targets)))
+    rows = drop_null_rows(meas, [*keys, value]).where(col(names).isin(list(targets)))
     return rows.groupBy(*keys).pivot(names, list(targets)).agg(F.avg(col(value)))
 
 
@@ -79,7 +79,7 @@ def pivot_fill_absent(df: DataFrame, ids: Sequence[str], values: Sequence[str],
 def to_long(df: DataFrame, ids: Sequence[str], stats: Sequence[str]) -> DataFrame:
     """Wide statistics to (type, value) rows."""
     typed = df.select(*ids, *[col(s).cast("double").alias(s) for s in stats])
-    return typed.unpivot(list(ids), list(stats), "type", "value")
+    return unpivot_columns(typed, ids, stats, "type", "value")
 
 
 def unpivot_stats(df: DataFrame, ids: Sequence[str], stats: Sequence[str], targets: Sequence[str],
@@ -113,7 +113,7 @@ def drop_sparse_columns(df: DataFrame, ids: Sequence[str], min_filled: int | Non
     """Keep well-filled pivot columns, then drop the rows left empty."""
     kept = dense_columns(df, [c for c in df.columns if c not in ids], min_filled, no_nulls, min_cell)
     out = df.select(*ids, *[col(c) for c in kept])
-    return out.dropna(how="all", subset=kept) if drop_empty_rows and kept else out
+    return drop_null_rows(out, kept, "all") if drop_empty_rows and kept else out
 
 
 def order_columns_by_total(df: DataFrame, ids: Sequence[str], k: int | None = None) -> DataFrame:

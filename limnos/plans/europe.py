@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from limnos.functions.nulls import col
+from limnos.functions.nulls import col, drop_null_rows
 from limnos.operators.aggregates import aggregate_stats
 from limnos.operators.columns import WATER_BODY_NAMES, derive_period, recode_categories
 from limnos.operators.features import (drop_small_classes, scale_population, stratified_split,
@@ -32,8 +32,8 @@ def site_target_year(meas: DataFrame, sites: DataFrame) -> DataFrame:
 def water_body_matrix(agg_site: DataFrame, targets: list[str]) -> DataFrame:
     """Site means as a matrix over the given targets, scaled, complete rows only."""
     wide = agg_site.groupBy("site_id", "wb_code").pivot("target", targets).agg(F.max("mean"))
-    wide = wide.dropna(how="all", subset=targets)
-    return scale_population(wide, targets).dropna(subset=targets)
+    wide = drop_null_rows(wide, targets, "all")
+    return drop_null_rows(scale_population(wide, targets), targets)
 
 
 def prep_water_body(agg_site: DataFrame, agg_wb: DataFrame, max_below_loq_pct: float = 20, min_samples: int = 5000,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from limnos.functions.nulls import drop_null_rows
 from limnos.operators.aggregates import common_to_all_groups, recap_sampling, top_k_targets
 from limnos.operators.columns import SEASON_LETTERS, recode_categories
 from limnos.operators.joins import first_per_key
@@ -34,4 +35,4 @@ def season_matrix(rows: DataFrame, fill: float | None = 0.0) -> DataFrame:
     if fill is not None:
         return pivot_fill_absent(rows, SITE_KEYS, MEASURES, targets, fill=fill)
     wide = pivot_multi(rows, SITE_KEYS, MEASURES, targets)
-    return wide.dropna(subset=[f"mean_{t}" for t in targets])
+    return drop_null_rows(wide, [f"mean_{t}" for t in targets])
