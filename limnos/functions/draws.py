@@ -35,10 +35,9 @@ def shuffled_position(df: DataFrame, groups: Sequence[str], keys: Sequence[str],
     ``keys`` must identify a row. Draws are uniform, so their leading bits cut any group, however
     hot, into even slices: each slice is numbered by itself and shifted by the rows before it.
     """
-    slices = 1
+    groups, slices = list(groups), 1
     while slices < shuffle_width(df.sparkSession):
         slices *= 2
-    groups = list(groups)
     drawn = (df.withColumn("__draw", draw(seed, *[col(k) for k in keys]))
              .withColumn("__slice", F.shiftrightunsigned("__draw", DRAW_BITS - slices.bit_length() + 1)))
     in_group = Window.partitionBy(*groups)

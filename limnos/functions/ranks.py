@@ -13,25 +13,28 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limnos.functions.nulls import col
-from limnos.session import shuffle_width
+from limnos.session import shuffle_width, staged
 
-# One distinct value in so many becomes a possible cut point. A group with fewer distinct values
-# mostly stays one slice.
+# One distinct value in so many becomes a possible cut point. A group with fewer rows stays one slice.
 SAMPLE_EVERY = 1 << 16
 
 
-def _ranked(counted: DataFrame, keys: list[str], value: str, sample_every: int) -> DataFrame:
-    """Add ``n_below`` and ``n_group`` to rows (keys, value, n_equal) with distinct values."""
+def _ranked(counted: DataFrame, keys: list[str], value: str, order: Sequence[str], sample_every: int) -> DataFrame:
+    """Add ``n_below`` and ``n_group`` to rows with ``n_equal`` copies, ordered within the keys.
+
+    ``value`` is compared with the cut points; ``order`` are the columns it stands for.
+    """
     slices = shuffle_width(counted.sparkSession)
     sampled = F.when(F.pmod(F.xxhash64(col(value)), F.lit(sample_every)) == 0, col(value))
-    # The sample depends on the values alone, so both readers of the cuts see the same ones.
+    # The sample depends on the values alone, so a repeated task finds the same cuts.
     cuts = (counted.groupBy(*keys)
             .agg(F.sort_array(F.collect_list(sampled)).alias("__all"), F.sum("n_equal").alias("n_group")))
     thinned = F.transform(
         F.sequence(F.lit(1), F.lit(slices - 1)),
         lambda i: F.get(F.col("__all"), (i * F.size("__all") / slices).cast("int")))
-    cuts = (cuts.withColumn("__cuts", F.when(F.size("__all") < slices, F.col("__all")).otherwise(thinned))
-            .drop("__all"))
+    cuts = staged(cuts.withColumn("__cuts", F.when(F.col("n_group") <= sample_every, F.slice("__all", 1, 0))
+                                  .when(F.size("__all") < slices, F.col("__all")).otherwise(thinned))
+                  .drop("__all"))
     sliced = (counted.join(cuts, keys)
               .withColumn("__slice", F.size(F.filter("__cuts", lambda c: c <= col(value))))
               .drop("__cuts"))
@@ -40,7 +43,7 @@ def _ranked(counted: DataFrame, keys: list[str], value: str, sample_every: int)
                           - F.col("__n"))
               .drop("__n"))
     running = F.sum("n_equal").over(
-        Window.partitionBy(*keys, "__slice").orderBy(col(value))
+        Window.partitionBy(*keys, "__slice").orderBy(*[col(c) for c in order])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return (sliced.withColumn("__running", running)
             .join(before, [*keys, "__slice"])
@@ -56,11 +59,11 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str,
     and any extra aggregate given in ``measures``.
     """
     keys = list(keys)
-    counted = (df.where(col(value).isNotNull()).groupBy(*keys, value)
-               .agg(F.count(F.lit(1)).alias("n_equal"), *measures))
+    counted = staged(df.where(col(value).isNotNull()).groupBy(*keys, value)
+                     .agg(F.count(F.lit(1)).alias("n_equal"), *measures))
     if keys:
-        return _ranked(counted, keys, value, sample_every)
-    return _ranked(counted.withColumn("__all_rows", F.lit(0)), ["__all_rows"], value,
+        return _ranked(counted, keys, value, [value], sample_every)
+    return _ranked(counted.withColumn("__all_rows", F.lit(0)), ["__all_rows"], value, [value],
                    sample_every).drop("__all_rows")
 
 
@@ -72,7 +75,7 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str
     """
     counted = (df.withColumn("__order", F.struct(*[col(c) for c in order]))
                .withColumn("n_equal", F.lit(1).cast("long")))
-    return (_ranked(counted, list(keys), "__order", sample_every)
+    return (_ranked(counted, list(keys), "__order", order, sample_every)
             .withColumn(out, F.col("n_below") + 1)
             .drop("n_equal", "n_below", "__order"))
 

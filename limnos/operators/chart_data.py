@@ -12,6 +12,7 @@ from limnos.functions.normal import normal_quantile
 from limnos.functions.nulls import col, one_row
 from limnos.functions.ranks import positions, quantile_of, ranked_values
 from limnos.operators.joins import semi_site_years
+from limnos.session import staged
 
 
 def _as_number(df: DataFrame, column: str) -> Column:
@@ -80,14 +81,14 @@ def density_curve(df: DataFrame, column: str, by: Sequence[str], grid: int = 128
     Values are counted into ``bins`` equal bins, so the kernel sum of a group has a fixed number of
     terms whatever its size. Bandwidth: 0.9 * min(sd, IQR / 1.34) * n ** -0.2 of the exact values.
     """
-    rows = df.where(col(column).isNotNull()).withColumn("__v", col(column).cast("double"))
+    rows = staged(df.where(col(column).isNotNull()).select(*by, column, col(column).cast("double").alias("__v")))
     ends = one_row(rows.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")))
     lo, hi = ends.getField("lo"), ends.getField("hi")
     width = (hi - lo) / float(bins)
     bin_no = F.least(F.floor((F.col("__v") - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
     binned = rows.groupBy(*by, F.coalesce(bin_no, F.lit(0)).alias("__bin")).agg(F.count(F.lit(1)).alias("__c"))
     curves = binned.groupBy(*by).agg(F.collect_list(F.struct("__bin", "__c")).alias("__bins"))
-    iqr = (ranked_values(df, by, column).groupBy(*by)
+    iqr = (ranked_values(rows, by, column).groupBy(*by)
            .agg((quantile_of(column, 0.75) - quantile_of(column, 0.25)).alias("__iqr")))
     spread = rows.groupBy(*by).agg(F.stddev_samp("__v").alias("__sd"), F.count(F.lit(1)).alias("n"))
     ready = (curves.join(spread, list(by)).join(iqr, list(by))
@@ -109,7 +110,7 @@ def density_curve(df: DataFrame, column: str, by: Sequence[str], grid: int = 128
 
 def qq_normal(df: DataFrame, column: str, by: Sequence[str], row_key: str) -> DataFrame:
     """Ordered values against normal quantiles at i/(n+1), with the line through the quartiles."""
-    rows = df.where(col(column).isNotNull()).select(*by, column, row_key)
+    rows = staged(df.where(col(column).isNotNull()).select(*by, column, row_key))
     box = (ranked_values(rows, by, column).groupBy(*by)
            .agg(quantile_of(column, 0.25).alias("__q1"), quantile_of(column, 0.75).alias("__q3")))
     slope = (F.col("__q3") - F.col("__q1")) / (normal_quantile(F.lit(0.75)) - normal_quantile(F.lit(0.25)))
@@ -125,7 +126,7 @@ def qq_two_sample(df: DataFrame, column: str, by: Sequence[str], row_key: str, s
 
     Each row draws its own normal number from a digest of its key, so the simulation repeats exactly.
     """
-    rows = df.where(col(column).isNotNull()).select(*by, column, row_key)
+    rows = staged(df.where(col(column).isNotNull()).select(*by, column, row_key))
     moments = rows.groupBy(*by).agg(F.avg(col(column)).alias("__mean"), F.stddev_samp(col(column)).alias("__sd"))
     drawn = rows.select(*by, row_key, normal_quantile(uniform(seed, col(row_key))).alias("__z"))
     observed = positions(rows, by, [column, row_key]).select(*by, "position", col(column).alias("observed"))

@@ -71,19 +71,22 @@ def _best_of_blocks(k: int, size: int, carry: Sequence[str], apart: bool):
             for b in batch.itertuples(index=False):
                 train = np.asarray(b.t_features, dtype=float).reshape(-1, size)
                 asked = np.asarray(b.q_features, dtype=float).reshape(-1, size)
-                ids, out = np.asarray(b.t_id), []
+                ids, classes = np.asarray(b.t_id), np.asarray(b.t_apart) if apart else None
+                last, picks, gaps = min(k, len(ids)) - 1, [], []
                 for i, vector in enumerate(asked):
                     gap = np.sqrt(((train - vector) ** 2).sum(axis=1))
                     if apart:
-                        gap[np.asarray(b.t_apart) == b.q_apart[i]] = np.inf
-                    near = np.flatnonzero(gap <= np.partition(gap, min(k, len(gap)) - 1)[min(k, len(gap)) - 1])
-                    near = near[np.isfinite(gap[near])]
+                        gap[classes == b.q_apart[i]] = np.inf
+                    near = np.flatnonzero((gap <= np.partition(gap, last)[last]) & (gap < np.inf))
                     near = near[np.lexsort((ids[near], gap[near]))][:k]
-                    found = {"__q": [b.q_id[i]] * len(near), "train": ids[near], "distance": gap[near]}
-                    for c in range(len(carry)):
-                        found[f"carry_{c}"] = np.asarray(getattr(b, f"c_{c}"))[near]
-                    out.append(pd.DataFrame(found))
-                yield pd.concat(out, ignore_index=True)
+                    picks.append(near)
+                    gaps.append(gap[near])
+                rows = np.concatenate(picks)
+                found = {"__q": np.repeat(np.asarray(b.q_id), [len(p) for p in picks]), "train": ids[rows],
+                         "distance": np.concatenate(gaps)}
+                for c in range(len(carry)):
+                    found[f"carry_{c}"] = np.asarray(getattr(b, f"c_{c}"))[rows]
+                yield pd.DataFrame(found)
     return best
 
 
@@ -161,7 +164,7 @@ def keep_nearest(found: DataFrame, query_id: str, train_id: str, k: int) -> Data
 
 def nearest_distances(df: DataFrame, id_column: str, columns: Sequence[str], k: int) -> DataFrame:
     """Euclidean distances of every row to its k nearest other rows."""
-    rows = drop_null_rows(df, columns).select(id_column, feature_array(columns).alias("features"))
+    rows = staged(drop_null_rows(df, columns).select(id_column, feature_array(columns).alias("features")))
     found = nearest_neighbours(rows, rows, k + 1, id_column, id_column)
     mine = f"query_{id_column}"
     others = found.where(col(mine) != col(id_column))

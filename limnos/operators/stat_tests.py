@@ -11,6 +11,7 @@ from limnos.functions.normal import (normal_quantile, normal_upper_tail, polynom
                                      student_two_sided_p)
 from limnos.functions.nulls import col, keys_not_null
 from limnos.functions.ranks import positions, ranked_values
+from limnos.session import staged
 
 # The Shapiro-Wilk weights are tabulated for samples up to this size.
 SHAPIRO_SAMPLE = 5000
@@ -98,8 +99,9 @@ def wilcoxon_signed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str
 
     Zero differences are dropped; normal approximation with continuity and tie correction.
     """
-    numbered = positions(df.where(col(value).isNotNull() & col(side).isin(first, second))
-                         .select(*keys, side, value, *[c for c in order if c != value]), [*keys, side], order)
+    rows = staged(df.where(col(value).isNotNull() & col(side).isin(first, second))
+                  .select(*keys, side, value, *[c for c in order if c != value]))
+    numbered = staged(positions(rows, [*keys, side], order).select(*keys, side, "position", value))
     a = numbered.where(col(side) == first).select(*keys, "position", col(value).alias("__a"))
     b = numbered.where(col(side) == second).select(*keys, "position", col(value).alias("__b"))
     gaps = (a.join(b, [*keys, "position"]).withColumn("__d", F.col("__a") - F.col("__b")).where("__d <> 0")
