@@ -12,7 +12,7 @@ def cells(form: str, names=TARGETS, quoted: str = '"{t}"') -> str:
     return ", ".join(f"{form.format(t=t)} AS {quoted.format(t=t)}" for t in names)
 
 
-BASIN_COUNT = "count(*) FILTER (rbd = '{t}')"
+BASIN_COUNT = "nullif(count(*) FILTER (rbd = '{t}'), 0)"
 BODY_COUNT = "max(n) FILTER (wb_code = '{t}')"
 AVG = "R(avg(value) FILTER (target = '{t}'))"
 
