@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limnos.functions.nulls import (col, fill_null, distinct_with_null, keys_not_null, mean_if_complete,
                                     one_row, percent, ratio, stddev_if_complete, unpivot_columns)
 from limnos.functions.ranks import quantiles, ranked_values, value_at
+from limnos.operators.joins import join_null_safe
 from limnos.session import staged
 
 
@@ -212,7 +213,7 @@ def grouped_mutate(df: DataFrame, keys: Sequence[str], value: str = "value") ->
     """
     stats = staged(df.groupBy(*keys).agg(F.avg(col(value)).alias("group_mean"), F.stddev_samp(col(value)).alias("group_sd"),
                                          F.count(col(value)).alias("group_n")))
-    return df.join(stats, list(keys))
+    return join_null_safe(df, stats, keys, "inner")
 
 
 def busiest_site_series(meas: DataFrame, target: str, columns: Sequence[str] = ("sampled_on", "value")) -> DataFrame:

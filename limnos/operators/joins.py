@@ -9,6 +9,8 @@ Duplicates are settled by aggregation, which combines before the shuffle, not by
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -16,6 +18,13 @@ from limnos.functions.nulls import col, keys_not_null, one_row, percent, ratio
 from limnos.session import staged
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Equi-join in which a missing key equals a missing key."""
+    renamed = right.select(*[col(c).alias(f"__{c}") if c in keys else col(c) for c in right.columns])
+    same = [col(k).eqNullSafe(col(f"__{k}")) for k in keys]
+    return left.join(renamed, reduce(and_, same), how).drop(*[f"__{k}" for k in keys])
+
+
 def enrich_sites(meas: DataFrame, sites: DataFrame, key: str = "site_id") -> DataFrame:
     """Left join of measurements with one metadata row per site."""
     return meas.join(sites, key, "left")
@@ -38,12 +47,7 @@ def drop_ambiguous_keys(df: DataFrame, keys: Sequence[str], repeats: Column | No
     """
     repeats = F.count(F.lit(1)) if repeats is None else repeats
     unclear = staged(df.groupBy(*keys).agg(repeats.alias("__repeats")).where("__repeats > 1").drop("__repeats"))
-    right = unclear.toDF(*[f"__{k}" for k in keys])
-    same = [col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
-    condition = same[0]
-    for c in same[1:]:
-        condition = condition & c
-    return df.join(right, condition, "left_anti")
+    return join_null_safe(df, unclear, keys, "left_anti")
 
 
 def semi_site_years(meas: DataFrame, pairs: DataFrame, target: str) -> DataFrame:

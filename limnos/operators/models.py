@@ -10,7 +10,6 @@ import math
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
@@ -40,9 +39,12 @@ def expand_array(df: DataFrame, column: str, size: int, prefix: str = "x") -> Da
 
 
 def fit_input(df: DataFrame) -> DataFrame:
-    """Training rows computed once, cached, and in no more partitions than their number asks for."""
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
-    return cached.coalesce(max(1, math.ceil(cached.count() / ROWS_PER_FIT_PARTITION)))
+    """Training rows computed once, in no more partitions than their number asks for.
+
+    The estimators cache what they iterate over, and release it.
+    """
+    table = staged(df)
+    return table.coalesce(max(1, math.ceil(table.count() / ROWS_PER_FIT_PARTITION)))
 
 
 def kmeans_model(vectors: DataFrame, k: int, starts: int = 10, seed: int = 1, max_iter: int = 100) -> KMeansModel:

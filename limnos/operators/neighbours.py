@@ -103,7 +103,7 @@ def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int, query_id: s
     points = train.select(train_id, features, *dict.fromkeys([*carry, *classes]))
     points = staged(first_k(points, [features, *classes], [train_id], k, "__r").drop("__r"))
     queries = staged(queries.select(query_id, features, *classes))
-    asked = queries.groupBy(features, *classes).agg(F.min(query_id).alias("__q"))
+    asked = staged(queries.groupBy(features, *classes).agg(F.min(query_id).alias("__q")))
 
     n = points.count()
     if n == 0:

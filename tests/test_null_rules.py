@@ -109,3 +109,8 @@ def test_first_per_key_has_a_stated_order(spark, rows):
     df = spark.createDataFrame([(1, 2.0, "x"), (1, 1.0, "z"), (1, 1.0, "y"), (2, None, "w"), (2, 5.0, "v")], "k long, o double, t string")
     assert rows(jo.first_per_key(df, ["k"], ["o"])) == [(1, 1.0, "y"), (2, 5.0, "v")]
     assert rows(jo.first_per_key(df, ["k"], ["o"], ["o"])) == [(1, 2.0, "x"), (2, 5.0, "v")]
+
+
+def test_grouped_mutate_keeps_the_null_group(meas, rows):
+    got = rows(ag.grouped_mutate(meas, ["site_id"]).select("site_id", "value", "group_mean"))
+    assert len(got) == 6 and (None, 9.0, 9.0) in got and (2, 5.0, 4.5) in got
