@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from limnos.catalog import sql_text
 from limnos.catalog.registry import TARGETS, merged, query
 from limnos.functions.nulls import col
 from limnos.operators import evaluation as ev
@@ -49,12 +50,14 @@ def pairwise_distance(spark, folder):
     return nn.nearest_distances(scale_sample(_matrix(spark, folder), TARGETS), "site_id", TARGETS, 5)
 
 
-@query("classify_knn", f"""
-WITH {_sql_matrix('a', EARLY)}, {_sql_matrix('q', LATE)},
+_KNN = f"""{_sql_matrix('a', EARLY)}, {_sql_matrix('q', LATE)},
 d AS (SELECT q.site_id, q.wb_code AS actual, a.wb_code AS vote, row_number() OVER (PARTITION BY q.site_id
   ORDER BY {_sql_distance('a', 'q')}, a.site_id) AS r FROM q, a),
-v AS (SELECT site_id, actual, vote, count(*) AS n FROM d WHERE r <= 5 GROUP BY ALL)
-SELECT site_id, actual, vote AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY n DESC, vote) = 1""")
+v AS (SELECT site_id, actual, vote, count(*) AS n FROM d WHERE r <= 5 GROUP BY ALL),
+pred AS (SELECT site_id, actual, vote AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY n DESC, vote) = 1)"""
+
+
+@query("classify_knn", f"WITH {_KNN} SELECT site_id, actual, predicted FROM pred")
 def classify_knn(spark, folder):
     return nn.classify_knn(_matrix(spark, folder, EARLY), _matrix(spark, folder, LATE), "site_id", "wb_code", TARGETS, 5)
 
@@ -78,7 +81,15 @@ def classify_knn_embeddings(spark, folder):
         rows.select("vec_id", col("label").alias("actual")), "vec_id").select("vec_id", "actual", "predicted")
 
 
-@query("knn_tune")
+@query("knn_tune", f"""
+WITH {_sql_matrix('w')}, p AS (SELECT *, (row_number() OVER (PARTITION BY wb_code ORDER BY {sql_text.draw(0, 'site_id')}, site_id) - 1) % 10 AS fold FROM w),
+d AS (SELECT a.site_id, a.wb_code AS actual, a.fold, b.wb_code AS vote, row_number() OVER (PARTITION BY a.site_id
+  ORDER BY {_sql_distance('a', 'b')}, b.site_id) AS r FROM p a JOIN p b ON a.fold <> b.fold),
+ks AS (SELECT DISTINCT r AS k FROM d WHERE r <= (SELECT 2 * floor(sqrt(count(*))) FROM w)),
+v AS (SELECT k, site_id, actual, fold, vote, count(*) AS n FROM d JOIN ks ON r <= k GROUP BY ALL),
+b AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY k, site_id ORDER BY n DESC, vote) = 1),
+s AS (SELECT k, fold, avg(CASE WHEN vote = actual THEN 1.0e0 ELSE 0.0e0 END) AS a FROM b GROUP BY ALL)
+SELECT CAST(k AS INTEGER) AS k, R(avg(a)) AS accuracy, R(stddev_samp(a)) AS accuracy_sd, count(*) AS folds FROM s GROUP BY k""")
 def knn_tune(spark, folder):
     df = _matrix(spark, folder)
     largest = 2 * int(df.count() ** 0.5)
@@ -184,20 +195,22 @@ def class_statistics(spark, folder):
     return ev.class_statistics(_given(spark, folder))
 
 
-@query("classification_report", f"""
-WITH {_GIVEN}, {_CLASSES}, f AS (SELECT label, support, hits, hits / CAST(given AS DOUBLE) AS p, hits / CAST(support AS DOUBLE) AS r,
-  2.0e0 * hits / (given + support) AS f1 FROM l)
+_REPORT = f"""{_CLASSES}, f AS (SELECT label, support, hits, coalesce(hits / CAST(nullif(given, 0) AS DOUBLE), 0) AS p,
+  coalesce(hits / CAST(nullif(support, 0) AS DOUBLE), 0) AS r, 2.0e0 * hits / (given + support) AS f1 FROM l)
 SELECT label, R(p) AS precision, R(r) AS recall, R(f1) AS f1, support FROM f
 UNION ALL SELECT 'accuracy', R(sum(hits) / CAST(sum(support) AS DOUBLE)), R(sum(hits) / CAST(sum(support) AS DOUBLE)),
   R(sum(hits) / CAST(sum(support) AS DOUBLE)), CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'macro avg', R(avg(p)), R(avg(r)), R(avg(f1)), CAST(sum(support) AS BIGINT) FROM f
 UNION ALL SELECT 'weighted avg', R(sum(p * support) / sum(support)), R(sum(r * support) / sum(support)),
-  R(sum(f1 * support) / sum(support)), CAST(sum(support) AS BIGINT) FROM f""")
+  R(sum(f1 * support) / sum(support)), CAST(sum(support) AS BIGINT) FROM f"""
+
+
+@query("classification_report", f"WITH {_GIVEN}, {_REPORT}")
 def classification_report(spark, folder):
     return ev.classification_report(_given(spark, folder))
 
 
-@query("classify_knn_report")
+@query("classify_knn_report", f"WITH {_KNN}, {_REPORT}")
 def classify_knn_report(spark, folder):
     pred = nn.classify_knn(*_split(spark, folder), "site_id", "wb_code", TARGETS, 5)
     return ev.classification_report(pred)

@@ -36,7 +36,25 @@ def normality_dagostino(spark, folder):
     return st.normality_dagostino(meas(spark, folder), ["wb_code", "target"])
 
 
-@query("normality_shapiro")
+_A1 = sql_text.polynomial("root", (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056))
+_A2 = sql_text.polynomial("root", (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633))
+_MU = sql_text.polynomial("ln(n)", (-1.5861, -0.31082, -0.083751, 0.0038915))
+_SIGMA = sql_text.polynomial("ln(n)", (-0.4803, -0.082676, 0.0030302))
+
+
+@query("normality_shapiro", f"""
+WITH d AS (SELECT wb_code, value, sample_id FROM m WHERE value IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY wb_code ORDER BY {sql_text.draw(3, 'sample_id')}, sample_id) <= 5000),
+o AS (SELECT *, row_number() OVER (PARTITION BY wb_code ORDER BY value, sample_id) AS i,
+  CAST(count(*) OVER (PARTITION BY wb_code) AS DOUBLE) AS n FROM d),
+z AS (SELECT *, (i - 0.375e0) / (n + 0.25e0) AS u FROM o), q AS (SELECT *, {sql_text.normal_quantile('u')} AS s FROM z),
+g AS (SELECT wb_code, n, 1 / sqrt(n) AS root, sum(s * s) AS mm, max(s) AS m1, max(s) FILTER (i = n - 1) AS m2, var_pop(value) * n AS ss FROM q GROUP BY wb_code, n),
+w AS (SELECT *, {_A1} + m1 / sqrt(mm) AS a1, {_A2} + m2 / sqrt(mm) AS a2 FROM g),
+f AS (SELECT *, sqrt((mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)) AS phi FROM w),
+l AS (SELECT wb_code, f.n, ss, sum(value * CASE WHEN i = 1 THEN -a1 WHEN i = 2 THEN -a2 WHEN i = f.n THEN a1 WHEN i = f.n - 1 THEN a2
+  ELSE s / phi END) AS b FROM q JOIN f USING (wb_code) GROUP BY wb_code, f.n, ss),
+r AS (SELECT wb_code, n, b * b / ss AS w, (ln(1 - b * b / ss) - {_MU}) / exp({_SIGMA}) AS z FROM l)
+SELECT wb_code, CAST(n AS BIGINT) AS n, R(w) AS w, R(CASE WHEN z < 0 THEN 1 - {sql_text.two_sided_p('z')} / 2 ELSE {sql_text.two_sided_p('z')} / 2 END) AS p FROM r""")
 def normality_shapiro(spark, folder):
     return st.normality_shapiro(meas(spark, folder), ["wb_code"], "sample_id", seed=3)
 
