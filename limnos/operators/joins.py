@@ -90,14 +90,19 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """One row per key: the first in a stated order, nulls last.
 
     Ties are broken by the remaining columns, so the result does not depend on file order. Columns in
-    ``descending`` must be numeric or dates; text is ordered by ``priority_dedupe_sites``.
+    ``descending`` must be numbers, dates or timestamps; text is ordered by ``priority_dedupe_sites``.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     rank: list[Column] = []
     for c in [*order, *rest]:
         value = col(c)
         if c in descending:
-            value = -value if df.schema[c].dataType.typeName() != "date" else -F.unix_date(value)
+            kind = df.schema[c].dataType.typeName()
+            if kind == "date":
+                value = F.unix_date(value)
+            elif kind.startswith("timestamp"):
+                value = F.unix_micros(value.cast("timestamp"))
+            value = -value
         rank += [col(c).isNull().alias(f"null_{c}"), value.alias(f"by_{c}")]
     row = F.struct(*[col(c) for c in df.columns if c not in keys])
     first = df.groupBy(*keys).agg(F.min_by(row, F.struct(*rank)).alias("__first"))
