@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -22,18 +24,37 @@ def local_session(cpus: int | str = 8, app_name: str = "limnos") -> SparkSession
     )
 
 
-def shared_folder(spark: SparkSession, *parts: str) -> str:
-    """A fresh path below the shared folder the cluster names in ``spark.checkpoint.dir``.
+# Scratch folders made for local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
 
-    Only a local session without that setting falls back to a temporary folder.
+def scratch_folder(spark: SparkSession) -> str:
+    """Folder of this application below the shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A cluster must name one. Only a local session may leave it unset, as in tests: it gets a folder that is removed when
+    the Python process ends.
     """
+    application = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="limnos-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return "/".join([base.rstrip("/"), f"limnos-{uuid.uuid4().hex}", *parts])
+        if application not in _LOCAL:
+            _LOCAL[application] = tempfile.mkdtemp(prefix="limnos-")
+            atexit.register(shutil.rmtree, _LOCAL[application], ignore_errors=True)
+        base = _LOCAL[application]
+    return f"{base.rstrip('/')}/limnos-{application}"
+
+
+def shared_folder(spark: SparkSession, *parts: str) -> str:
+    """A fresh path below the scratch folder."""
+    return "/".join([scratch_folder(spark), uuid.uuid4().hex, *parts])
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete everything this application has staged; call it before the session is stopped."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:
