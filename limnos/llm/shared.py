@@ -95,18 +95,18 @@ def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root``: the smallest node each node of the undirected edges (a, b) is connected with.
 
     Alternating large-star and small-star steps: an edge list that only shrinks towards stars, in a number of rounds that
-    grows with the logarithm of the nodes. Each round is one aggregate and one join per step, written to the shared
-    folder; only a count and a checksum reach the driver. No loops (a = b) and no nulls are expected.
+    grows with the logarithm of the nodes. Each round is one aggregate and one join per step, both written to the shared
+    folder, so that the edges of a hub are a join that adaptive execution can split; only a count and a checksum reach the driver. No loops (a = b) and no nulls are expected.
     """
     now = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
+        low = staged(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")))
         large = (both.join(low, both["a"] == low["u"]).where("b > a")
                  .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         large = staged(large)
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
+        low = staged(large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m"))
         small = (large.join(low, large["a"] == low["u"])
                  .select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
                  .distinct())
