@@ -91,11 +91,12 @@ def rates_of(posteriors: np.ndarray, steps: Sequence[Sequence[float]]) -> np.nda
 def fit_rates(rows: DataFrame, domains: Sequence[str], weights: Mapping[str, float], budget: float = 1.0, rounds: int = ROUNDS) -> Fit:
     """Steps that bring the expected tokens of the domains to ``weights`` (of ``budget`` times all tokens).
 
-    ``rows`` has ``tokens`` and ``posteriors`` and should be a written table: every round reads it once. The first step solves
-    the problem without the bound at zero, from the Gram matrix of the posteriors; the others are gradient steps, projected to
-    rates of zero and more. They stop when all shares are within ``TOLERANCE`` or after ``rounds``. Residuals are divided by the
-    domains' present shares; the scaled Gram matrix then has no eigenvalue above 1, so steps of 1 never overshoot. A domain
-    without a token cannot be mixed and takes no part.
+    ``rows`` has ``tokens`` and ``posteriors`` and should be a written table: every round reads it once, and sums the domains'
+    tokens and the Gram matrix of the posteriors over the rows whose rate is above zero. The next step is the gradient scaled by
+    that matrix, projected to rates of zero and more. If a scaled step makes the fit worse, it is taken back for a plain gradient step,
+    which never overshoots: residuals are divided by the domains' present shares, and the matrix so scaled has no eigenvalue above 1.
+    Rounds end when all shares are within ``TOLERANCE`` of their targets, or when a round no longer moves them (a target
+    that rates of zero and more cannot reach). A domain without a token cannot be mixed and takes no part.
     """
     k = len(domains)
     part = lambda i: F.get("posteriors", F.lit(i))
@@ -103,28 +104,39 @@ def fit_rates(rows: DataFrame, domains: Sequence[str], weights: Mapping[str, flo
     if total <= 0:
         raise ValueError("a domain needs a positive weight")
     targets = np.array([weights.get(d, 0.0) / total * budget for d in domains])
-    t = F.col("tokens").cast("double")
-    gram_row = rows.agg(F.sum(t).alias("w"), *[F.sum(t * part(i) * part(j)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)],
-                        *[F.sum(t * part(i)).alias(f"m{i}") for i in range(k)]).first()
-    if not gram_row["w"]:
+    whole = rows.agg(F.sum("tokens")).first()[0]
+    if not whole:
         return Fit(list(domains), [], targets.tolist(), [0.0] * k)
-    w = gram_row["w"]
-    share = np.array([gram_row[f"m{i}"] for i in range(k)]) / w
-    gram = np.array([[gram_row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / w
-    live = share > 0
+
+    def sums(steps: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        t, r = F.col("t"), F.col("r")
+        row = rows.select(F.col("tokens").cast("double").alias("t"), "posteriors", rate_column(F.col("posteriors"), steps).alias("r")).agg(
+            *[F.sum(t * r * part(i)).alias(f"m{i}") for i in range(k)],
+            *[F.sum(F.when(r > 0, t * part(i) * part(j)).otherwise(0.0)).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).first()
+        return (np.array([row[f"m{i}"] for i in range(k)]) / whole,
+                np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / whole)
+
     steps: list[list[float]] = []
-    first = np.zeros(k)
-    first[live] = np.linalg.lstsq(gram[np.ix_(live, live)], (share - targets)[live], rcond=1e-9)[0]
-    steps.append(first.tolist())
-    reached = share
+    reached, gram = share, _ = sums(steps)
+    live = share > 0
+    scale = np.where(live, share, 1.0)
+    miss = np.where(live, share - targets, 0.0)
+    plain = False
     for _ in range(rounds):
-        rate = rate_column(F.col("posteriors"), steps)
-        sums = rows.select(t.alias("t"), "posteriors", rate.alias("r")).agg(*[F.sum(F.col("t") * F.col("r") * part(i)).alias(f"m{i}") for i in range(k)]).first()
-        reached = np.array([sums[f"m{i}"] for i in range(k)]) / w
-        miss = np.where(live, reached - targets, 0.0)
         if np.abs(miss).max() <= TOLERANCE:
             break
-        steps.append((miss / np.where(live, share, 1.0)).tolist())
+        step = np.zeros(k)
+        step[live] = (miss / scale)[live] if plain else np.linalg.lstsq(gram[np.ix_(live, live)], miss[live], rcond=1e-9)[0]
+        now, next_gram = sums(steps + [step.tolist()])
+        next_miss = np.where(live, now - targets, 0.0)
+        if (next_miss ** 2 / scale).sum() > (miss ** 2 / scale).sum() and not plain:
+            plain = True
+            continue
+        moved = np.abs(now - reached).max()
+        steps.append(step.tolist())
+        reached, gram, miss, plain = now, next_gram, next_miss, False
+        if moved <= TOLERANCE:
+            break
     return Fit(list(domains), steps, targets.tolist(), reached.tolist())
 
 

@@ -6,12 +6,12 @@ fit runs on the sample's sparse features only; scoring is a row-wise map over al
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limnos.functions.nulls import col
@@ -23,7 +23,9 @@ TRAIN_DOCUMENTS = 3_000
 VOCABULARY = 4_000
 #: Documents of the sample a word must occur in.
 LEAST_DOCUMENTS = 8
-LETTERS = regex.compile(r"\p{L}+")
+LETTERS = re.compile(r"[^\W\d_]+")
+#: Words a task remembers the features of.
+REMEMBERED = 400_000
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>@{}[]=_~^\\/", bytes(range(65, 91)), bytes(range(48, 58))
 SHAPE = ("words", "word_length", "symbols", "bars", "shouts", "upper", "digits", "lines", "distinct")
 
@@ -52,6 +54,15 @@ class Model(NamedTuple):
     shape_scale: np.ndarray
     shape_weights: np.ndarray
     constant: np.ndarray
+    known: dict[str, tuple[int, ...]]
+
+    def numbers(self, distinct: set[str]) -> list[int]:
+        """Numbers of the features that words have; what a word has is remembered."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        for w in distinct.difference(self.known):
+            self.known[w] = tuple([self.words[f] for f in features([w]) if f in self.words])
+        return sorted(set().union(*filter(None, map(self.known.get, distinct))))
 
     def posteriors(self, texts: Sequence[str | None]) -> np.ndarray:
         """Probability of each class for each text; an even split if there is no class to tell apart."""
@@ -59,9 +70,9 @@ class Model(NamedTuple):
         for i, text in enumerate(texts):
             found = LETTERS.findall((text or "").lower())
             logits[i] = self.constant
-            at = [self.words[w] for w in features(found) if w in self.words]
+            at = self.numbers(set(found))
             if at:
-                logits[i] += self.word_weights[sorted(at)].sum(axis=0)
+                logits[i] += self.word_weights[at].sum(axis=0)
             if self.shape_weights.any():
                 ratios = (np.array(shape(text or "", found)) - self.shape_mean) / self.shape_scale
                 logits[i] += ratios @ self.shape_weights
@@ -126,7 +137,7 @@ def fit(rows: Rows, label: np.ndarray, weight: np.ndarray, classes: list, words:
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             params[i] = params[i] - rate * (first[i] / (1 - 0.9 ** step)) / (np.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-8)
-    return Model(classes, words, params[0], mean, scale, params[1], params[2])
+    return Model(classes, words, params[0], mean, scale, params[1], params[2], {})
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, doc_id: str = "doc_id", text: str = "text", size: int = TRAIN_DOCUMENTS) -> DataFrame:
