@@ -51,7 +51,8 @@ def _pairs_of(rows: DataFrame) -> list[tuple[list[str], list[str]]]:
 
     found = map_texts(rows, "text", {"doc_id": "doc_id"}, make, "pairs array<struct<a:array<string>,b:array<string>>>")
     one = found.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct()
-    return [(r["a"], r["b"]) for r in one.orderBy(F.xxhash64("a", "b")).limit(PAIRS).collect()]
+    both = lambda words: sorted(text_model.features(words))  # noqa: E731  the beginnings of a term are swapped with it
+    return [(both(r["a"]), both(r["b"])) for r in one.orderBy(F.xxhash64("a", "b")).limit(PAIRS).collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", penalty: float = PENALTY,
