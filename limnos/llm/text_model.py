@@ -22,7 +22,7 @@ from limnos.session import staged
 TRAIN_DOCUMENTS = 3_000
 VOCABULARY = 4_000
 #: Documents of the sample a word must occur in.
-LEAST_DOCUMENTS = 8
+LEAST_DOCUMENTS = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words a task remembers the features of.
 REMEMBERED = 400_000

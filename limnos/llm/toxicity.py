@@ -1,8 +1,9 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 Toxic labels often go with mentions of groups of people, and a plain classifier learns the groups. Here every sentence of
-a sampled labelled document that names a group is copied with the term swapped for another of its set, and the squared
-change of the score is penalised, so the terms themselves carry no weight and neutral mentions stay clean.
+a sampled labelled document that names a group is copied twice, with the term swapped for another of its set and for a
+neutral word without weight, and the squared change of the score is penalised, so the terms themselves carry no weight and
+neutral mentions stay clean.
 """
 
 from __future__ import annotations
@@ -52,7 +53,9 @@ def _pairs_of(rows: DataFrame) -> list[tuple[list[str], list[str]]]:
     found = map_texts(rows, "text", {"doc_id": "doc_id"}, make, "pairs array<struct<a:array<string>,b:array<string>>>")
     one = found.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct()
     both = lambda words: sorted(text_model.features(words))  # noqa: E731  the beginnings of a term are swapped with it
-    return [(both(r["a"]), both(r["b"])) for r in one.orderBy(F.xxhash64("a", "b")).limit(PAIRS).collect()]
+    drawn = one.orderBy(F.xxhash64("a", "b")).limit(PAIRS).collect()
+    plain = lambda words: [w for w in words if w not in SWAPS]
+    return [(both(r["a"]), both(other)) for r in drawn for other in (r["b"], plain(r["a"]))]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", penalty: float = PENALTY,

@@ -63,7 +63,8 @@ def group_mentions(spark):
 def test_swapped_terms_score_alike(spark):
     rows = group_mentions(spark)
     plain, fair = (toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), penalty=p) for p in (0.0, toxicity.PENALTY))
-    neutral = ["the muslims went to the lake.", "the christians went to the lake.", "the house by the lake."]
+    # As long as the texts learned from: a few words alone are unlike any of them.
+    neutral = [f"river lake water stone {term} hill north snow boat house road tree" for term in ("muslims", "christians", "field")]
     a, b = toxicity.toxic_scores(plain, neutral), toxicity.toxic_scores(fair, neutral)
     assert a[0] - a[1] > 0.3 and abs(b[0] - b[1]) < 0.05
     assert a[0] >= toxicity.THRESHOLD > b[0]
@@ -163,7 +164,7 @@ def test_rates_shrink_by_the_spread_between_sites(spark, odd):
         own = rnd.betavariate(6, 2)
         for path in range(3):
             n = rnd.choice([1, 2, 40, 200])
-            rows.append((f"h{host}", f"p{path}", n, sum(rnd.random() < own for _ in range(n))))
+            rows.append((f"h{host}", f"p{path}", n, float(sum(rnd.random() < own for _ in range(n)))))
     prior = site_quality.fit_prior(spark.createDataFrame(rows, "host string, path string, n long, s double"))
     total, good = sum(r[2] for r in rows), sum(r[3] for r in rows)
     assert abs(prior.rate - good / total) < 1e-9 and 2 < prior.host_strength < 40 and prior.path_strength > 20
