@@ -90,9 +90,12 @@ def density_curve(df: DataFrame, column: str, by: Sequence[str], grid: int = 128
     curves = binned.groupBy(*by).agg(F.collect_list(F.struct("__bin", "__c")).alias("__bins"))
     iqr = (ranked_values(rows, by, column).groupBy(*by)
            .agg((quantile_of(column, 0.75) - quantile_of(column, 0.25)).alias("__iqr")))
-    spread = rows.groupBy(*by).agg(F.stddev_samp("__v").alias("__sd"), F.count(F.lit(1)).alias("n"))
+    spread = rows.groupBy(*by).agg(F.stddev_samp("__v").alias("__sd"), F.min("__v").alias("__least"), F.count(F.lit(1)).alias("n"))
+    nonzero = lambda c: F.nullif(c, F.lit(0.0))
+    # Where half the values are equal the quartiles meet: then the sd, the size of the least value, or 1.
+    scale = F.coalesce(nonzero(F.least("__sd", F.col("__iqr") / 1.34)), nonzero(F.col("__sd")), nonzero(F.abs("__least")), F.lit(1.0))
     ready = (curves.join(spread, list(by)).join(iqr, list(by))
-             .withColumn("bandwidth", 0.9 * F.least("__sd", F.col("__iqr") / 1.34) * F.pow(F.col("n"), F.lit(-0.2)))
+             .withColumn("bandwidth", 0.9 * scale * F.pow(F.col("n"), F.lit(-0.2)))
              .withColumn("__lo", lo).withColumn("__range", hi - lo))
     points = ready.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn(
         "x", F.col("__lo") + F.col("point") * F.col("__range") / float(grid - 1))

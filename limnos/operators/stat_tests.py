@@ -80,7 +80,7 @@ def normality_shapiro(df: DataFrame, keys: Sequence[str], row_key: str, value: s
     nexts = F.col("x_next") - F.col("x_second")
     inner = F.when(few, F.col("mx") - m1 * ends).otherwise(F.col("mx") - m1 * ends - m2 * nexts)
     linear = a1 * ends + F.when(few, 0.0).otherwise(a2 * nexts) + inner / F.sqrt(phi)
-    w = F.least(F.try_divide(linear * linear, F.col("ss")), F.lit(1.0))
+    w = F.when(F.col("ss") > 0, F.least(F.try_divide(linear * linear, F.col("ss")), F.lit(1.0)))
     logn, rest = F.ln(n), F.ln(1.0 - F.col("w"))
     # Royston's normalising polynomials for small and large samples.
     small = -F.ln(0.459 * n - 2.273 - rest)
@@ -116,7 +116,7 @@ def wilcoxon_signed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str
     shift = F.col("v") - n * (n + 1) / 4
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__ties") / 48)
     return (sums.withColumn("z", F.try_divide(shift - F.signum(shift) * 0.5, sd))
-            .withColumn("p", F.least(2.0 * normal_upper_tail(F.abs("z")), F.lit(1.0))).drop("__ties"))
+            .withColumn("p", F.when(F.col("z").isNotNull(), F.least(2.0 * normal_upper_tail(F.abs("z")), F.lit(1.0)))).drop("__ties"))
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, first: str, second: str,
@@ -132,10 +132,10 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, first: str, sec
     n1, n2 = F.col("n_first").cast("double"), F.col("n_second").cast("double")
     n = n1 + n2
     shift = F.col("u") - n1 * n2 / 2
-    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("__ties") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.coalesce(F.try_divide(F.col("__ties"), n * (n - 1)), F.lit(0.0))))
     return (sums.withColumn("u", F.col("__r") - n1 * (n1 + 1) / 2)
             .withColumn("z", F.try_divide(shift - F.signum(shift) * 0.5, sd))
-            .withColumn("p", F.least(2.0 * normal_upper_tail(F.abs("z")), F.lit(1.0)))
+            .withColumn("p", F.when(F.col("z").isNotNull(), F.least(2.0 * normal_upper_tail(F.abs("z")), F.lit(1.0))))
             .drop("__r", "__ties"))
 
 

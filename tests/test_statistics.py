@@ -82,3 +82,14 @@ def test_dagostino_needs_eight_values(spark):
     got = {r.g: r for r in st.normality_dagostino(df, ["g"]).collect()}
     assert got["few"].k2 is None and got["few"].reject_normal is None
     assert got["flat"].reject_normal is True
+
+
+def test_groups_without_spread_give_no_verdict_and_no_error(spark):
+    from limnos.operators.chart_data import density_curve
+    from limnos.operators.stat_tests import mann_whitney
+
+    rows = [("one", "a", 5.0, 0)] + [("equal", g, 2.0, i) for i, g in enumerate("aabb")] + [("iqr", g, v, i) for i, (g, v) in enumerate(zip("ababab", [1, 1, 1, 1, 1, 9.0]))]
+    df = spark.createDataFrame([(k, g, float(v), i) for k, g, v, i in rows], "k string, g string, value double, i long")
+    found = {r.k: r for r in mann_whitney(df, ["k"], "g", "a", "b").collect()}
+    assert found["one"].p is None and found["equal"].z is None and found["equal"].p is None and found["iqr"].p is not None
+    assert density_curve(df, "value", ["k"], 4).where("density is null or bandwidth <= 0").count() == 0
