@@ -43,8 +43,7 @@ _SIGMA = sql_text.polynomial("ln(n)", (-0.4803, -0.082676, 0.0030302))
 
 
 @query("normality_shapiro", f"""
-WITH d AS (SELECT wb_code, value, sample_id FROM m WHERE value IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY wb_code ORDER BY {sql_text.draw(3, 'sample_id')}, sample_id) <= 5000),
+WITH d AS (SELECT wb_code, value, sample_id FROM m WHERE value IS NOT NULL),
 o AS (SELECT *, row_number() OVER (PARTITION BY wb_code ORDER BY value, sample_id) AS i,
   CAST(count(*) OVER (PARTITION BY wb_code) AS DOUBLE) AS n FROM d),
 z AS (SELECT *, (i - 0.375e0) / (n + 0.25e0) AS u FROM o), q AS (SELECT *, {sql_text.normal_quantile('u')} AS s FROM z),
@@ -56,14 +55,14 @@ l AS (SELECT wb_code, f.n, ss, sum(value * CASE WHEN i = 1 THEN -a1 WHEN i = 2 T
 r AS (SELECT wb_code, n, b * b / ss AS w, (ln(1 - b * b / ss) - {_MU}) / exp({_SIGMA}) AS z FROM l)
 SELECT wb_code, CAST(n AS BIGINT) AS n, R(w) AS w, R(CASE WHEN z < 0 THEN 1 - {sql_text.two_sided_p('z')} / 2 ELSE {sql_text.two_sided_p('z')} / 2 END) AS p FROM r""")
 def normality_shapiro(spark, folder):
-    return st.normality_shapiro(meas(spark, folder), ["wb_code"], "sample_id", seed=3)
+    return st.normality_shapiro(meas(spark, folder), ["wb_code"], "sample_id")
 
 
 @query("wilcoxon_signed_rank", f"""
-WITH o AS (SELECT target, season, value, row_number() OVER (PARTITION BY target, season ORDER BY sampled_on, value, sample_id) AS i
-  FROM mp WHERE value IS NOT NULL),
-d AS (SELECT target, a.value - b.value AS d FROM (SELECT * FROM o WHERE season = 'summer') a
-  JOIN (SELECT * FROM o WHERE season = 'winter') b USING (target, i) WHERE a.value <> b.value),
+WITH e AS (SELECT target, site_id, year, avg(value) FILTER (season = 'summer') AS a, avg(value) FILTER (season = 'winter') AS b
+  FROM mp WHERE value IS NOT NULL AND season IN ('summer', 'winter') GROUP BY ALL),
+c AS (SELECT target, count(*) FILTER (a = b) AS same, count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b FROM e GROUP BY target),
+d AS (SELECT target, a - b AS d FROM e WHERE a <> b),
 r AS (SELECT target, d, rank() OVER (PARTITION BY target ORDER BY abs(d))
   + (count(*) OVER (PARTITION BY target, abs(d)) - 1) / 2.0e0 AS r,
   CAST(count(*) OVER (PARTITION BY target, abs(d)) AS DOUBLE) AS t FROM d),
@@ -71,10 +70,11 @@ s AS (SELECT target, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS v, sum
 q AS (SELECT *, v - CAST(n AS DOUBLE) * (n + 1) / 4 AS shift,
   sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS sd FROM s),
 z AS (SELECT *, (shift - sign(shift) * 0.5e0) / sd AS z FROM q)
-SELECT target, n AS n_pairs, R(v) AS v, R(z) AS z, R({sql_text.two_sided_p('z')}) AS p FROM z""")
+SELECT target, coalesce(n, 0) AS n_pairs, same AS n_equal_pairs, only_a AS n_only_first, only_b AS n_only_second,
+  R(v) AS v, R(z) AS z, R({sql_text.two_sided_p('z')}) AS p FROM c LEFT JOIN z USING (target)""")
 def wilcoxon_signed_rank(spark, folder):
-    df = derive_period(meas(spark, folder), "sampled_on")
-    return st.wilcoxon_signed_rank(df, ["target"], ["sampled_on", "value", "sample_id"])
+    """Mean of the summer against mean of the winter, site by site and year by year."""
+    return st.wilcoxon_signed_rank(derive_period(meas(spark, folder), "sampled_on"), ["target"], ["site_id", "year"])
 
 
 @query("mann_whitney", f"""

@@ -34,6 +34,9 @@ CDF_DEN = (0.0883883476483184, 1.75566716318264, 16.064177579207, 86.78073220294
            296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 
 
+NEWTON_STEPS = 6
+
+
 def polynomial(x: Column, ascending: Sequence[float]) -> Column:
     total = F.lit(float(ascending[-1]))
     for c in reversed(ascending[:-1]):
@@ -72,28 +75,36 @@ def student_two_sided_p(t: Column, df: Column, steps: int = 2000) -> Column:
     With ``t = sqrt(df) * tan(theta)`` the density is proportional to ``cos(theta)^(df-1)``, so
     the tail is a ratio of two integrals over a finite angle. Meant for result rows, not data rows.
     """
-    reach = F.lit(12.0) / F.sqrt(df)
-    right = F.lit(math.pi / 2)
+    return _angle_integral(F.atan(F.abs(t) / F.sqrt(df)), df, steps) / _half_angle_integral(df, steps)
+
 
-    def integral(start: Column) -> Column:
-        stop = F.least(right, start + reach)
-        h = (stop - start) / steps
-        terms = F.transform(
-            F.sequence(F.lit(0), F.lit(steps)),
-            lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-            * F.pow(F.greatest(F.cos(start + h * i), F.lit(0.0)), df - 1.0))
-        return h / 3.0 * F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
+def _angle_integral(start: Column, df: Column, steps: int) -> Column:
+    """Integral of ``cos(theta)^(df-1)`` from an angle to a right angle."""
+    h = (F.least(F.lit(math.pi / 2), start + F.lit(12.0) / F.sqrt(df)) - start) / steps
+    terms = F.transform(
+        F.sequence(F.lit(0), F.lit(steps)),
+        lambda i: F.when((i == 0) | (i == steps), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+        * F.pow(F.greatest(F.cos(start + h * i), F.lit(0.0)), df - 1.0))
+    return h / 3.0 * F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
 
-    return integral(F.atan(F.abs(t) / F.sqrt(df))) / integral(F.lit(0.0))
+
+def _half_angle_integral(df: Column, steps: int = 2000) -> Column:
+    return _angle_integral(F.lit(0.0), df, steps)
 
 
 def student_quantile(p: float, df: Column) -> Column:
-    """Student quantile by the Cornish-Fisher expansion; 5 digits from about 10 df on."""
+    """Student quantile for p > 0.5: the Cornish-Fisher expansion, refined by Newton steps on the tail."""
     from statistics import NormalDist
 
+    def refined(t: Column, _: Column) -> Column:
+        # With t = sqrt(df) * tan(theta), the tail changes by -cos(theta)^(df + 1) / (sqrt(df) * integral) a unit of t.
+        slope = F.pow(F.cos(F.atan(t / F.sqrt(df))), df + 1.0) / F.sqrt(df)
+        return t + (student_two_sided_p(t, df) - 2.0 * (1.0 - p)) * _half_angle_integral(df) / slope
+
     z = NormalDist().inv_cdf(p)
     g1 = (z ** 3 + z) / 4
     g2 = (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96
     g3 = (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384
     g4 = (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160
-    return F.lit(z) + F.lit(g1) / df + F.lit(g2) / df ** 2 + F.lit(g3) / df ** 3 + F.lit(g4) / df ** 4
+    start = F.lit(z) + F.lit(g1) / df + F.lit(g2) / df ** 2 + F.lit(g3) / df ** 3 + F.lit(g4) / df ** 4
+    return F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), start, refined)

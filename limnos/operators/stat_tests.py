@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from limnos.functions.draws import shuffled_position
 from limnos.functions.normal import (normal_quantile, normal_upper_tail, polynomial, student_quantile,
                                      student_two_sided_p)
 from limnos.functions.nulls import col, keys_not_null
 from limnos.functions.ranks import positions, ranked_values
 from limnos.session import staged
 
-# The Shapiro-Wilk weights are tabulated for samples up to this size.
-SHAPIRO_SAMPLE = 5000
-
 
 def dagostino_k2(n: Column, skew: Column, kurt: Column) -> Column:
     """D'Agostino-Pearson K2 from population skewness and (non-excess) kurtosis; n >= 8."""
@@ -47,17 +43,13 @@ def normality_dagostino(df: DataFrame, keys: Sequence[str], value: str = "value"
             .withColumn("reject_normal", F.col("p") < float(alpha)))
 
 
-def normality_shapiro(df: DataFrame, keys: Sequence[str], row_key: str, value: str = "value", seed: int = 0,
-                      sample: int = SHAPIRO_SAMPLE) -> DataFrame:
-    """Shapiro-Wilk W and p per group, on a repeatable random sample where the group is larger.
+def normality_shapiro(df: DataFrame, keys: Sequence[str], row_key: str, value: str = "value") -> DataFrame:
+    """Shapiro-Wilk W and p per group, over all its rows; ``row_key`` identifies a row.
 
-    No task sees more of a group than the sample.
+    The curve behind p was fitted to samples of up to 5,000 values; for larger groups p is extrapolated.
     """
-    valued = keys_not_null(df, keys).where(col(value).isNotNull()).select(*keys, value, row_key)
-    drawn = shuffled_position(valued, keys, [row_key], seed, "__row").where(F.col("__row") < sample)
-    in_group = Window.partitionBy(*keys)
-    scores = (drawn.withColumn("n", F.count(F.lit(1)).over(in_group).cast("double"))
-              .withColumn("__i", F.row_number().over(in_group.orderBy(value, row_key)))
+    valued = staged(keys_not_null(df, keys).where(col(value).isNotNull()).select(*keys, value, row_key))
+    scores = (positions(valued, keys, [value, row_key], "__i").withColumn("n", F.col("n_group").cast("double"))
               .withColumn("__m", normal_quantile((F.col("__i") - 0.375) / (F.col("n") + 0.25))))
     # Symmetric scores: the largest two carry their own weights, the rest are scaled.
     parts = scores.groupBy(*keys, "n").agg(
@@ -93,18 +85,21 @@ def normality_shapiro(df: DataFrame, keys: Sequence[str], row_key: str, value: s
             .select(*keys, n.cast("long").alias("n"), "w", "p"))
 
 
-def wilcoxon_signed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "value",
+def wilcoxon_signed_rank(df: DataFrame, keys: Sequence[str], pair: Sequence[str], value: str = "value",
                          side: str = "season", first: str = "summer", second: str = "winter") -> DataFrame:
-    """Paired comparison of two sides per group: the i-th row of one with the i-th of the other.
+    """Paired comparison of two sides per group: the means of both sides under each pair key.
 
-    Zero differences are dropped; normal approximation with continuity and tie correction.
+    ``n_pairs`` counts the pairs that differ; ``n_equal_pairs`` those that do not, which the test leaves out;
+    ``n_only_first`` and ``n_only_second`` the pair keys one side lacks. A null in the pair key is a key of its own.
+    Normal approximation with continuity and tie correction; NULL for groups without a differing pair.
     """
-    rows = staged(df.where(col(value).isNotNull() & col(side).isin(first, second))
-                  .select(*keys, side, value, *[c for c in order if c != value]))
-    numbered = staged(positions(rows, [*keys, side], order).select(*keys, side, "position", value))
-    a = numbered.where(col(side) == first).select(*keys, "position", col(value).alias("__a"))
-    b = numbered.where(col(side) == second).select(*keys, "position", col(value).alias("__b"))
-    gaps = (a.join(b, [*keys, "position"]).withColumn("__d", F.col("__a") - F.col("__b")).where("__d <> 0")
+    means = staged(keys_not_null(df, keys).where(col(value).isNotNull() & col(side).isin(first, second)).groupBy(*keys, *pair)
+                   .agg(F.avg(F.when(col(side) == first, col(value))).alias("__a"),
+                        F.avg(F.when(col(side) == second, col(value))).alias("__b")))
+    counts = means.groupBy(*keys).agg(
+        F.count_if(F.col("__a") == F.col("__b")).alias("n_equal_pairs"),
+        F.count_if(F.col("__b").isNull()).alias("n_only_first"), F.count_if(F.col("__a").isNull()).alias("n_only_second"))
+    gaps = (means.withColumn("__d", F.col("__a") - F.col("__b")).where("__d <> 0")
             .withColumn("__abs", F.abs("__d")))
     ranked = ranked_values(gaps, keys, "__abs", [F.count(F.when(F.col("__d") > 0, 1)).alias("__up")])
     mean_rank = F.col("n_below") + (F.col("n_equal") + 1) / 2
@@ -115,8 +110,10 @@ def wilcoxon_signed_rank(df: DataFrame, keys: Sequence[str], order: Sequence[str
     n = F.col("n_pairs").cast("double")
     shift = F.col("v") - n * (n + 1) / 4
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__ties") / 48)
-    return (sums.withColumn("z", F.try_divide(shift - F.signum(shift) * 0.5, sd))
-            .withColumn("p", F.when(F.col("z").isNotNull(), F.least(2.0 * normal_upper_tail(F.abs("z")), F.lit(1.0)))).drop("__ties"))
+    tested = (sums.withColumn("z", F.try_divide(shift - F.signum(shift) * 0.5, sd))
+              .withColumn("p", F.when(F.col("z").isNotNull(), F.least(2.0 * normal_upper_tail(F.abs("z")), F.lit(1.0)))))
+    return (counts.join(tested, list(keys), "left")
+            .select(*keys, F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "n_equal_pairs", "n_only_first", "n_only_second", "v", "z", "p"))
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, first: str, second: str,

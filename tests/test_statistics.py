@@ -31,6 +31,9 @@ def test_student(spark):
         assert r.got == pytest.approx(r.p, rel=2e-3)
     q = spark.createDataFrame([(20.0,)], "df double").select(student_quantile(0.975, F.col("df"))).first()[0]
     assert q == pytest.approx(2.085963, abs=1e-5)
+    low = spark.createDataFrame([(1.0, 12.7062), (2.0, 4.30265), (3.0, 3.18245), (1e6, 1.959966)], "df double, t double")
+    for r in low.select("t", student_quantile(0.975, F.col("df")).alias("got")).collect():
+        assert r.got == pytest.approx(r.t, abs=1e-4)
 
 
 def test_welch_on_the_sleep_data(spark):
@@ -61,6 +64,16 @@ def test_wilcoxon_v(spark):
     assert r.z == pytest.approx((40 - 22.5 - 0.5) / math.sqrt(9 * 10 * 19 / 24))
 
 
+def test_wilcoxon_pairs_on_the_key_and_counts_the_rest(spark):
+    data = [("k", "summer", 1, 1.0), ("k", "summer", 1, 5.0), ("k", "winter", 1, 2.0), ("k", "summer", 2, 4.0),
+            ("k", "winter", 3, 9.0), ("k", "winter", 4, 9.0), ("k", "summer", 5, 7.0), ("k", "winter", 5, 7.0),
+            ("k", "autumn", 6, 1.0), ("k", "summer", 4, None), ("only", "summer", 1, 1.0)]
+    df = spark.createDataFrame(data, "k string, season string, i int, value double")
+    got = {r.k: tuple(r)[1:] for r in st.wilcoxon_signed_rank(df, ["k"], ["i"]).collect()}
+    assert got["k"][:5] == (1, 1, 1, 2, 1.0)
+    assert got["only"] == (0, 0, 1, 0, None, None, None)
+
+
 def test_shapiro_on_the_weights(spark):
     weights = [148, 154, 158, 160, 161, 162, 166, 170, 182, 195, 236]
     df = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate(weights)], "k string, id int, value double")
@@ -73,8 +86,12 @@ def test_shapiro_accepts_normal_scores_and_samples(spark):
     df = spark.createDataFrame([("k", i, v) for i, v in enumerate(scores)], "k string, id int, value double")
     r = st.normality_shapiro(df, ["k"], "id").first()
     assert r.w > 0.999 and r.p > 0.9
-    part = st.normality_shapiro(df, ["k"], "id", sample=100).first()
-    assert part.n == 100 and part.p > 0.001
+
+
+def test_shapiro_takes_all_rows_of_a_large_group(spark):
+    df = spark.range(12_000).select(F.lit("k").alias("k"), "id", (F.col("id") % 1000).cast("double").alias("value"))
+    r = st.normality_shapiro(df, ["k"], "id").first()
+    assert r.n == 12_000 and r.w == pytest.approx(0.9549, abs=2e-3) and r.p < 1e-20
 
 
 def test_dagostino_needs_eight_values(spark):
