@@ -98,12 +98,12 @@ def knn_tune(spark, folder):
 
 @query("kmeans")
 def kmeans(spark, folder):
-    return ml.kmeans(_embeddings(spark, folder), EMBEDDING, 10, starts=3).select("vec_id", "label", "cluster")
+    return ml.kmeans(_embeddings(spark, folder), EMBEDDING, 10).select("vec_id", "label", "cluster")
 
 
 @query("kmeans_sites")
 def kmeans_sites(spark, folder):
-    return ml.kmeans(_matrix(spark, folder), TARGETS, 2, starts=5).select("site_id", "wb_code", "cluster")
+    return ml.kmeans(_matrix(spark, folder), TARGETS, 2).select("site_id", "wb_code", "cluster")
 
 
 @query("kmeans_sweep")
@@ -114,7 +114,7 @@ def kmeans_sweep(spark, folder):
 @query("gmm_sweep")
 def gmm_sweep(spark, folder):
     scores = ml.pca(_embeddings(spark, folder), EMBEDDING, 3)[0]
-    return ml.gmm_sweep(scores, ["PC1", "PC2", "PC3"], max_iter=20)
+    return ml.gmm_sweep(scores, ["PC1", "PC2", "PC3"])
 
 
 @query("pca")
@@ -134,7 +134,7 @@ def pca_loadings(spark, folder):
 
 @query("cluster_projection")
 def cluster_projection(spark, folder):
-    return ml.cluster_projection(_matrix(spark, folder), TARGETS, ["site_id", "wb_code"], 4, starts=3)
+    return ml.cluster_projection(_matrix(spark, folder), TARGETS, ["site_id", "wb_code"], 4)
 
 
 def _split(spark, folder):
@@ -143,7 +143,7 @@ def _split(spark, folder):
 
 @query("classify_linear_svc")
 def classify_linear_svc(spark, folder):
-    return ml.classify_linear_svc(*_split(spark, folder), ["site_id"], "wb_code", TARGETS, max_iter=50)
+    return ml.classify_linear_svc(*_split(spark, folder), ["site_id"], "wb_code", TARGETS)
 
 
 @query("classify_random_forest")
@@ -153,7 +153,7 @@ def classify_random_forest(spark, folder):
 
 @query("classify_svc_rbf")
 def classify_svc_rbf(spark, folder):
-    return ml.classify_svc_rbf(*_split(spark, folder), ["site_id"], "wb_code", TARGETS, max_iter=30)
+    return ml.classify_svc_rbf(*_split(spark, folder), ["site_id"], "wb_code", TARGETS)
 
 
 _GIVEN = """pred AS (SELECT o_orderstatus AS actual,

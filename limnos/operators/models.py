@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, IndexToString, StringIndexer, VectorAssembler
+from pyspark.ml.feature import PCA, IndexToString, PCAModel, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -21,8 +23,11 @@ from limnos.functions.nulls import col, drop_null_rows
 from limnos.operators.features import scale_sample
 from limnos.session import staged
 
-# An iteration reads every partition; small inputs should not pay for many of them.
-ROWS_PER_FIT_PARTITION = 50_000
+# Partitions a fit's rows are hashed into: the same on every cluster, so that a seed draws the same rows. A parameter of
+# ``fit_input``; a training table of many million rows wants more.
+FIT_PARTITIONS = 8
+# Fits of one k that run side by side.
+STARTS_AT_ONCE = 4
 
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -38,23 +43,24 @@ def expand_array(df: DataFrame, column: str, size: int, prefix: str = "x") -> Da
                      *[col(column)[i].cast("double").alias(f"{prefix}{i}") for i in range(size)])
 
 
-def fit_input(df: DataFrame) -> DataFrame:
-    """Training rows computed once, in no more partitions than their number asks for.
+def fit_input(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """Training rows computed once, placed by a hash of the row and sorted in each partition.
 
     The estimators cache what they iterate over, and release it.
     """
-    table = staged(df)
-    return table.coalesce(max(1, math.ceil(table.count() / ROWS_PER_FIT_PARTITION)))
+    row = ["__vector", *[c for c in df.columns if c != "features"]]
+    placed = staged(df).withColumn("__vector", vector_to_array("features"))
+    return placed.repartition(partitions, *[col(c) for c in row]).sortWithinPartitions(*[col(c) for c in row]).drop("__vector")
 
 
 def kmeans_model(vectors: DataFrame, k: int, starts: int = 10, seed: int = 1, max_iter: int = 100) -> KMeansModel:
     """The best of several random starts, by within-cluster sum of squares."""
-    best = None
-    for s in range(starts):
-        model = KMeans(k=k, seed=seed + s, initMode="random" if s else "k-means||", maxIter=max_iter).fit(vectors)
-        if best is None or model.summary.trainingCost < best.summary.trainingCost:
-            best = model
-    return best
+    def start(s: int) -> KMeansModel:
+        return KMeans(k=k, seed=seed + s, initMode="random" if s else "k-means||", maxIter=max_iter).fit(vectors)
+
+    with ThreadPool(min(starts, STARTS_AT_ONCE)) as pool:
+        models = pool.map(inheritable_thread_target(vectors.sparkSession)(start), range(starts), 1)
+    return min(models, key=lambda model: model.summary.trainingCost)
 
 
 def kmeans(df: DataFrame, columns: Sequence[str], k: int, starts: int = 10, seed: int = 1) -> DataFrame:
@@ -64,10 +70,10 @@ def kmeans(df: DataFrame, columns: Sequence[str], k: int, starts: int = 10, seed
     return model.setPredictionCol("cluster").transform(vectors).drop("features")
 
 
-def kmeans_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2, 15), starts: int = 1,
+def kmeans_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2, 15), starts: int = 10,
                  seed: int = 1) -> DataFrame:
     """Silhouette and within-cluster sum of squares per number of clusters."""
-    vectors = fit_input(assembled(df, columns).select("features"))
+    vectors = fit_input(assembled(df, columns))
     score = ClusteringEvaluator(predictionCol="prediction", featuresCol="features")
     rows = []
     for k in ks:
@@ -121,16 +127,23 @@ def _centred(df: DataFrame, columns: Sequence[str], scale: bool) -> DataFrame:
     return complete.select(*[(col(c) - means[c]).alias(c) if c in columns else col(c) for c in complete.columns])
 
 
+def _signs(model: PCAModel) -> list[float]:
+    """Sign of each component that makes its largest loading positive; the solver leaves it open."""
+    weights = model.pc.toArray()
+    return [float(np.sign(w[np.abs(w).argmax()])) or 1.0 for w in weights.T]
+
+
 def pca(df: DataFrame, columns: Sequence[str], k: int, scale: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores per row (PC1..PCk), explained-variance ratio per component, loadings per column."""
     vectors = fit_input(assembled(_centred(staged(df), columns, scale), columns))
     model = PCA(k=k, inputCol="features", outputCol="__pc").fit(vectors)
     keep = [c for c in df.columns if c not in columns]
+    signs = _signs(model)
     scores = (model.transform(vectors).withColumn("__pc", vector_to_array("__pc"))
-              .select(*keep, *[F.col("__pc")[i].alias(f"PC{i + 1}") for i in range(k)]))
+              .select(*keep, *[(F.col("__pc")[i] * signs[i]).alias(f"PC{i + 1}") for i in range(k)]))
     spark = df.sparkSession
     ratios = [(i + 1, float(r)) for i, r in enumerate(model.explainedVariance.toArray())]
-    weights = [(c, *map(float, row)) for c, row in zip(columns, model.pc.toArray())]
+    weights = [(c, *map(float, row)) for c, row in zip(columns, model.pc.toArray() * signs)]
     names = ", ".join(f"PC{i + 1} double" for i in range(k))
     return (scores, spark.createDataFrame(ratios, "component int, variance_ratio double"),
             spark.createDataFrame(weights, f"feature string, {names}"))
@@ -141,9 +154,10 @@ def cluster_projection(df: DataFrame, columns: Sequence[str], ids: Sequence[str]
     """Ids, cluster and first components of every row, in one pass over the same vectors."""
     vectors = fit_input(assembled(_centred(staged(df), columns, scale), columns))
     grouped = kmeans_model(vectors, clusters, starts, seed).setPredictionCol("cluster").transform(vectors)
-    both = PCA(k=components, inputCol="features", outputCol="__pc").fit(vectors).transform(grouped)
-    return (both.withColumn("__pc", vector_to_array("__pc"))
-            .select(*ids, "cluster", *[F.col("__pc")[i].alias(f"PC{i + 1}") for i in range(components)]))
+    model = PCA(k=components, inputCol="features", outputCol="__pc").fit(vectors)
+    signs = _signs(model)
+    return (model.transform(grouped).withColumn("__pc", vector_to_array("__pc"))
+            .select(*ids, "cluster", *[(F.col("__pc")[i] * signs[i]).alias(f"PC{i + 1}") for i in range(components)]))
 
 
 def _fit_and_predict(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, estimator) -> DataFrame:

@@ -112,6 +112,20 @@ def test_kmeans(blobs):
     assert len(purity) == 3 and all(r.n <= 2 for r in purity)
 
 
+def test_kmeans_does_not_depend_on_the_layout(spark, blobs):
+    """The same rows in other partitions and another shuffle width give the same clusters."""
+    def clusters(df):
+        return {r.id: r.cluster for r in ml.kmeans(df, COLUMNS, 5, starts=2).collect()}
+
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    one = clusters(blobs)
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+        assert clusters(blobs.repartition(11, "z")) == one
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+
+
 def test_kmeans_sweep(blobs):
     got = ml.kmeans_sweep(blobs, COLUMNS, range(2, 6), starts=3).collect()
     assert max(got, key=lambda r: r.silhouette).k == 3
@@ -139,7 +153,9 @@ def test_pca_matches_svd(blobs):
     assert [r.variance_ratio for r in ratios.orderBy("component").collect()] == pytest.approx(list(singular / singular.sum()))
     got = np.array([[r.PC1, r.PC2, r.PC3] for r in scores.collect()])
     assert got.mean(axis=0) == pytest.approx([0, 0, 0], abs=1e-9)
-    assert loadings.count() == 3
+    weights = np.array([[r.PC1, r.PC2, r.PC3] for r in loadings.collect()])
+    assert weights.shape == (3, 3) and (weights.max(axis=0) >= -weights.min(axis=0)).all()
+    assert np.allclose((data - data.mean(axis=0)) @ weights, got[np.argsort([r.id for r in scores.collect()])][np.argsort(np.argsort([r.id for r in blobs.collect()]))])
 
 
 def test_projection(blobs):
