@@ -8,9 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from limnos.functions.nulls import col, drop_null_rows
 
-# Lists longer than this are joined, not inlined into the plan.
-INLINE_LIST_LIMIT = 1000
-
 # The general and the metal target groups.
 TARGET_GROUPS = {
     "general": ("pH", "Water Temperature", "Oxygen saturation", "Electrical conductivity", "Ammonium",
@@ -62,13 +59,9 @@ def filter_thresholds(df: DataFrame, max_below_loq_pct: float | None = None, min
 
 
 def filter_in_list(df: DataFrame, column: str, values: Iterable) -> DataFrame:
-    """Keep rows whose value is listed; a long list becomes a semi join."""
-    values = list(values)
-    if len(values) <= INLINE_LIST_LIMIT:
-        return df.where(col(column).isin(values))
-    listed = df.sparkSession.createDataFrame([(v,) for v in values], [column])
-    return df.join(listed.withColumn(column, col(column).cast(df.schema[column].dataType)), column,
-                   "left_semi")
+    """Keep rows whose value is listed. The list is cast to the type of the column; what cannot be cast matches nothing."""
+    kind = df.schema[column].dataType
+    return df.where(col(column).isin([F.lit(v).try_cast(kind) for v in values]))
 
 
 def filter_years(df: DataFrame, first: int | None = None, last: int | None = None,

@@ -13,12 +13,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limnos.functions.nulls import col, drop_null_rows, unpivot_columns
 
 
-def pivot_values(df: DataFrame, column: str = "target", limit: int = 10_000) -> list[str]:
-    """Sorted pivot values; refuses a vocabulary too large to become columns."""
-    rows = (df.select(col(column).alias("v")).where("v IS NOT NULL").distinct().orderBy("v")
-            .limit(limit + 1).collect())
-    if len(rows) > limit:
-        raise ValueError(f"{column} has more than {limit} values; pick targets before the pivot")
+def pivot_values(df: DataFrame, column: str = "target") -> list[str]:
+    """Sorted pivot values. They become column names; of a large vocabulary, rank and pick targets before the pivot."""
+    rows = df.select(col(column).alias("v")).where("v IS NOT NULL").distinct().orderBy("v").collect()
     return [r.v for r in rows]
 
 

@@ -62,12 +62,13 @@ SITE_COLUMNS = {
 def typed_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """CSV by header name: text is normalised first, then cast; bad numbers become NULL.
 
-    The file may hold more columns, in any order: only its header line is read here, and the scan is
-    pruned to the declared ones.
+    The files may hold more columns, in any order, but all in the same one: only one header line is read here, the scan
+    is pruned to the declared columns, and a file with another header fails the scan.
     """
-    header = [name.strip().lstrip("﻿") for name in spark.read.csv(path, header=True).columns]
-    raw = spark.read.schema(T.StructType([T.StructField(name, T.StringType()) for name in header]))
-    df = raw.csv(path, header=True, enforceSchema=True)
+    found = spark.read.csv(path, header=True).columns
+    raw = spark.read.schema(T.StructType([T.StructField(name, T.StringType()) for name in found]))
+    header = [name.strip().lstrip("﻿") for name in found]
+    df = raw.csv(path, header=True, enforceSchema=False).toDF(*header)
     out = []
     for name, kind in columns.items():
         c = missing_to_null(col(name)) if name in header else F.lit(None).cast("string")

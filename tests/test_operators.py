@@ -54,10 +54,12 @@ def test_shares_of_an_empty_row_are_null(spark):
     assert (two.total, two.a_share) == (0, None)
 
 
-def test_long_lists_are_joined(spark):
-    df = spark.createDataFrame([("a",), ("zz",), (None,)], "target string")
-    listed = [f"x{i}" for i in range(fi.INLINE_LIST_LIMIT)] + ["zz"]
-    assert [r.target for r in fi.filter_in_list(df, "target", listed).collect()] == ["zz"]
+@pytest.mark.parametrize("length", [0, 2, 2000])
+def test_lists_of_any_length_take_the_type_of_the_column(spark, length):
+    df = spark.createDataFrame([("a", 7), ("1", 1), (None, None)], "target string, n int")
+    listed = [*range(1, length + 1)]
+    assert [r.target for r in fi.filter_in_list(df, "target", listed).collect()] == ["1"] * bool(length)
+    assert [r.n for r in fi.filter_in_list(df, "n", ["x", None, *map(str, listed[:1])]).collect()] == [1] * bool(length)
 
 
 def test_priority_dedupe(spark, rows):
@@ -111,9 +113,8 @@ def test_sparse_columns(spark):
     assert rs.order_columns_by_total(df, ["id"], 2).columns == ["id", "a", "c"]
 
 
-def test_pivot_refuses_a_huge_vocabulary(spark):
-    with pytest.raises(ValueError):
-        rs.pivot_values(spark.range(30).select(F.col("id").cast("string").alias("target")), limit=20)
+def test_pivot_values_are_all_sorted_values(spark):
+    assert rs.pivot_values(spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "target string")) == ["a", "b"]
 
 
 def test_histogram_keeps_the_maximum_and_empty_bins(spark, rows):
@@ -232,3 +233,14 @@ def test_season_chain(small):
     assert seasons.season_recap(table).count() == 8
     assert seasons.season_matrix(table).count() == 16
     assert seasons.season_matrix(table, fill=None).count() == 15
+
+
+def test_files_with_another_header_fail_the_scan(spark, tmp_path):
+    from limnos.sources.readers import typed_csv
+
+    (tmp_path / "a.csv").write_text(" site,unit \nS1,mg\n")
+    columns = {"unit": "string", "site": "string", "absent": "double"}
+    assert [tuple(r) for r in typed_csv(spark, str(tmp_path), columns).collect()] == [("mg", "S1", None)]
+    (tmp_path / "b.csv").write_text("unit,site\nug,S2\n")
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        typed_csv(spark, str(tmp_path), columns).collect()
