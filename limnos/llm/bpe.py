@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
-from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -26,7 +25,7 @@ RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Pre-tokens up to this many bytes are merged in arrays.
 SHORT = 64
 #: Distinct pre-tokens a task remembers; beyond, it forgets them and merges again.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 
 
 def encode_rows(words: Sequence[bytes], pairs: Pairs) -> list[list[int]]:
@@ -141,7 +140,7 @@ def encode_long(word: bytes, pairs: Pairs) -> list[int]:
 
 
 class Encoder:
-    """Encodes and decodes whole texts; remembers distinct pre-tokens up to ``REMEMBERED``.
+    """Encodes and decodes the whole texts of a task; remembers distinct pre-tokens up to ``REMEMBERED``.
 
     The ids of a pre-token are kept as decimal text and their decoded bytes beside them: plain byte strings, which cost
     a garbage collector nothing.
@@ -192,17 +191,13 @@ class Encoder:
         return list(map(int, ids.split()))
 
 
-@lru_cache(1)
-def encoder(path: str) -> Encoder:
-    """One encoder for all tasks of a worker process."""
-    return Encoder(path)
-
-
 def _digests(path: str):
     def make():
+        encoder = Encoder(path)
+
         def compute(texts):
             rows = [(ids.count(b" ") + 1 if ids else 0, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest())
-                    for ids, decoded in encoder(path).rows(texts)]
+                    for ids, decoded in encoder.rows(texts)]
             counts, ids, decoded = zip(*rows)
             return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
         return compute
@@ -220,9 +215,11 @@ def encode_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def _ids(path: str):
     def make():
+        encoder = Encoder(path)
+
         def compute(texts):
             flat, same = [], []
-            for text, (ids, decoded) in zip(texts, encoder(path).rows(texts)):
+            for text, (ids, decoded) in zip(texts, encoder.rows(texts)):
                 flat.append(np.array(ids.split(), np.int32))
                 same.append(decoded == (text or "").encode("utf-8"))
             return {"ids": pa.array(flat, pa.list_(pa.int32())), "n_tokens": pa.array([len(f) for f in flat], pa.int64()), "restored": pa.array(same, pa.bool_())}

@@ -175,10 +175,8 @@ def mix(docs: DataFrame, model: text_model.Model | None, weights: Mapping[str, f
 
     def rate(batches):
         for batch in batches:
-            texts = batch.column(position).to_pylist()
-            for start, end in text_slices(texts):
-                p = posteriors_of(model, domains, texts[start:end])
-                part = batch.slice(start, end - start)
+            for part, texts in text_slices(batch, position):
+                p = posteriors_of(model, domains, texts)
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*part.columns, pa.array(rates_of(p, fit.steps))], arrow)], schema=arrow)
 
     rated = docs.mapInArrow(rate, schema)

@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from limnos.functions.nulls import col
 from limnos.session import staged
 
-#: Characters of text a task works on at once; a longer text is one slice of its own.
-SLICE_CHARS = 4_000_000
+#: Bytes of text a task works on at once; a longer text is in a slice of its own.
+SLICE_BYTES = 1 << 20
 
 
-def text_slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of rows that hold about ``SLICE_CHARS`` together."""
-    start = size = 0
-    for i, text in enumerate(texts):
-        size += len(text or "")
-        if size >= SLICE_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def text_slices(batch: pa.RecordBatch, position: int) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Runs of rows whose texts end in the same ``SLICE_BYTES`` of the batch, and those texts; no others become Python objects."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(position)), 0).to_numpy(zero_copy_only=False)
+    place = np.cumsum(sizes, dtype=np.int64) // SLICE_BYTES
+    bounds = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(bounds, bounds[1:]):
+        if start < end:
+            part = batch.slice(start, end - start)
+            yield part, part.column(position).to_pylist()
 
 
 def map_texts(df: DataFrame, text: str, keep: dict[str, str], make: Callable[[], Callable[[list[str | None]], dict[str, pa.Array]]],
@@ -44,10 +44,8 @@ def map_texts(df: DataFrame, text: str, keep: dict[str, str], make: Callable[[],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = make()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for start, end in text_slices(texts):
-                out = compute(texts[start:end])
-                part = batch.slice(start, end - start)
+            for part, texts in text_slices(batch, 0):
+                out = compute(texts)
                 columns = [part.column(1 + i) for i in range(len(names))] + [out[f.name] for f in extra.fields]
                 yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, arrow)], schema=arrow)
 
@@ -61,9 +59,8 @@ def filter_texts(df: DataFrame, text: str, make: Callable[[], Callable[[list[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         choose = make()
         for batch in batches:
-            texts = batch.column(position).to_pylist()
-            for start, end in text_slices(texts):
-                yield batch.slice(start, end - start).filter(pa.array(choose(texts[start:end]), pa.bool_()))
+            for part, texts in text_slices(batch, position):
+                yield part.filter(pa.array(choose(texts), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 

@@ -25,7 +25,7 @@ VOCABULARY = 4_000
 LEAST_DOCUMENTS = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words a task remembers the features of.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>@{}[]=_~^\\/", bytes(range(65, 91)), bytes(range(48, 58))
 SHAPE = ("words", "word_length", "symbols", "bars", "shouts", "upper", "digits", "lines", "distinct")
 
