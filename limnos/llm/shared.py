@@ -114,5 +114,24 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def one_of_each(docs: DataFrame, names: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each class: the smallest id, null last, then the smallest hash of its text.
+
+    ``names`` has ``doc_id``, ``hash`` (of the text) and ``fp`` of each document, ``classes`` the ``root`` of each ``fp``. Texts are
+    not shuffled: the row to keep is named by id and text hash and found by a semi join, which adaptive execution
+    splits where one key is hot. Only where several equal rows carry the chosen name are those rows made distinct.
+    """
+    name = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "hash")
+    least = names.groupBy("fp").agg(F.min(name).alias("name"))
+    chosen = least.join(classes, "fp").groupBy("root").agg(F.min("name").alias("name")).select("name.doc_id", "name.hash")
+    rows = names.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    chosen = staged(chosen.alias("c").join(rows.alias("r"), F.col("c.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("c.hash") == F.col("r.hash")))
+                    .select(F.col("c.doc_id").alias("__id"), F.col("c.hash").alias("__hash"), F.col("n").alias("__n")))
+    match = col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(col(text)) == F.col("__hash"))
+    once = docs.join(chosen.where("__n = 1"), match, "left_semi")
+    repeated = docs.join(chosen.where("__n > 1"), match, "left_semi").dropDuplicates([doc_id, text])
+    return once.unionByName(repeated)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
