@@ -131,12 +131,12 @@ def similar_vectors(table: DataFrame, vec_id: str = "vec_id", vector: str = "emb
         F.first("label").alias("label"), F.first("vector").alias("vector"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("low"))
         .withColumn("size", F.size("vector")))
 
-    sizes = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"))
-    wanted = staged(sizes.withColumn("share", F.least(F.ceil(F.col("n") / CELL_ROWS), F.lit(MAX_PIVOTS)) / F.col("n")))
-    # Twice the share is drawn, so that a label gets its pivots, and at least one, of an even spread of its vectors.
     spot = F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") / float(2 ** 53)
+    sizes = classes.groupBy("label", "size").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(spot.alias("spot"), "id"))["id"].alias("first"))
+    wanted = staged(sizes.withColumn("share", F.least(F.ceil(F.col("n") / CELL_ROWS), F.lit(MAX_PIVOTS)) / F.col("n")))
+    # More than the share is drawn, so that a label gets its pivots of an even spread of its vectors; the first vector makes sure of one.
     drawn = (classes.join(wanted.withColumnRenamed("size", "s").withColumnRenamed("label", "l"), F.col("label").eqNullSafe(F.col("l")) & (F.col("size") == F.col("s")))
-             .where(spot <= F.col("share") + 8 / F.col("n")))
+             .where((spot <= F.col("share") + 8 / F.col("n")) | (F.col("id") == F.col("first"))))
     ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("label", "size").orderBy(spot, "id"))).where(F.col("r") <= F.greatest(F.lit(1), F.round(F.col("share") * F.col("n"))))
     chosen = ranked.select("label", "size", "id", "vector").orderBy("label", "size", "id").collect()
     pivots: dict[tuple, np.ndarray] = {}
