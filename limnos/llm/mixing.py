@@ -161,10 +161,17 @@ def mix_rates(docs: DataFrame, model: text_model.Model | None, weights: Mapping[
                         copies_column(F.col("rate"), F.col("doc_id"), F.col("hash")).alias("copies"))
 
 
-def mix(docs: DataFrame, model: text_model.Model | None, weights: Mapping[str, float], budget: float = 1.0, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, each as often as its rate says, with their own columns, whatever their names."""
+def mix(docs: DataFrame, model: text_model.Model | None, weights: Mapping[str, float], budget: float = 1.0, doc_id: str = "doc_id", text: str = "text", not_raised: Sequence[str] = ()) -> DataFrame:
+    """The documents, each as often as its rate says, with their own columns, whatever their names.
+
+    A domain in ``not_raised`` whose present share is below its weight keeps that share.
+    """
     domains = sorted(weights)
     rows = staged(domain_posteriors(docs, model, domains, {}, text))
+    if not_raised:
+        part = lambda d: F.get("posteriors", F.lit(domains.index(d)))
+        present = rows.agg(*[F.try_divide(F.sum(F.col("tokens") * part(d)), F.sum("tokens")) for d in not_raised]).first()
+        weights = {**weights, **{d: min(weights[d], s or 0.0) for d, s in zip(not_raised, present)}}
     fit = fit_rates(rows, domains, weights, budget)
     name = "__rate"
     while name in docs.columns:
