@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from limnos.functions.nulls import col
@@ -114,6 +114,18 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
 
 
+def numbered_in_place(rows: DataFrame, out: str, first: int = 0) -> DataFrame:
+    """Rows numbered from ``first`` in the order of their partitions and of the rows in them, as a written table.
+
+    A row's place in its partition is shifted by the rows of the partitions before: one number per partition is all that is gathered.
+    """
+    placed = staged(rows.withColumn("__seq", F.monotonically_increasing_id()))
+    part, row = F.shiftright("__seq", 33), F.col("__seq").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    shift = staged(counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before")))
+    return placed.withColumn("__part", part).join(shift, "__part").withColumn(out, F.col("__before") + row + first).drop("__part", "__seq", "__before")
+
+
 def one_of_each(docs: DataFrame, names: DataFrame, classes: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each class: the smallest id, null last, then the smallest hash of its text.
 
