@@ -90,6 +90,79 @@ def mann_whitney(spark, folder):
     return st.mann_whitney(meas(spark, folder), ["target"], "wb_code", "GW", "RW")
 
 
+# Ways to reach each sum of positive ranks, by size, and the summer and winter means of a site and year.
+_LAW = """law AS (WITH RECURSIVE l(n, c) AS (SELECT 0, [1e0] UNION ALL
+  SELECT n + 1, [coalesce(c[s + 1], 0) + CASE WHEN s > n THEN c[s - n] ELSE 0 END FOR s IN range(0, len(c) + n + 1)] FROM l WHERE n < 49)
+  SELECT n, [list_sum(c[1:k]) / 2 ** n FOR k IN range(1, len(c) + 1)] AS law FROM l WHERE n > 0)"""
+_SEASONS = """e AS (SELECT target, site_id, year, avg(value) FILTER (season = 'summer') AS a, avg(value) FILTER (season = 'winter') AS b
+  FROM mp WHERE value IS NOT NULL AND season IN ('summer', 'winter') GROUP BY ALL)"""
+
+
+def _interval_sql(keys: str) -> str:
+    return f"""
+WITH {_LAW}, {_SEASONS},
+g AS (SELECT {keys}, abs(a - b) AS size, count(*) AS n FROM e WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL),
+s AS (SELECT {keys}, CAST(sum(CASE WHEN size > 0 THEN n ELSE 0 END) AS BIGINT) AS n_pairs, max(n) = 1 AND min(size) > 0 AS clean FROM g GROUP BY ALL),
+d AS (SELECT {keys}, a - b AS d, row_number() OVER (PARTITION BY {keys} ORDER BY a - b, site_id, year) AS i FROM e WHERE a <> b),
+w AS (SELECT {keys}, (x.d + y.d) / 2 AS w, row_number() OVER (PARTITION BY {keys} ORDER BY (x.d + y.d) / 2) AS r, count(*) OVER (PARTITION BY {keys}) AS c
+  FROM d x JOIN d y USING ({keys}) WHERE x.i <= y.i),
+q AS (SELECT s.*, CAST(n_pairs AS DOUBLE) AS x, CASE WHEN clean AND law IS NOT NULL THEN greatest(1, len([p FOR p IN law IF p < 0.025e0])) END AS t FROM s LEFT JOIN law ON n_pairs = law.n),
+k AS (SELECT * EXCLUDE (x, clean), greatest(1, floor(x * (x + 1) / 4 - 1.959963984540054e0 * sqrt(x * (x + 1) * (2 * x + 1) / 24))) AS f FROM q)
+SELECT {keys}, n_pairs, R(avg(w) FILTER (r IN ((c + 1) // 2, c // 2 + 1))) AS estimate, R(max(w) FILTER (r = f)) AS ci_low, R(max(w) FILTER (r = c + 1 - f)) AS ci_high,
+  R(max(w) FILTER (r = t)) AS exact_low, R(max(w) FILTER (r = c + 1 - t)) AS exact_high FROM k LEFT JOIN w USING ({keys}) GROUP BY {keys}, n_pairs"""
+
+
+@query("wilcoxon_interval", _interval_sql("target"))
+def wilcoxon_interval(spark, folder):
+    """Median summer-winter difference of a target, with its 95 % interval."""
+    return st.signed_rank_interval(derive_period(meas(spark, folder), "sampled_on"), ["target"], ["site_id", "year"])
+
+
+@query("wilcoxon_interval_sites", _interval_sql("target, site_id"))
+def wilcoxon_interval_sites(spark, folder):
+    """The same for each site, where there are few years."""
+    return st.signed_rank_interval(derive_period(meas(spark, folder), "sampled_on"), ["target", "site_id"], ["year"])
+
+
+@query("wilcoxon_exact", f"""
+WITH {_LAW}, {_SEASONS},
+c AS (SELECT target, site_id, count(*) FILTER (a = b) AS same, count(*) FILTER (b IS NULL) AS only_a, count(*) FILTER (a IS NULL) AS only_b FROM e GROUP BY ALL),
+d AS (SELECT target, site_id, a - b AS d FROM e WHERE a <> b),
+r AS (SELECT target, site_id, d, rank() OVER (PARTITION BY target, site_id ORDER BY abs(d)) + (count(*) OVER (PARTITION BY target, site_id, abs(d)) - 1) / 2.0e0 AS r,
+  CAST(count(*) OVER (PARTITION BY target, site_id, abs(d)) AS DOUBLE) AS t FROM d),
+s AS (SELECT target, site_id, count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS v, sum((t*t*t - t) / t) AS ties FROM r GROUP BY ALL),
+q AS (SELECT *, v - CAST(n AS DOUBLE) * (n + 1) / 4 AS shift, sqrt(CAST(n AS DOUBLE) * (n + 1) * (2 * n + 1) / 24 - ties / 48) AS sd FROM s),
+z AS (SELECT *, (shift - sign(shift) * 0.5e0) / sd AS z FROM q)
+SELECT target, site_id, coalesce(z.n, 0) AS n_pairs, same AS n_equal_pairs, only_a AS n_only_first, only_b AS n_only_second, R(v) AS v, R(z) AS z, R({sql_text.two_sided_p('z')}) AS p,
+  R(CASE WHEN same = 0 AND ties = 0 AND law IS NOT NULL THEN least(2 * law[CAST(least(v, z.n * (z.n + 1) / 2 - v) AS BIGINT) + 1], 1) END) AS p_exact
+FROM c LEFT JOIN z USING (target, site_id) LEFT JOIN law ON law.n = z.n""")
+def wilcoxon_exact(spark, folder):
+    """Summer against winter at each site, with the exact law of a small sample."""
+    return st.signed_rank_exact(derive_period(meas(spark, folder), "sampled_on"), ["target", "site_id"], ["year"])
+
+
+@query("mann_whitney_exact", f"""
+WITH o AS (SELECT target, country, year, wb_code, value, rank() OVER (PARTITION BY target, country, year ORDER BY value)
+  + (count(*) OVER (PARTITION BY target, country, year, value) - 1) / 2.0e0 AS r,
+  CAST(count(*) OVER (PARTITION BY target, country, year, value) AS DOUBLE) AS t FROM me WHERE value IS NOT NULL AND wb_code IN ('ground', 'river')),
+s AS (SELECT target, country, year, count(*) FILTER (wb_code = 'ground') AS n_first, count(*) FILTER (wb_code = 'river') AS n_second,
+  coalesce(sum(r) FILTER (wb_code = 'ground'), 0) AS rs, sum((t*t*t - t) / t) AS ties, CAST(count(*) AS DOUBLE) AS n FROM o GROUP BY ALL),
+u AS (SELECT *, rs - CAST(n_first AS DOUBLE) * (n_first + 1) / 2 AS u, CAST(n_first AS DOUBLE) * n_second AS nn FROM s),
+z AS (SELECT *, (u - nn / 2 - sign(u - nn / 2) * 0.5e0) / nullif(sqrt(nn / 12 * ((n + 1) - coalesce(ties / nullif(n * (n - 1), 0), 0))), 0) AS z FROM u),
+law AS (WITH RECURSIVE l(a, b, i, c) AS (
+  SELECT n_first, n_second, 0, list_prepend(1e0, [0e0 FOR s IN range(0, n_first * n_second)]) FROM (
+    SELECT DISTINCT n_first, n_second FROM s WHERE n_first BETWEEN 1 AND 49 AND n_second BETWEEN 1 AND 49)
+  UNION ALL SELECT a, b, i + 1, [list_sum([c[s - j * (i + 1) + 1] - CASE WHEN s - j * (i + 1) > b + i THEN c[s - j * (i + 1) - b - i] ELSE 0 END
+    FOR j IN range(0, s // (i + 1) + 1)]) FOR s IN range(0, len(c))] FROM l WHERE i < a)
+  SELECT a, b, c, list_sum(c) AS total FROM l WHERE i = a)
+SELECT target, country, year, n_first, n_second, R(u) AS u, R(z) AS z, R({sql_text.two_sided_p('z')}) AS p,
+  R(CASE WHEN ties = 0 AND total IS NOT NULL THEN least(2 * list_sum(c[1:CAST(least(u, nn - u) AS BIGINT) + 1]) / total, 1) END) AS p_exact
+FROM z LEFT JOIN law ON n_first = a AND n_second = b""")
+def mann_whitney_exact(spark, folder):
+    """Ground water against rivers within a country and year, with the exact law of a small sample."""
+    return st.rank_sum_exact(merged(spark, folder), ["target", "country", "year"], "wb_code", "ground", "river")
+
+
 @query("welch_t", """
 WITH g AS (SELECT target, count(value) FILTER (wb_code = 'GW') AS n1, count(value) FILTER (wb_code = 'RW') AS n2,
   avg(value) FILTER (wb_code = 'GW') AS m1, avg(value) FILTER (wb_code = 'RW') AS m2,

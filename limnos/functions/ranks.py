@@ -1,4 +1,4 @@
-"""Exact ranks and order statistics of groups of any size.
+"""Exact ranks of groups of any size.
 
 A plain ``row_number() over (partition by key order by value)`` sorts a whole group in one task, and
 ``percentile`` holds a group's values in one task's memory. Here equal values are counted first, then
@@ -8,7 +8,7 @@ shifted by the number of rows in the slices before.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,10 +19,11 @@ from limnos.session import shuffle_width, staged
 SAMPLE_EVERY = 1 << 16
 
 
-def _ranked(counted: DataFrame, keys: list[str], value: str, order: Sequence[str], sample_every: int) -> DataFrame:
+def _ranked(counted: DataFrame, keys: list[str], value: str, order: Sequence[str], sample_every: int, weights: Sequence[str] = ("n_equal",)) -> DataFrame:
     """Add ``n_below`` and ``n_group`` to rows with ``n_equal`` copies, ordered within the keys.
 
-    ``value`` is compared with the cut points; ``order`` are the columns it stands for.
+    ``value`` is compared with the cut points; ``order`` are the columns it stands for. Every further weight w is summed
+    over the rows before as ``<w>_below``.
     """
     slices = shuffle_width(counted.sparkSession)
     sampled = F.when(F.pmod(F.xxhash64(col(value)), F.lit(sample_every)) == 0, col(value))
@@ -38,17 +39,16 @@ def _ranked(counted: DataFrame, keys: list[str], value: str, order: Sequence[str
     sliced = (counted.join(cuts, keys)
               .withColumn("__slice", F.size(F.filter("__cuts", lambda c: c <= col(value))))
               .drop("__cuts"))
-    before = (sliced.groupBy(*keys, "__slice").agg(F.sum("n_equal").alias("__n"))
-              .withColumn("__before", F.sum("__n").over(Window.partitionBy(*keys).orderBy("__slice"))
-                          - F.col("__n"))
-              .drop("__n"))
-    running = F.sum("n_equal").over(
-        Window.partitionBy(*keys, "__slice").orderBy(*[col(c) for c in order])
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (sliced.withColumn("__running", running)
+    earlier = Window.partitionBy(*keys).orderBy("__slice")
+    before = (sliced.groupBy(*keys, "__slice").agg(*[F.sum(w).alias(f"__n_{w}") for w in weights])
+              .select(*keys, "__slice", *[(F.sum(f"__n_{w}").over(earlier) - F.col(f"__n_{w}")).alias(f"__before_{w}") for w in weights]))
+    within = (Window.partitionBy(*keys, "__slice").orderBy(*[col(c) for c in order])
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    below = {w: "n_below" if w == "n_equal" else f"{w}_below" for w in weights}
+    return (sliced.withColumns({f"__running_{w}": F.sum(w).over(within) for w in weights})
             .join(before, [*keys, "__slice"])
-            .withColumn("n_below", F.col("__before") + F.col("__running") - F.col("n_equal"))
-            .drop("__slice", "__running", "__before"))
+            .withColumns({out: F.col(f"__before_{w}") + F.col(f"__running_{w}") - F.col(w) for w, out in below.items()})
+            .drop("__slice", *[f"__{part}_{w}" for w in weights for part in ("running", "before")]))
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str,
@@ -93,23 +93,3 @@ def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, ou
         df = (df.withColumn("__salt", salt).withColumn(out, number.over(part)).where(F.col(out) <= k)
               .drop("__salt", out))
     return df.withColumn(out, number.over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= k)
-
-
-def value_at(value: str, index: Column) -> Column:
-    """Aggregate over ranked rows: the value at a zero-based index of the ordered group."""
-    inside = (F.col("n_below") <= index) & (index < F.col("n_below") + F.col("n_equal"))
-    return F.max(F.when(inside, col(value)))
-
-
-def quantile_of(value: str, p: float) -> Column:
-    """Aggregate over ranked rows: the linearly interpolated quantile."""
-    place = (F.col("n_group") - 1).cast("double") * F.lit(float(p))
-    low, high = value_at(value, F.floor(place)), value_at(value, F.ceil(place))
-    return low + F.max(place - F.floor(place)) * (high - low)
-
-
-def quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: Mapping[str, float],
-              sample_every: int = SAMPLE_EVERY) -> DataFrame:
-    """Exact quantiles per group, one column per entry of ``probabilities``."""
-    return (ranked_values(df, keys, value, sample_every=sample_every).groupBy(*keys)
-            .agg(*[quantile_of(value, p).alias(name) for name, p in probabilities.items()]))

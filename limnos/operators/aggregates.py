@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from limnos.functions.nulls import (col, fill_null, distinct_with_null, keys_not_null, mean_if_complete,
                                     one_row, percent, ratio, stddev_if_complete, unpivot_columns)
-from limnos.functions.ranks import quantiles, ranked_values, value_at
+from limnos.functions.selection import order_statistics, quantiles
 from limnos.operators.joins import join_null_safe
 from limnos.session import staged
 
@@ -82,7 +82,8 @@ def recap_stats(df: DataFrame, keys: Sequence[str], value: str = "value", flag:
 
 def recap_sampling(agg: DataFrame, keys: Sequence[str], site: str = "site_id", samples: str = "n") -> DataFrame:
     """Distinct sites, and sum, median, min and max of the per-site sample counts."""
-    totals = keys_not_null(agg, keys).groupBy(*keys).agg(
+    agg = staged(keys_not_null(agg, keys).select(*keys, site, samples))
+    totals = agg.groupBy(*keys).agg(
         F.count_distinct(col(site)).alias("n_sites"), F.sum(samples).alias("n_measurements"),
         F.min(samples).alias("min_measurements"), F.max(samples).alias("max_measurements"))
     medians = quantiles(agg, keys, samples, {"med_measurements": 0.5})
@@ -99,14 +100,13 @@ def recap_country_year(agg: DataFrame) -> DataFrame:
 def site_target_profile(meas: DataFrame, keys: Sequence[str] = ("site_id", "target"),
                         value: str = "value") -> DataFrame:
     """Median, mean, sd, min, max, distinct values and rows of the non-null values."""
-    moments = keys_not_null(meas, keys).where(col(value).isNotNull()).groupBy(*keys).agg(
+    rows = staged(keys_not_null(meas, keys).where(col(value).isNotNull()).select(*keys, value))
+    moments = rows.groupBy(*keys).agg(
         F.avg(col(value)).alias("mean"), F.stddev_samp(col(value)).alias("sd"),
-        F.min(col(value)).alias("min"), F.max(col(value)).alias("max"), F.count(F.lit(1)).alias("n"))
-    place = (F.col("n_group") - 1) / 2
-    middle = (ranked_values(meas, keys, value).groupBy(*keys)
-              .agg(((value_at(value, F.floor(place)) + value_at(value, F.ceil(place))) / 2).alias("median"),
-                   F.count(F.lit(1)).alias("n_distinct")))
-    return moments.join(middle, list(keys))
+        F.min(col(value)).alias("min"), F.max(col(value)).alias("max"), F.count(F.lit(1)).alias("n"), F.count_distinct(col(value)).alias("n_distinct"))
+    middle = order_statistics(rows, keys, value, {"__a": lambda n: F.floor((n - 1) / 2), "__b": lambda n: F.ceil((n - 1) / 2)})
+    medians = middle.select(*keys, ((F.col("__a") + F.col("__b")) / 2).alias("median"))
+    return moments.join(medians, list(keys)).select(*keys, "mean", "sd", "min", "max", "n", "median", "n_distinct")
 
 
 def count_distinct_by(df: DataFrame, key: str, column: str, approximate: bool = False) -> DataFrame:
@@ -184,25 +184,21 @@ def column_means(df: DataFrame, columns: Sequence[str], median: bool = False) ->
     """Mean, or median, of many columns in one pass; one row."""
     if not median:
         return df.agg(*[F.avg(col(c)).alias(c) for c in columns])
-    long = unpivot_columns(df.select(*[col(c).cast("double").alias(c) for c in columns]), [], columns, "column", "value")
+    long = staged(unpivot_columns(df.select(*[col(c).cast("double").alias(c) for c in columns]), [], columns, "column", "value"))
     medians = quantiles(long, ["column"], "value", {"median": 0.5})
     return medians.agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in columns])
 
 
 def tukey_five_numbers(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Minimum, lower hinge, median, upper hinge and maximum per group."""
-    n = F.col("n_group")
-    depth = F.floor((n + 3) / 2) / 2
-    middle = (n + 1) / 2
-
-    def at(place: Column) -> Column:
-        """Mean of the order statistics around a one-based place."""
-        return (value_at(value, F.floor(place) - 1) + value_at(value, F.ceil(place) - 1)) / 2
-
-    return (ranked_values(df, keys, value).groupBy(*keys)
-            .agg(F.min(col(value)).alias("min"), at(depth).alias("lower_hinge"), at(middle).alias("median"),
-                 at(n + 1 - depth).alias("upper_hinge"), F.max(col(value)).alias("max"),
-                 F.max("n_group").alias("n")))
+    depth = lambda n: F.floor((n + 3) / 2) / 2
+    # One-based places; a half place is the mean of the two values around it.
+    middles = {"lower_hinge": depth, "median": lambda n: (n + 1) / 2, "upper_hinge": lambda n: n + 1 - depth(n)}
+    places = {f"__{edge}_{name}": (lambda n, at=at, f=f: f(at(n)) - 1) for name, at in middles.items() for edge, f in (("low", F.floor), ("high", F.ceil))}
+    rows = staged(df.where(col(value).isNotNull()).select(*keys, value))
+    found = order_statistics(rows, keys, value, {"min": lambda n: F.lit(0), "max": lambda n: n - 1, **places})
+    mean = lambda name: ((F.col(f"__low_{name}") + F.col(f"__high_{name}")) / 2).alias(name)
+    return found.select(*keys, "min", mean("lower_hinge"), mean("median"), mean("upper_hinge"), "max", F.col("n_group").alias("n"))
 
 
 def grouped_mutate(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:

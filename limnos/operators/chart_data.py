@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limnos.functions.draws import uniform
 from limnos.functions.normal import normal_quantile
 from limnos.functions.nulls import col, one_row
-from limnos.functions.ranks import positions, quantile_of, ranked_values
+from limnos.functions.ranks import positions
+from limnos.functions.selection import quantiles
 from limnos.operators.joins import semi_site_years
 from limnos.session import staged
 
@@ -62,17 +63,15 @@ def histogram_binwidth(df: DataFrame, column: str, width: float, by: Sequence[st
 
 def boxplot_stats(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
     """Quartiles, whiskers at the last point within 1.5 IQR of the box, and the number of outliers."""
-    ranked = ranked_values(df, keys, column)
-    box = ranked.groupBy(*keys).agg(quantile_of(column, 0.25).alias("q1"), quantile_of(column, 0.5).alias("median"),
-                                    quantile_of(column, 0.75).alias("q3"))
+    rows = staged(df.where(col(column).isNotNull()).select(*keys, column))
+    box = staged(quantiles(rows, keys, column, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (col(column) >= F.col("q1") - reach) & (col(column) <= F.col("q3") + reach)
-    return (ranked.select(*keys, column, "n_equal").join(box, list(keys))
+    return (rows.join(box, list(keys))
             .groupBy(*keys, "q1", "median", "q3")
             .agg(F.min(F.when(inside, col(column))).alias("whisker_low"),
                  F.max(F.when(inside, col(column))).alias("whisker_high"),
-                 F.sum(F.when(inside, 0).otherwise(F.col("n_equal"))).alias("n_outliers"),
-                 F.sum("n_equal").alias("n")))
+                 F.count_if(~inside).alias("n_outliers"), F.count(F.lit(1)).alias("n")))
 
 
 def density_curve(df: DataFrame, column: str, by: Sequence[str], grid: int = 128, bins: int = 512) -> DataFrame:
@@ -88,8 +87,7 @@ def density_curve(df: DataFrame, column: str, by: Sequence[str], grid: int = 128
     bin_no = F.least(F.floor((F.col("__v") - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
     binned = rows.groupBy(*by, F.coalesce(bin_no, F.lit(0)).alias("__bin")).agg(F.count(F.lit(1)).alias("__c"))
     curves = binned.groupBy(*by).agg(F.collect_list(F.struct("__bin", "__c")).alias("__bins"))
-    iqr = (ranked_values(rows, by, column).groupBy(*by)
-           .agg((quantile_of(column, 0.75) - quantile_of(column, 0.25)).alias("__iqr")))
+    iqr = quantiles(rows, by, column, {"__q1": 0.25, "__q3": 0.75}).select(*by, (F.col("__q3") - F.col("__q1")).alias("__iqr"))
     spread = rows.groupBy(*by).agg(F.stddev_samp("__v").alias("__sd"), F.min("__v").alias("__least"), F.count(F.lit(1)).alias("n"))
     nonzero = lambda c: F.nullif(c, F.lit(0.0))
     # Where half the values are equal the quartiles meet: then the sd, the size of the least value, or 1.
@@ -114,8 +112,7 @@ def density_curve(df: DataFrame, column: str, by: Sequence[str], grid: int = 128
 def qq_normal(df: DataFrame, column: str, by: Sequence[str], row_key: str) -> DataFrame:
     """Ordered values against normal quantiles at i/(n+1), with the line through the quartiles."""
     rows = staged(df.where(col(column).isNotNull()).select(*by, column, row_key))
-    box = (ranked_values(rows, by, column).groupBy(*by)
-           .agg(quantile_of(column, 0.25).alias("__q1"), quantile_of(column, 0.75).alias("__q3")))
+    box = staged(quantiles(rows, by, column, {"__q1": 0.25, "__q3": 0.75}))
     slope = (F.col("__q3") - F.col("__q1")) / (normal_quantile(F.lit(0.75)) - normal_quantile(F.lit(0.25)))
     return (positions(rows, by, [column, row_key])
             .withColumn("theoretical", normal_quantile(F.col("position") / (F.col("n_group") + 1)))

@@ -1,16 +1,18 @@
-"""Exact k nearest neighbours as an equi-join over cells of the training set.
-
-Training rows belong to the cell of their nearest pivot. The triangle inequality bounds, for every
-query, how far its k-th neighbour can be, so a query is sent only to the cells that can hold a
-neighbour. Copies of a vector are collapsed first on both sides, and large cells are split, so
-neither a hot vector nor a hot cell lands in one task. Rows meet in blocks of bounded size, and only
-the k best of a block leave it. Nothing is approximated or capped.
+"""Exact k nearest neighbours over a two-level index of pivots.
+
+The training rows belong to the cell of a pivot; there are as many cells as the square root of the rows, and pivots are grouped
+under as many centres as the square root of the cells. A first pass ranks the home cell of every query, which gives the true distance
+of a k-th neighbour. A second pass visits only the cells that a ball of that radius touches: those whose nearest and farthest
+row, seen from their pivot, the triangle inequality allows, looked up under the centres it allows. Copies of a vector are collapsed
+first on both sides, and large cells are split, so neither a hot vector nor a hot cell lands in one task. Rows meet in blocks of bounded
+size, and only the k best of a block leave it. Nothing is approximated or capped.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -21,7 +23,8 @@ from limnos.functions.nulls import col, drop_null_rows
 from limnos.functions.ranks import first_k
 from limnos.session import staged
 
-MAX_PIVOTS = 128
+#: Bytes of pivots sent to every task; beyond (about 60,000 pivots of 64 numbers) cells grow instead of their number.
+PIVOT_BYTES = 1 << 25
 TRAIN_BLOCK = 4096
 QUERY_BLOCK = 1024
 
@@ -30,38 +33,91 @@ def feature_array(columns: Sequence[str]) -> Column:
     return F.array(*[col(c).cast("double") for c in columns])
 
 
+class Index(NamedTuple):
+    """Centres, and pivots in the order of their centres; ``first`` is where a centre's pivots begin, one more than there are centres.
+
+    For each cell: rows held, rows a query surely may see, and the least and greatest distance from its pivot; for each centre the greatest
+    distance of a row from it.
+    """
+    centres: np.ndarray
+    pivots: np.ndarray
+    first: np.ndarray
+    held: np.ndarray
+    sure: np.ndarray
+    least: np.ndarray
+    greatest: np.ndarray
+    spread: np.ndarray
+
+
 def _gaps(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of n vectors to p pivots, n x p."""
     return np.stack([np.sqrt(((vectors - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
-def _cell_udf(pivots: np.ndarray):
-    """Nearest pivot of a vector, and the distance to it."""
-    @F.pandas_udf("cell int, gap double")
-    def cell(vectors: pd.Series) -> pd.DataFrame:
-        gaps = _gaps(np.stack(vectors.to_list()), pivots)
-        nearest = gaps.argmin(axis=1)
-        return pd.DataFrame({"cell": nearest.astype("int32"), "gap": gaps[np.arange(len(gaps)), nearest]})
-    return cell
+def _grouped(pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Centres, pivots ordered by the nearest centre, and where the pivots of each begin."""
+    centres = pivots[:math.ceil(math.sqrt(len(pivots)))]
+    owner = _gaps(pivots, centres).argmin(axis=1)
+    order = np.argsort(owner, kind="stable")
+    return centres, pivots[order], np.searchsorted(owner[order], np.arange(len(centres) + 1))
 
 
-def _reachable_udf(pivots: np.ndarray, sure: np.ndarray, held: np.ndarray, radius: np.ndarray, k: int):
-    """Cells that can hold one of the k nearest rows of a vector.
+def home_cells(vectors: np.ndarray, centres: np.ndarray, pivots: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell of each vector (the nearest pivot of the nearest centre), the distance to its pivot and to its centre."""
+    to_centre = _gaps(vectors, centres)
+    owner = to_centre.argmin(axis=1)
+    cell, gap = np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+    for c in np.unique(owner):
+        at = np.flatnonzero(owner == c)
+        gaps = _gaps(vectors[at], pivots[first[c]:first[c + 1]])
+        cell[at] = first[c] + gaps.argmin(axis=1)
+        gap[at] = gaps.min(axis=1)
+    return cell, gap, to_centre[np.arange(len(vectors)), owner]
 
-    Taking cells by their farthest possible row until they surely hold k rows bounds the k-th distance.
+
+def touched_cells(vectors: np.ndarray, radius: np.ndarray, k: int, index: Index) -> list[np.ndarray]:
+    """Cells that can hold one of the k nearest rows of each vector.
+
+    ``radius`` is the distance of some k-th row, or not a number where none is known: then cells are taken by their farthest
+    possible row until they surely hold k rows.
     """
-    @F.pandas_udf("array<int>")
-    def reachable(vectors: pd.Series) -> pd.Series:
-        gaps = _gaps(np.stack(vectors.to_list()), pivots)
-        farthest = gaps + radius
+    found: list[list[np.ndarray]] = [[] for _ in vectors]
+    blind = np.flatnonzero(np.isnan(radius))
+    radius = radius.copy()
+    if len(blind):
+        farthest = _gaps(vectors[blind], index.pivots) + index.greatest
         order = farthest.argsort(axis=1)
-        enough = sure[order].cumsum(axis=1) >= k
-        last = np.where(enough.any(axis=1), enough.argmax(axis=1), 0)
-        rows = np.arange(len(gaps))
-        bound = np.where(enough.any(axis=1), farthest[rows, order[rows, last]], np.inf)
-        inside = (gaps - radius <= (bound * (1 + 1e-9) + 1e-9)[:, None]) & (held > 0)
-        return pd.Series([np.flatnonzero(r).astype("int32") for r in inside])
-    return reachable
+        enough = index.sure[order].cumsum(axis=1) >= k
+        rows = np.arange(len(blind))
+        radius[blind] = np.where(enough.any(axis=1), farthest[rows, order[rows, enough.argmax(axis=1)]], np.inf)
+    radius = radius * (1 + 1e-9) + 1e-9  # slack for rounding in distances that only prune
+    to_centre = _gaps(vectors, index.centres)
+    for c in range(len(index.centres)):
+        at = np.flatnonzero(to_centre[:, c] - index.spread[c] <= radius)
+        cells = np.arange(index.first[c], index.first[c + 1])
+        cells = cells[index.held[cells] > 0]
+        if not len(at) or not len(cells):
+            continue
+        gaps = _gaps(vectors[at], index.pivots[cells])
+        inside = (gaps - index.greatest[cells] <= radius[at, None]) & (index.least[cells] - gaps <= radius[at, None])
+        for i, row in zip(at, inside):
+            found[i].append(cells[row])
+    return [np.concatenate(f).astype("int32") if f else np.zeros(0, "int32") for f in found]
+
+
+def _home_udf(centres: np.ndarray, pivots: np.ndarray, first: np.ndarray):
+    @F.pandas_udf("cell int, gap double, spread double")
+    def home(vectors: pd.Series) -> pd.DataFrame:
+        cell, gap, spread = home_cells(np.stack(vectors.to_list()), centres, pivots, first)
+        return pd.DataFrame({"cell": cell.astype("int32"), "gap": gap, "spread": spread})
+    return home
+
+
+def _touched_udf(index: Index, k: int):
+    @F.pandas_udf("array<int>")
+    def touched(vectors: pd.Series, radius: pd.Series) -> pd.Series:
+        return pd.Series(touched_cells(np.stack(vectors.to_list()), radius.to_numpy(float), k, index))
+    return touched
 
 
 def _best_of_blocks(k: int, size: int, carry: Sequence[str], apart: bool):
@@ -90,71 +146,105 @@ def _best_of_blocks(k: int, size: int, carry: Sequence[str], apart: bool):
     return best
 
 
-def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int, query_id: str, train_id: str,
-                       features: str = "features", carry: Sequence[str] = (), apart: str | None = None) -> DataFrame:
-    """Rows (query_id, train_id, carried columns, distance, rank 1..k); ties go to the smaller id.
+class Search(NamedTuple):
+    """Tables of a search: queries, one row of each distinct query with the cell it starts from, cells visited beyond it, and the best rows found."""
+    queries: DataFrame
+    asked: DataFrame
+    visits: DataFrame
+    best: DataFrame
+    cells: int
+
+    def visited_share(self) -> float:
+        """Mean share of the cells that a query visits."""
+        return (1 + self.visits.count() / max(self.asked.count(), 1)) / self.cells
 
-    ``features`` are arrays of doubles without nulls. ``apart`` names a column both sides hold: rows
-    with the same value are never neighbours. When both ids have one name, the query's comes out as
-    ``query_<name>``.
-    """
-    classes = [apart] if apart else []
-    # Of equal vectors only the k smallest ids can be neighbours; the limit applies before the shuffle.
-    points = train.select(train_id, features, *dict.fromkeys([*carry, *classes]))
-    points = staged(first_k(points, [features, *classes], [train_id], k, "__r").drop("__r"))
-    queries = staged(queries.select(query_id, features, *classes))
-    asked = staged(queries.groupBy(features, *classes).agg(F.min(query_id).alias("__q")))
 
+def _index_of(points: DataFrame, features: str, classes: Sequence[str]) -> tuple[DataFrame, Index]:
+    """Points with ``__cell``, and the index over them."""
     n = points.count()
     if n == 0:
         raise ValueError("the training set is empty")
-    wanted = max(8, min(MAX_PIVOTS, int(math.sqrt(n))))
     by_draw = draw(0, F.array_join(F.transform(features, lambda x: x.cast("string")), ","))
-    pivots = np.array([r[0] for r in points.select(features).distinct().orderBy(by_draw).limit(wanted).collect()], dtype=float)
-    size = pivots.shape[1]
-
-    points = staged(points.withColumn("__at", _cell_udf(pivots)(col(features))).withColumn("__cell", F.col("__at.cell")))
-    held, largest, radius = (np.zeros(len(pivots)) for _ in range(3))
+    size = points.select(F.size(features)).first()[0]
+    wanted = max(8, min(math.ceil(math.sqrt(n)), PIVOT_BYTES // (8 * size)))
+    drawn = points.select(features).distinct().orderBy(by_draw).limit(wanted).collect()
+    centres, pivots, first = _grouped(np.array([r[0] for r in drawn], dtype=float))
+    points = staged(points.withColumn("__at", _home_udf(centres, pivots, first)(col(features))).withColumn("__cell", F.col("__at.cell")))
+    held, largest, greatest = (np.zeros(len(pivots)) for _ in range(3))
+    least, spread = np.full(len(pivots), np.inf), np.zeros(len(centres))
+    owner = np.repeat(np.arange(len(centres)), np.diff(first))
     # At most one row per pivot and class of ``apart``.
-    for r in points.groupBy("__cell", *classes).agg(F.count(F.lit(1)).alias("n"), F.max("__at.gap").alias("gap")).collect():
-        held[r["__cell"]] += r["n"]
-        largest[r["__cell"]] = max(largest[r["__cell"]], r["n"])
-        radius[r["__cell"]] = max(radius[r["__cell"]], r["gap"])
-    # A cell's largest class may be the excluded one, so it does not count for the bound.
-    sure = held - largest if apart else held
-
-    sent = staged(asked.withColumn("__cell", F.explode(_reachable_udf(pivots, sure, held, radius, k)(col(features)))))
-    arrived = {r["__cell"]: r["n"] for r in sent.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-
-    def parts(counts: dict[int, float], block: int) -> Column:
-        split = [max(1, math.ceil(counts.get(i, 0) / block)) for i in range(len(pivots))]
-        return F.element_at(F.lit(split), F.col("__cell") + 1)
-
-    train_parts = parts(dict(enumerate(held)), TRAIN_BLOCK)
-    query_blocks = (sent.withColumn("__slice", F.pmod(F.xxhash64("__q"), parts(arrived, QUERY_BLOCK)))
-                    .groupBy("__cell", "__slice")
-                    .agg(F.collect_list(F.struct("__q", features, *classes)).alias("q"))
-                    .withColumn("__part", F.explode(F.sequence(F.lit(0), train_parts - 1))))
-    train_blocks = (points.withColumn("__part", F.pmod(F.xxhash64(train_id), train_parts).cast("int"))
-                    .groupBy("__cell", "__part")
-                    .agg(F.collect_list(F.struct(train_id, features, *dict.fromkeys([*carry, *classes]))).alias("t")))
-    pairs = query_blocks.join(train_blocks, ["__cell", "__part"]).select(
-        F.col("q.__q").alias("q_id"), F.flatten(F.col("q").getField(features)).alias("q_features"),
-        F.col("t").getField(train_id).alias("t_id"), F.flatten(F.col("t").getField(features)).alias("t_features"),
-        *[F.col("t").getField(c).alias(f"c_{i}") for i, c in enumerate(carry)],
-        *([F.col("q").getField(apart).alias("q_apart"), F.col("t").getField(apart).alias("t_apart")] if apart else []))
+    for r in points.groupBy("__cell", *classes).agg(F.count(F.lit(1)).alias("n"), F.min("__at.gap").alias("least"), F.max("__at.gap").alias("greatest"),
+                                                    F.max("__at.spread").alias("spread")).collect():
+        i = r["__cell"]
+        held[i] += r["n"]
+        largest[i] = max(largest[i], r["n"])
+        least[i], greatest[i] = min(least[i], r["least"]), max(greatest[i], r["greatest"])
+        spread[owner[i]] = max(spread[owner[i]], r["spread"])
+    # A cell's largest class may be the excluded one, so it does not count for what a query surely sees.
+    return points.drop("__at"), Index(centres, pivots, first, held, held - largest if classes else held, least, greatest, spread)
+
+
+def search(queries: DataFrame, train: DataFrame, k: int, query_id: str, train_id: str, features: str = "features", carry: Sequence[str] = (),
+           apart: str | None = None) -> Search:
+    """The tables behind ``nearest_neighbours``."""
+    classes = [apart] if apart else []
+    # Of equal vectors only the k smallest ids can be neighbours; the limit applies before the shuffle.
+    points = train.select(train_id, features, *dict.fromkeys([*carry, *classes]))
+    points = staged(first_k(points, [features, *classes], [train_id], k, "__r").drop("__r"))
+    queries = staged(queries.select(query_id, features, *classes))
+    points, index = _index_of(points, features, classes)
+    at = _home_udf(index.centres, index.pivots, index.first)(col(features))
+    asked = staged(queries.groupBy(features, *classes).agg(F.min(query_id).alias("__q")).withColumn("__cell", at["cell"]))
+
+    sizes = staged(points.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / TRAIN_BLOCK).cast("int").alias("__parts")))
+    train_blocks = staged(points.join(sizes, "__cell").withColumn("__part", F.pmod(F.xxhash64(train_id), F.col("__parts")).cast("int"))
+                          .groupBy("__cell", "__part")
+                          .agg(F.collect_list(F.struct(train_id, features, *dict.fromkeys([*carry, *classes]))).alias("t")))
 
     def kind(df: DataFrame, name: str) -> str:
         return df.schema[name].dataType.simpleString()
 
     schema = ", ".join([f"`__q` {kind(queries, query_id)}", f"train {kind(train, train_id)}", "distance double",
                         *[f"carry_{i} {kind(train, c)}" for i, c in enumerate(carry)]])
-    best = pairs.mapInPandas(_best_of_blocks(k, size, carry, bool(apart)), schema)
-    ranked = keep_nearest(best, "__q", "train", k)
+    size = index.pivots.shape[1]
+
+    def meet(sent: DataFrame) -> DataFrame:
+        """The k best rows that every query finds in the cells it is sent to."""
+        arrived = sent.groupBy(F.col("__cell").alias("__c")).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("__slices"))
+        query_blocks = (sent.join(staged(arrived), F.col("__cell") == F.col("__c")).withColumn("__slice", F.pmod(F.xxhash64("__q"), F.col("__slices")))
+                        .groupBy("__cell", "__slice").agg(F.collect_list(F.struct("__q", features, *classes)).alias("q"))
+                        .join(sizes, "__cell").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))))
+        pairs = query_blocks.join(train_blocks, ["__cell", "__part"]).select(
+            F.col("q.__q").alias("q_id"), F.flatten(F.col("q").getField(features)).alias("q_features"),
+            F.col("t").getField(train_id).alias("t_id"), F.flatten(F.col("t").getField(features)).alias("t_features"),
+            *[F.col("t").getField(c).alias(f"c_{i}") for i, c in enumerate(carry)],
+            *([F.col("q").getField(apart).alias("q_apart"), F.col("t").getField(apart).alias("t_apart")] if apart else []))
+        return keep_nearest(pairs.mapInPandas(_best_of_blocks(k, size, carry, bool(apart)), schema), "__q", "train", k)
+
+    at_home = staged(meet(asked))
+    radius = at_home.groupBy(F.col("__q").alias("__p")).agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("__radius"))
+    known = asked.join(radius, F.col("__q") == F.col("__p"), "left")
+    cells = F.explode(_touched_udf(index, k)(col(features), F.coalesce("__radius", F.lit(float("nan")))))
+    visits = staged(known.withColumn("__other", cells).where("__other <> __cell").select("__q", features, *classes, F.col("__other").alias("__cell")))
+    best = keep_nearest(at_home.unionByName(meet(visits)), "__q", "train", k)
+    return Search(queries, asked, visits, best, int((index.held > 0).sum()))
+
+
+def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int, query_id: str, train_id: str,
+                       features: str = "features", carry: Sequence[str] = (), apart: str | None = None) -> DataFrame:
+    """Rows (query_id, train_id, carried columns, distance, rank 1..k); ties go to the smaller id.
+
+    ``features`` are arrays of doubles without nulls. ``apart`` names a column both sides hold: rows
+    with the same value are never neighbours. When both ids have one name, the query's comes out as
+    ``query_<name>``.
+    """
+    classes = [apart] if apart else []
+    found = search(queries, train, k, query_id, train_id, features, carry, apart)
     out_id = query_id if query_id != train_id else f"query_{query_id}"
-    named = queries.join(asked, [features, *classes]).select(col(query_id).alias(out_id), "__q")
-    return named.join(ranked, "__q").select(out_id, F.col("train").alias(train_id),
-                                            *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)], "distance", "rank")
+    named = found.queries.join(found.asked.drop("__cell"), [features, *classes]).select(col(query_id).alias(out_id), "__q")
+    return named.join(found.best, "__q").select(out_id, F.col("train").alias(train_id),
+                                                *[F.col(f"carry_{i}").alias(c) for i, c in enumerate(carry)], "distance", "rank")
 
 
 def keep_nearest(found: DataFrame, query_id: str, train_id: str, k: int) -> DataFrame:

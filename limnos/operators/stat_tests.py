@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limnos.functions.normal import (normal_quantile, normal_upper_tail, polynomial, student_quantile,
                                      student_two_sided_p)
 from limnos.functions.nulls import col, keys_not_null
+from limnos.functions.pair_means import pair_mean_statistics
+from limnos.functions.rank_laws import EXACT_BELOW, rank_sum_law, signed_rank_law
 from limnos.functions.ranks import positions, ranked_values
 from limnos.session import staged
 
@@ -85,17 +88,85 @@ def normality_shapiro(df: DataFrame, keys: Sequence[str], row_key: str, value: s
             .select(*keys, n.cast("long").alias("n"), "w", "p"))
 
 
+def season_means(df: DataFrame, keys: Sequence[str], pair: Sequence[str], value: str, side: str, first: str, second: str) -> DataFrame:
+    """``__a`` and ``__b``: the means of both sides under each pair key of a group, null where a side has no value."""
+    return staged(keys_not_null(df, keys).where(col(value).isNotNull() & col(side).isin(first, second)).groupBy(*keys, *pair)
+                  .agg(F.avg(F.when(col(side) == first, col(value))).alias("__a"),
+                       F.avg(F.when(col(side) == second, col(value))).alias("__b")))
+
+
+def signed_rank_interval(df: DataFrame, keys: Sequence[str], pair: Sequence[str], value: str = "value", side: str = "season",
+                         first: str = "summer", second: str = "winter", level: float = 0.95) -> DataFrame:
+    """Location of the paired differences per group: ``n_pairs, estimate, ci_low, ci_high, exact_low, exact_high``.
+
+    The estimate is the median of the means of all pairs of differences, each with itself included, and the intervals are
+    two of those means at equal distance from the ends. ``ci_*`` takes its place from the normal approximation of the signed-rank
+    statistic, ``exact_*`` from its exact law, where there are fewer than ``EXACT_BELOW`` differences, none of them zero and no two
+    of one size; else null. Differences of zero are left out, as in ``wilcoxon_signed_rank``.
+    """
+    means = season_means(df, keys, pair, value, side, first, second)
+    gaps = staged(means.select(*keys, (F.col("__a") - F.col("__b")).alias("__d")).where("__d IS NOT NULL"))
+    kinds = gaps.groupBy(*keys, F.abs("__d").alias("__abs")).agg(F.count(F.lit(1)).alias("__n"))
+    groups = staged(kinds.groupBy(*keys).agg(
+        F.sum(F.when(F.col("__abs") > 0, F.col("__n")).otherwise(0)).alias("n_pairs"), (F.max("__n") > 1).alias("__tied"), (F.min("__abs") == 0).alias("__zero")))
+    n = F.col("n_pairs")
+    all_pairs = F.shiftright(n * (n + 1), 1)
+    half = F.lit((1 - level) / 2)
+    x = n.cast("double")
+    near = F.greatest(F.floor(x * (x + 1) / 4 - NormalDist().inv_cdf((1 + level) / 2) * F.sqrt(x * (x + 1) * (2 * x + 1) / 24)).cast("long"), F.lit(1))
+    law = signed_rank_law(groups.select(n.alias("size")))
+    clean = ~F.col("__tied") & ~F.col("__zero")
+    # The least sum whose chance, or that of a smaller one, reaches half of what lies outside.
+    exact = F.greatest(F.size(F.filter("law", lambda p: p < half)), F.lit(1)).cast("long")
+    placed = (groups.join(law, n == F.col("size"), "left").withColumn("__exact", F.when(clean & F.col("law").isNotNull(), exact)).withColumn("__near", near)
+              .select(*keys, F.explode(F.map_from_arrays(
+                  F.array(*[F.lit(c) for c in ("a", "b", "ci_low", "ci_high", "exact_low", "exact_high")]),
+                  F.array(F.shiftright(all_pairs + 1, 1), F.shiftright(all_pairs, 1) + 1, F.col("__near"), all_pairs + 1 - F.col("__near"), F.col("__exact"), all_pairs + 1 - F.col("__exact")))).alias("name", "place")))
+    found = pair_mean_statistics(gaps.where("__d <> 0"), keys, "__d", staged(placed.where("place IS NOT NULL")))
+    at = lambda name: F.max(F.when(F.col("name") == name, F.col("pair_mean")))
+    wide = found.groupBy(*keys).agg(((at("a") + at("b")) / 2).alias("estimate"), *[at(c).alias(c) for c in ("ci_low", "ci_high", "exact_low", "exact_high")])
+    return groups.join(wide, list(keys), "left").select(*keys, "n_pairs", "estimate", "ci_low", "ci_high", "exact_low", "exact_high")
+
+
+def _two_sided(law: Column, statistic: Column, largest: Column) -> Column:
+    """Twice the chance of the statistic or one farther out; the law is symmetric around half its largest value."""
+    chance = F.get(law, F.least(statistic, largest - statistic).cast("int"))
+    return F.when(chance.isNotNull(), F.least(2.0 * chance, F.lit(1.0)))
+
+
+def signed_rank_exact(df: DataFrame, keys: Sequence[str], pair: Sequence[str], value: str = "value", side: str = "season",
+                      first: str = "summer", second: str = "winter") -> DataFrame:
+    """``wilcoxon_signed_rank`` with ``p_exact`` beside ``p``: from the exact law of the statistic.
+
+    It is null from ``EXACT_BELOW`` differing pairs on, and where pairs are equal or two differences have one size.
+    """
+    tested = wilcoxon_signed_rank(df, keys, pair, value, side, first, second, ties=True)
+    law = signed_rank_law(tested.select(F.col("n_pairs").alias("size")))
+    n = F.col("n_pairs")
+    clean = (F.col("n_equal_pairs") == 0) & (F.col("__ties") == 0)
+    return (tested.join(law, n == F.col("size"), "left")
+            .withColumn("p_exact", F.when(clean & (n < EXACT_BELOW), _two_sided(F.col("law"), F.col("v"), n * (n + 1) / 2))).drop("size", "law", "__ties"))
+
+
+def rank_sum_exact(df: DataFrame, keys: Sequence[str], group: str, first: str, second: str, value: str = "value") -> DataFrame:
+    """``mann_whitney`` with ``p_exact`` beside ``p``: from the exact law of U, null from ``EXACT_BELOW`` values of a group on and where two values are equal."""
+    tested = staged(mann_whitney(df, keys, group, first, second, value, ties=True))
+    law = rank_sum_law(tested.select(F.col("n_first").alias("first"), F.col("n_second").alias("second")))
+    n1, n2 = F.col("n_first"), F.col("n_second")
+    return (tested.join(law, (n1 == F.col("first")) & (n2 == F.col("second")), "left")
+            .withColumn("p_exact", F.when(F.col("__ties") == 0, _two_sided(F.col("law"), F.col("u"), n1 * n2))).drop("first", "second", "law", "__ties"))
+
+
 def wilcoxon_signed_rank(df: DataFrame, keys: Sequence[str], pair: Sequence[str], value: str = "value",
-                         side: str = "season", first: str = "summer", second: str = "winter") -> DataFrame:
+                         side: str = "season", first: str = "summer", second: str = "winter", ties: bool = False) -> DataFrame:
     """Paired comparison of two sides per group: the means of both sides under each pair key.
 
     ``n_pairs`` counts the pairs that differ; ``n_equal_pairs`` those that do not, which the test leaves out;
     ``n_only_first`` and ``n_only_second`` the pair keys one side lacks. A null in the pair key is a key of its own.
-    Normal approximation with continuity and tie correction; NULL for groups without a differing pair.
+    Normal approximation with continuity and tie correction; NULL for groups without a differing pair. ``ties`` adds the sum
+    of t ** 3 - t over equal sizes.
     """
-    means = staged(keys_not_null(df, keys).where(col(value).isNotNull() & col(side).isin(first, second)).groupBy(*keys, *pair)
-                   .agg(F.avg(F.when(col(side) == first, col(value))).alias("__a"),
-                        F.avg(F.when(col(side) == second, col(value))).alias("__b")))
+    means = season_means(df, keys, pair, value, side, first, second)
     counts = means.groupBy(*keys).agg(
         F.count_if(F.col("__a") == F.col("__b")).alias("n_equal_pairs"),
         F.count_if(F.col("__b").isNull()).alias("n_only_first"), F.count_if(F.col("__a").isNull()).alias("n_only_second"))
@@ -103,29 +174,29 @@ def wilcoxon_signed_rank(df: DataFrame, keys: Sequence[str], pair: Sequence[str]
             .withColumn("__abs", F.abs("__d")))
     ranked = ranked_values(gaps, keys, "__abs", [F.count(F.when(F.col("__d") > 0, 1)).alias("__up")])
     mean_rank = F.col("n_below") + (F.col("n_equal") + 1) / 2
-    ties = F.col("n_equal").cast("double")
+    equal = F.col("n_equal").cast("double")
     sums = ranked.groupBy(*keys).agg(
         F.max("n_group").alias("n_pairs"), F.sum(F.col("__up") * mean_rank).alias("v"),
-        F.sum(ties * ties * ties - ties).alias("__ties"))
+        F.sum(equal * equal * equal - equal).alias("__ties"))
     n = F.col("n_pairs").cast("double")
     shift = F.col("v") - n * (n + 1) / 4
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__ties") / 48)
     tested = (sums.withColumn("z", F.try_divide(shift - F.signum(shift) * 0.5, sd))
               .withColumn("p", F.when(F.col("z").isNotNull(), F.least(2.0 * normal_upper_tail(F.abs("z")), F.lit(1.0)))))
     return (counts.join(tested, list(keys), "left")
-            .select(*keys, F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "n_equal_pairs", "n_only_first", "n_only_second", "v", "z", "p"))
+            .select(*keys, F.coalesce("n_pairs", F.lit(0)).alias("n_pairs"), "n_equal_pairs", "n_only_first", "n_only_second", "v", "z", "p", *["__ties"] * ties))
 
 
 def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, first: str, second: str,
-                 value: str = "value") -> DataFrame:
-    """Rank-sum comparison of two groups: U of the first, z with tie and continuity correction, p."""
+                 value: str = "value", ties: bool = False) -> DataFrame:
+    """Rank-sum comparison of two groups: U of the first, z with tie and continuity correction, p; ``ties`` adds the sum of t ** 3 - t over equal values."""
     rows = df.where(col(group).isin(first, second))
     ranked = ranked_values(rows, keys, value, [F.count(F.when(col(group) == first, 1)).alias("__first")])
-    ties = F.col("n_equal").cast("double")
+    equal = F.col("n_equal").cast("double")
     sums = ranked.groupBy(*keys).agg(
         F.sum("__first").alias("n_first"), F.sum(F.col("n_equal") - F.col("__first")).alias("n_second"),
         F.sum(F.col("__first") * (F.col("n_below") + (F.col("n_equal") + 1) / 2)).alias("__r"),
-        F.sum(ties * ties * ties - ties).alias("__ties"))
+        F.sum(equal * equal * equal - equal).alias("__ties"))
     n1, n2 = F.col("n_first").cast("double"), F.col("n_second").cast("double")
     n = n1 + n2
     shift = F.col("u") - n1 * n2 / 2
@@ -133,7 +204,7 @@ def mann_whitney(df: DataFrame, keys: Sequence[str], group: str, first: str, sec
     return (sums.withColumn("u", F.col("__r") - n1 * (n1 + 1) / 2)
             .withColumn("z", F.try_divide(shift - F.signum(shift) * 0.5, sd))
             .withColumn("p", F.when(F.col("z").isNotNull(), F.least(2.0 * normal_upper_tail(F.abs("z")), F.lit(1.0))))
-            .drop("__r", "__ties"))
+            .drop("__r", *["__ties"] * (not ties)))
 
 
 def welch_t(df: DataFrame, keys: Sequence[str], group: str, first: str, second: str, value: str = "value",

@@ -90,6 +90,37 @@ def test_nearest_neighbours_are_exact(spark, apart, k, monkeypatch):
     assert got == brute(asked, train, k, apart)
 
 
+def test_the_visited_share_falls_as_clustered_data_grows(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.uniform(-50, 50, (40, 4))
+    shares = []
+    for n in (400, 1600, 6400):
+        points = centres[rng.integers(0, 40, n)] + rng.normal(0, 1, (n, 4))
+        df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, features array<double>")
+        found = nn.search(df.where("id % 4 = 0"), df, 3, "id", "id")
+        assert found.best.count() == 3 * n // 4
+        shares.append(found.visited_share())
+    assert shares[0] > 1.5 * shares[1] > 2 * shares[2]
+
+
+def test_cells_cover_what_their_ball_touches():
+    rng = np.random.default_rng(2)
+    points = rng.normal(0, 1, (500, 3)) * rng.choice([0.1, 1, 30], (500, 1))
+    centres, pivots, first = nn._grouped(points[:23])
+    cell, gap, spread = nn.home_cells(points, centres, pivots, first)
+    held = np.bincount(cell, minlength=23).astype(float)
+    least, greatest, far = np.full(23, np.inf), np.zeros(23), np.zeros(len(centres))
+    np.minimum.at(least, cell, gap), np.maximum.at(greatest, cell, gap)
+    np.maximum.at(far, np.searchsorted(first, cell, side="right") - 1, spread)
+    index = nn.Index(centres, pivots, first, held, held, least, greatest, far)
+    asked = rng.normal(0, 5, (60, 3))
+    gaps = np.sqrt(((asked[:, None] - points[None]) ** 2).sum(axis=2))
+    third = np.sort(gaps, axis=1)[:, 2]
+    for radius in (third, third * 3, np.full(60, np.nan)):
+        for seen, row, r in zip(nn.touched_cells(asked, radius, 3, index), gaps, third):
+            assert set(cell[row <= r]) <= set(seen.tolist())
+
+
 def test_nearest_distances_skip_the_row_itself(spark):
     df = spark.createDataFrame([(i, 0.0, 0.0) for i in range(5)] + [(9, 3.0, 4.0)], "id int, x double, y double")
     got = {(r.id_a, r["rank"]): (r.id_b, r.distance) for r in nn.nearest_distances(df, "id", ["x", "y"], 2).collect()}

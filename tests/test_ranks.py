@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from limnos.functions.draws import shuffled_position
-from limnos.functions.ranks import first_k, positions, quantiles, ranked_values
+from limnos.functions.ranks import first_k, positions, ranked_values
+from limnos.functions.selection import order_statistics, quantiles
 
 
 @pytest.fixture(scope="module")
@@ -35,11 +37,11 @@ def test_ranked_values(skewed, sample_every):
     assert got == want
 
 
-@pytest.mark.parametrize("sample_every", [5, 1 << 16])
-def test_quantiles(skewed, sample_every):
+@pytest.mark.parametrize("sizes", [{}, {"bins": 16, "cell_rows": 40}])
+def test_quantiles(skewed, sizes):
     frame, groups = skewed
     probabilities = {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q9": 0.93, "q10": 1.0}
-    for r in quantiles(frame, ["g"], "v", probabilities, sample_every).collect():
+    for r in quantiles(frame, ["g"], "v", probabilities, **sizes).collect():
         for name, p in probabilities.items():
             assert r[name] == pytest.approx(np.quantile(groups[r.g], p))
 
@@ -50,6 +52,23 @@ def test_quantiles_of_all_rows(skewed):
     assert quantiles(frame, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median(everything))
 
 
+def test_selection_of_extreme_values(spark):
+    """Ends that overflow a difference, values next to each other, negative zero, infinities, whole numbers beyond 2 ** 53."""
+    wide = [-1.7e308, 1.7e308, 5e-324, 1e-323, 0.0, -0.0, float("inf"), float("-inf"), 1.0, 1.0 + 2 ** -52] * 7
+    whole = [2 ** 60 + i for i in range(50)] + [-(2 ** 62), 2 ** 62]
+    for values, kind in ((wide, "double"), (whole, "long")):
+        df = spark.createDataFrame([(v,) for v in values], f"v {kind}")
+        places = {f"p{i}": (lambda n, i=i: F.floor(n * i / 10)) for i in range(10)}
+        got = order_statistics(df, [], "v", places, bins=8, cell_rows=2).first()
+        assert [got[f"p{i}"] for i in range(10)] == [sorted(values)[len(values) * i // 10] for i in range(10)]
+
+
+def test_selection_neither_sorts_nor_ranks(skewed):
+    frame, _ = skewed
+    plan = quantiles(frame, ["g"], "v", {"m": 0.5})._jdf.queryExecution().toString()
+    assert "Window" not in plan and "rangepartitioning" not in plan and "Sort [v" not in plan
+
+
 def test_positions_number_every_row(skewed):
     frame, groups = skewed
     got = {}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
 from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
 
+from limnos.functions import rank_laws
 from limnos.functions.normal import normal_quantile, normal_upper_tail, student_quantile, student_two_sided_p
+from limnos.functions.pair_means import pair_mean_statistics
 from limnos.operators import stat_tests as st
 
 
@@ -110,3 +113,70 @@ def test_groups_without_spread_give_no_verdict_and_no_error(spark):
     found = {r.k: r for r in mann_whitney(df, ["k"], "g", "a", "b").collect()}
     assert found["one"].p is None and found["equal"].z is None and found["equal"].p is None and found["iqr"].p is not None
     assert density_curve(df, "value", ["k"], 4).where("density is null or bandwidth <= 0").count() == 0
+
+
+DEPRESSION = ([1.83, 0.50, 1.62, 2.48, 1.68, 1.88, 1.55, 3.06, 1.30], [0.878, 0.647, 0.598, 2.05, 1.06, 1.29, 1.06, 3.14, 1.29])
+
+
+def _paired(spark, x, y, key="k"):
+    return spark.createDataFrame([(key, i, s, v) for i, p in enumerate(zip(x, y)) for s, v in zip(("summer", "winter"), p)], "k string, i int, season string, value double")
+
+
+def test_exact_p_of_small_samples(spark):
+    assert st.signed_rank_exact(_paired(spark, *DEPRESSION), ["k"], ["i"]).first().p_exact == pytest.approx(0.0390625, abs=1e-9)
+    x = [0.80, 0.83, 1.89, 1.04, 1.45, 1.38, 1.91, 1.64, 0.73, 1.46]
+    y = [1.15, 0.88, 0.90, 0.74, 1.21]
+    df = spark.createDataFrame([("k", "x", v) for v in x] + [("k", "y", v) for v in y], "k string, g string, value double")
+    assert st.rank_sum_exact(df, ["k"], "g", "x", "y").first().p_exact == pytest.approx(0.254412, abs=1e-6)
+    tied = df.unionByName(spark.createDataFrame([("k", "x", 1.15)], df.schema))
+    assert st.rank_sum_exact(tied, ["k"], "g", "x", "y").first().p_exact is None
+    many = spark.range(120).select(F.lit("k").alias("k"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("g"), F.col("id").cast("double").alias("value"))
+    assert st.rank_sum_exact(many, ["k"], "g", "x", "y").first().p_exact is None
+
+
+def test_laws_count_every_order():
+    from itertools import combinations
+
+    for m, n in ((1, 1), (1, 5), (3, 4), (5, 2), (4, 4)):
+        ways = [0] * (m * n + 1)
+        for first in combinations(range(m + n), m):
+            ways[sum(first) - m * (m - 1) // 2] += 1
+        assert rank_laws.rank_sum_ways(m, n) == ways
+    for n in range(1, 9):
+        ways = [0] * (n * (n + 1) // 2 + 1)
+        for mask in range(2 ** n):
+            ways[sum(i + 1 for i in range(n) if mask >> i & 1)] += 1
+        assert rank_laws.signed_rank_ways(n) == ways
+    assert sum(rank_laws.rank_sum_ways(49, 49)) == math.comb(98, 49)
+
+
+@pytest.mark.parametrize("sizes", [{}, {"parts": 8, "listed": 40, "sample_every": 5}])
+def test_pair_means_against_all_pairs(spark, sizes):
+    draw = random.Random(4)
+    groups = {"smooth": [draw.gauss(0, 1) for _ in range(150)], "whole": [float(draw.randrange(-3, 4)) for _ in range(120)], "one": [2.5], "same": [1.25] * 40,
+              "hot": [0.1] * 200 + [draw.uniform(-1e6, 1e6) for _ in range(40)], "tenths": [draw.randrange(30) / 10 for _ in range(90)], "two": [-1e-9, 1e9]}
+    rows = [(g, v) for g, values in groups.items() for v in values]
+    df = spark.createDataFrame([*rows, ("smooth", None), (None, 1.0)], "g string, v double").repartition(4)
+    asked, want = [], {}
+    for g, values in groups.items():
+        means = sorted((a + b) / 2 for i, a in enumerate(values) for b in values[i:])
+        for place in {1, 2, len(means) // 3, (len(means) + 1) // 2, len(means), len(means) + 1, 0}:
+            asked.append((g, f"p{place}", place))
+            if 1 <= place <= len(means):
+                want[g, f"p{place}"] = means[place - 1]
+    wanted = spark.createDataFrame(asked, "g string, name string, place long")
+    got = {(r.g, r.name): r.pair_mean for r in pair_mean_statistics(df, ["g"], "v", wanted, **sizes).collect()}
+    assert got == {k: pytest.approx(v, rel=1e-12, abs=1e-12) for k, v in want.items()}
+
+
+def test_signed_rank_interval(spark):
+    x, y = DEPRESSION
+    r = st.signed_rank_interval(_paired(spark, x, y), ["k"], ["i"]).first()
+    gaps = [a - b for a, b in zip(x, y)]
+    means = sorted((a + b) / 2 for i, a in enumerate(gaps) for b in gaps[i:])
+    # The exact law of nine differences puts the ends at the 6th mean from both sides.
+    assert (r.n_pairs, r.exact_low, r.exact_high) == (9, pytest.approx(means[5]), pytest.approx(means[-6]))
+    assert r.estimate == pytest.approx((means[22] + means[22]) / 2) and r.ci_low == pytest.approx(means[4])
+    tied = st.signed_rank_interval(_paired(spark, x + [1.0, 2.0], y + [1.0, 1.5]), ["k"], ["i"]).first()
+    assert tied.n_pairs == 10 and tied.exact_low is None and tied.ci_low is not None
+    assert st.signed_rank_interval(_paired(spark, [1.0], [1.0]), ["k"], ["i"]).first().estimate is None
