@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from limnos.llm import bpe, mixing, near_copies, quality_rules, toxicity
+from limnos.llm import bpe, mixing, quality_rules, simhash, toxicity
 from limnos.session import staged
 from limnos.sources.driver_tables import table
 
@@ -24,8 +24,8 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_copies.one_per_group(docs)
+    """One document of each group of documents linked by SimHash (shingles of 3 words, at most 2 differing bits)."""
+    return simhash.one_per_group(docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
