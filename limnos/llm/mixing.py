@@ -50,20 +50,24 @@ def tokens_of(texts: Sequence[str | None]) -> np.ndarray:
     return np.array([len((t or "").split()) for t in texts], np.int64)
 
 
-def posteriors_of(model: text_model.Model | None, domains: Sequence[str], texts: Sequence[str | None]) -> np.ndarray:
-    """Probabilities in the order of ``domains``; an even split without a model, zero for a domain it does not know."""
-    if model is None:
-        return np.full((len(texts), len(domains)), 1.0 / max(len(domains), 1))
-    p = model.posteriors(texts)
-    return np.stack([p[:, model.classes.index(d)] if d in model.classes else np.zeros(len(texts)) for d in domains], axis=1)
+def scorer(model: text_model.Model | None, domains: Sequence[str]):
+    """Function of texts to their tokens and probabilities in the order of ``domains``: an even split without a model, zero for a domain it does not know."""
+    remembered = model and text_model.Remembered(model.words)
+
+    def score(texts: Sequence[str | None]) -> tuple[pa.Array, pa.Array]:
+        p = np.full((len(texts), len(domains)), 1.0 / max(len(domains), 1))
+        if model is not None:
+            known = model.posteriors(texts, remembered)
+            p = np.stack([known[:, model.classes.index(d)] if d in model.classes else np.zeros(len(texts)) for d in domains], axis=1)
+        return pa.array(tokens_of(texts)), pa.array(list(p), pa.list_(pa.float64()))
+    return score
 
 
 def domain_posteriors(docs: DataFrame, model: text_model.Model | None, domains: Sequence[str], keep: dict[str, str], text: str = "text") -> DataFrame:
     """Kept columns, ``tokens`` and ``posteriors`` (one number per domain) of each whole text."""
     def make():
-        def compute(texts):
-            return {"tokens": pa.array(tokens_of(texts)), "posteriors": pa.array(list(posteriors_of(model, domains, texts)), pa.list_(pa.float64()))}
-        return compute
+        score = scorer(model, domains)
+        return lambda texts: dict(zip(("tokens", "posteriors"), score(texts)))
 
     return map_texts(docs, text, keep, make, "tokens long, posteriors array<double>")
 
@@ -77,17 +81,6 @@ def rate_column(posteriors: Column, steps: Sequence[Sequence[float]]) -> Column:
     return F.aggregate(rows, F.lit(1.0), step)
 
 
-def rates_of(posteriors: np.ndarray, steps: Sequence[Sequence[float]]) -> np.ndarray:
-    """The same for an array."""
-    rate = np.ones(len(posteriors))
-    for v in steps:
-        total = np.zeros(len(posteriors))
-        for k, x in enumerate(v):
-            total = total + posteriors[:, k] * x
-        rate = np.maximum(0.0, rate - total)
-    return rate
-
-
 def fit_rates(rows: DataFrame, domains: Sequence[str], weights: Mapping[str, float], budget: float = 1.0, rounds: int = ROUNDS) -> Fit:
     """Steps that bring the expected tokens of the domains to ``weights`` (of ``budget`` times all tokens).
 
@@ -164,29 +157,29 @@ def mix_rates(docs: DataFrame, model: text_model.Model | None, weights: Mapping[
 def mix(docs: DataFrame, model: text_model.Model | None, weights: Mapping[str, float], budget: float = 1.0, doc_id: str = "doc_id", text: str = "text", not_raised: Sequence[str] = ()) -> DataFrame:
     """The documents, each as often as its rate says, with their own columns, whatever their names.
 
-    A domain in ``not_raised`` whose present share is below its weight keeps that share.
+    A domain in ``not_raised`` whose present share is below its weight keeps that share. A null or empty text has no tokens and the rate of
+    its probabilities; repeated rows have the same number of copies; very long texts are read whole. An empty table gives an empty result.
     """
     domains = sorted(weights)
-    rows = staged(domain_posteriors(docs, model, domains, {}, text))
-    if not_raised:
-        part = lambda d: F.get("posteriors", F.lit(domains.index(d)))
-        present = rows.agg(*[F.try_divide(F.sum(F.col("tokens") * part(d)), F.sum("tokens")) for d in not_raised]).first()
-        weights = {**weights, **{d: min(weights[d], s or 0.0) for d, s in zip(not_raised, present)}}
-    fit = fit_rates(rows, domains, weights, budget)
-    name = "__rate"
-    while name in docs.columns:
-        name += "_"
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    added = "__mix"
+    while any(c.startswith(added) for c in docs.columns):
+        added += "_"
+    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string(f"`{added}t` long, `{added}p` array<double>").fields])
     arrow = to_arrow_schema(schema, prefers_large_types=False)
     position = docs.columns.index(text)
 
-    def rate(batches):
+    def score(batches):
+        compute = scorer(model, domains)
         for batch in batches:
             for part, texts in text_slices(batch, position):
-                p = posteriors_of(model, domains, texts)
-                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*part.columns, pa.array(rates_of(p, fit.steps))], arrow)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*part.columns, *compute(texts)], arrow)], schema=arrow)
 
-    rated = docs.mapInArrow(rate, schema)
-    times = F.array_repeat(F.lit(0), copies_column(col(name), col(doc_id), F.xxhash64(col(text))).cast("int"))
-    again = name + "n"
-    return rated.withColumn(again, F.explode(times)).drop(name, again)
+    scored = staged(docs.mapInArrow(score, schema))  # each text is classified once
+    rows = scored.select(col(added + "t").alias("tokens"), col(added + "p").alias("posteriors"))
+    if not_raised:
+        part = lambda d: F.get("posteriors", F.lit(domains.index(d)))
+        present = rows.agg(*[F.try_divide(F.sum(F.col("tokens") * part(d)), F.sum("tokens")) for d in not_raised]).first()
+        weights = {**weights, **{d: min(weights[d], s or 0.0) for d, s in zip(not_raised, present)}}
+    fit = fit_rates(rows, domains, weights, budget)
+    times = F.array_repeat(F.lit(0), copies_column(rate_column(col(added + "p"), fit.steps), col(doc_id), F.xxhash64(col(text))).cast("int"))
+    return scored.withColumn(added, F.explode(times)).drop(added, added + "t", added + "p")

@@ -137,11 +137,14 @@ def one_of_each(docs: DataFrame, names: DataFrame, classes: DataFrame, doc_id: s
     least = names.groupBy("fp").agg(F.min(name).alias("name"))
     chosen = least.join(classes, "fp").groupBy("root").agg(F.min("name").alias("name")).select("name.doc_id", "name.hash")
     rows = names.groupBy("doc_id", "hash").agg(F.count(F.lit(1)).alias("n"))
+    mine = "__one"
+    while any(c.startswith(mine) for c in docs.columns):
+        mine += "_"
     chosen = staged(chosen.alias("c").join(rows.alias("r"), F.col("c.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("c.hash") == F.col("r.hash")))
-                    .select(F.col("c.doc_id").alias("__id"), F.col("c.hash").alias("__hash"), F.col("n").alias("__n")))
-    match = col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(col(text)) == F.col("__hash"))
-    once = docs.join(chosen.where("__n = 1"), match, "left_semi")
-    repeated = docs.join(chosen.where("__n > 1"), match, "left_semi").dropDuplicates([doc_id, text])
+                    .select(F.col("c.doc_id").alias(mine + "i"), F.col("c.hash").alias(mine + "h"), F.col("n").alias(mine + "n")))
+    match = col(doc_id).eqNullSafe(col(mine + "i")) & (F.xxhash64(col(text)) == col(mine + "h"))
+    once = docs.join(chosen.where(col(mine + "n") == 1), match, "left_semi")
+    repeated = docs.join(chosen.where(col(mine + "n") > 1), match, "left_semi").dropDuplicates([doc_id, text])
     return once.unionByName(repeated)
 
 

@@ -147,6 +147,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
 
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the smallest id, null last, then the smallest hash of its text."""
-    names = staged(map_texts(docs.withColumn("__hash", F.xxhash64(col(text))), text, {"doc_id": doc_id, "hash": "__hash"}, _make_fingerprints, "fp long"))
+    """One document of each component, with its own columns, whatever their names: the smallest id, null last, then the smallest hash of its text."""
+    named = docs.select(col(doc_id).alias("doc_id"), col(text).alias("text"), F.xxhash64(col(text)).alias("hash"))
+    names = staged(map_texts(named, "text", {"doc_id": "doc_id", "hash": "hash"}, _make_fingerprints, "fp long"))
     return one_of_each(docs, names, link(names), doc_id, text)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -24,8 +25,9 @@ VOCABULARY = 4_000
 #: Documents of the sample a word must occur in.
 LEAST_DOCUMENTS = 4
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words a task remembers the features of.
-REMEMBERED = 100_000
+#: Bytes of words a task remembers the features of, and texts scored at once.
+REMEMBERED_BYTES = 1 << 22
+SCORED_TEXTS = 1_000
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>@{}[]=_~^\\/", bytes(range(65, 91)), bytes(range(48, 58))
 SHAPE = ("words", "word_length", "symbols", "bars", "shouts", "upper", "digits", "lines", "distinct")
 
@@ -36,13 +38,22 @@ def features(found: Sequence[str]) -> set[str]:
     return distinct.union([w[:4] + "~" for w in distinct if len(w) > 4], [w[:5] + "~" for w in distinct if len(w) > 5])
 
 
+def shapes(texts: Sequence[str | None], counts: Sequence[int], distinct: Sequence[int]) -> np.ndarray:
+    """Ratios that describe each text, with its words and distinct words counted before; zeros for an empty one."""
+    rows = np.zeros((len(texts), 7))
+    for i, text in enumerate(texts):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        rows[i] = (len(raw), len(raw.translate(None, _SYMBOLS)), raw.count(b"|"), raw.count(b"!"), len(raw.translate(None, _UPPER)), len(raw.translate(None, _DIGITS)), raw.count(b"\n"))
+    found = np.asarray(counts, float)
+    raw, n = rows[:, 0], np.maximum(found, 1)
+    size = np.maximum(raw, 1)
+    return np.stack([np.log1p(found), np.minimum(raw / n, 50.0), np.minimum((raw - rows[:, 1]) / n, 5.0), np.minimum(rows[:, 2] / n, 2.0), np.minimum(rows[:, 3] / n, 3.0),
+                     (raw - rows[:, 4]) / size, (raw - rows[:, 5]) / size, np.minimum(rows[:, 6] / n, 1.0), np.asarray(distinct, float) / n], axis=1)
+
+
 def shape(text: str, found: Sequence[str]) -> list[float]:
-    """Ratios that describe a text; zeros for an empty one."""
-    raw = text.encode("utf-8", "surrogatepass")
-    size, n = max(len(raw), 1), max(len(found), 1)
-    count = lambda characters: len(raw) - len(raw.translate(None, characters))
-    return [np.log1p(len(found)), min(len(raw) / n, 50.0), min(count(_SYMBOLS) / n, 5.0), min(raw.count(b"|") / n, 2.0), min(raw.count(b"!") / n, 3.0),
-            count(_UPPER) / size, count(_DIGITS) / size, min(raw.count(b"\n") / n, 1.0), len(set(found)) / n]
+    """Ratios of one text with the words ``found`` in it."""
+    return shapes([text], [len(found)], [len(set(found))])[0].tolist()
 
 
 class Model(NamedTuple):
@@ -54,31 +65,52 @@ class Model(NamedTuple):
     shape_scale: np.ndarray
     shape_weights: np.ndarray
     constant: np.ndarray
-    known: dict[str, tuple[int, ...]]
-
-    def numbers(self, distinct: set[str]) -> list[int]:
-        """Numbers of the features that words have; what a word has is remembered."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        for w in distinct.difference(self.known):
-            self.known[w] = tuple([self.words[f] for f in features([w]) if f in self.words])
-        return sorted(set().union(*filter(None, map(self.known.get, distinct))))
 
-    def posteriors(self, texts: Sequence[str | None]) -> np.ndarray:
+    def posteriors(self, texts: Sequence[str | None], remembered: Remembered | None = None) -> np.ndarray:
         """Probability of each class for each text; an even split if there is no class to tell apart."""
-        logits = np.zeros((len(texts), len(self.classes)))
-        for i, text in enumerate(texts):
-            found = LETTERS.findall((text or "").lower())
-            logits[i] = self.constant
-            at = self.numbers(set(found))
-            if at:
-                logits[i] += self.word_weights[at].sum(axis=0)
-            if self.shape_weights.any():
-                ratios = (np.array(shape(text or "", found)) - self.shape_mean) / self.shape_scale
-                logits[i] += ratios @ self.shape_weights
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits)
-        return p / p.sum(axis=1, keepdims=True)
+        remembered = remembered or Remembered(self.words)
+        parts = [self._logits(texts[at:at + SCORED_TEXTS], remembered) for at in range(0, len(texts), SCORED_TEXTS)]
+        return softmax(np.concatenate(parts)) if parts else np.zeros((0, len(self.classes)))
+
+    def _logits(self, texts: Sequence[str | None], remembered: Remembered) -> np.ndarray:
+        found = [LETTERS.findall((t or "").lower()) for t in texts]
+        sizes = list(map(len, found))
+        # Each text's features as a row of marks: a word found again marks the same places.
+        marks = np.zeros((len(texts), len(self.words) + 1), bool)
+        marks[np.repeat(np.arange(len(texts)), sizes)[:, None], remembered.features(list(chain.from_iterable(found)))] = True
+        owner, word = np.nonzero(marks[:, :-1])
+        logits = np.stack([np.bincount(owner, w, len(texts)) for w in self.word_weights[word].T], axis=1) + self.constant
+        if self.shape_weights.any():
+            logits += (shapes(texts, sizes, [len(set(f)) for f in found]) - self.shape_mean) / self.shape_scale @ self.shape_weights
+        return logits
+
+
+class Remembered:
+    """Features of the words a task has met: the numbers of a word and of its beginnings, the number of words where it has none."""
+
+    def __init__(self, words: dict[str, int]):
+        self.words = words
+        self.forget()
+
+    def forget(self) -> None:
+        self.at: dict[str, int] = {}
+        self.rows, self.bytes = np.zeros((0, 3), np.int32), 0
+
+    def features(self, found: list[str]) -> np.ndarray:
+        """Three numbers for each word."""
+        if self.bytes > REMEMBERED_BYTES:
+            self.forget()
+        places = list(map(self.at.get, found))
+        if None in places:
+            new = list(dict.fromkeys([w for w, p in zip(found, places) if p is None]))
+            none = len(self.words)
+            number = self.words.get
+            rows = [(number(w, none), number(w[:4] + "~", none) if len(w) > 4 else none, number(w[:5] + "~", none) if len(w) > 5 else none) for w in new]
+            self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+            self.rows = np.concatenate((self.rows, np.array(rows, np.int32)))
+            self.bytes += sum(map(len, new)) + 64 * len(new)
+            places = list(map(self.at.get, found))
+        return self.rows[np.array(places, np.int64)]
 
 
 class Rows(NamedTuple):
@@ -137,27 +169,27 @@ def fit(rows: Rows, label: np.ndarray, weight: np.ndarray, classes: list, words:
             first[i] = 0.9 * first[i] + 0.1 * g
             second[i] = 0.999 * second[i] + 0.001 * g * g
             params[i] = params[i] - rate * (first[i] / (1 - 0.9 ** step)) / (np.sqrt(second[i] / (1 - 0.999 ** step)) + 1e-8)
-    return Model(classes, words, params[0], mean, scale, params[1], params[2], {})
+    return Model(classes, words, params[0], mean, scale, params[1], params[2])
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: Column, doc_id: str = "doc_id", text: str = "text", size: int = TRAIN_DOCUMENTS) -> DataFrame:
     """``doc_id, y, __weight, text``: about ``size`` learnable documents of each class of ``label``, an expression over the labels.
 
-    An id that is labelled more than once has its largest label; rows without id or label do not count. The drawn ids
-    are a few thousand by construction, so they are broadcast and only the texts of the sample leave the scan.
+    An id that is labelled more than once has its largest label, one with several texts gives the text with the smallest hash; rows without id or
+    label do not count. So the sample is as small as the drawn ids, and only its texts leave the scan.
     """
     known = (labels.select(col(doc_id).alias("doc_id"), label.alias("y")).where(learnable(F.col("doc_id")) & F.col("y").isNotNull())
              .groupBy("doc_id").agg(F.max("y").alias("y")))
-    drawn = F.broadcast(staged(sample_per_class(known, "doc_id", "y", size)))
+    drawn = staged(sample_per_class(known, "doc_id", "y", size))
     texts = docs.select(col(doc_id).alias("doc_id"), col(text).cast("string").alias("text")).where(F.col("text").isNotNull())
-    return texts.join(drawn, "doc_id")
+    return texts.join(drawn, "doc_id").groupBy("doc_id", "y", "__weight").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def _make_features():
     def compute(texts):
         found = [LETTERS.findall((t or "").lower()) for t in texts]
         return {"words": pa.array([sorted(features(f)) for f in found], pa.list_(pa.string())),
-                "ratios": pa.array([shape(t or "", f) for t, f in zip(texts, found)], pa.list_(pa.float64()))}
+                "ratios": pa.array(list(shapes(texts, list(map(len, found)), [len(set(f)) for f in found])), pa.list_(pa.float64()))}
     return compute
 
 

@@ -8,8 +8,6 @@ neutral mentions stay clean.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -65,10 +63,10 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     return text_model.train(sample, sorted(SWAPS), _pairs_of, penalty, ridge=RIDGE, use_shape=False)
 
 
-def toxic_scores(model: text_model.Model | None, texts: Sequence[str | None]) -> list[float]:
-    if model is None:
-        return [0.0] * len(texts)
-    return model.posteriors(texts)[:, model.classes.index(1)].tolist()
+def toxic_scores(model: text_model.Model | None):
+    """Function of texts to their probabilities."""
+    remembered = model and text_model.Remembered(model.words)
+    return lambda texts: [0.0] * len(texts) if model is None else model.posteriors(texts, remembered)[:, model.classes.index(1)].tolist()
 
 
 def score_toxicity(docs: DataFrame, model: text_model.Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,7 +76,8 @@ def score_toxicity(docs: DataFrame, model: text_model.Model | None, doc_id: str
     and null ids are rows like any other. An empty table gives an empty result; no other column is read.
     """
     def make():
-        return lambda texts: {"score": pa.array(toxic_scores(model, texts), pa.float64())}
+        score = toxic_scores(model)
+        return lambda texts: {"score": pa.array(score(texts), pa.float64())}
 
     found = map_texts(docs, text, {"doc_id": doc_id}, make, "score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -86,4 +85,8 @@ def score_toxicity(docs: DataFrame, model: text_model.Model | None, doc_id: str
 
 def keep_civil(docs: DataFrame, model: text_model.Model | None, text: str = "text") -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
-    return filter_texts(docs, text, lambda: lambda texts: [s < THRESHOLD for s in toxic_scores(model, texts)])
+    def make():
+        score = toxic_scores(model)
+        return lambda texts: [s < THRESHOLD for s in score(texts)]
+
+    return filter_texts(docs, text, make)

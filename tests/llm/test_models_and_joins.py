@@ -65,10 +65,10 @@ def test_swapped_terms_score_alike(spark):
     plain, fair = (toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), penalty=p) for p in (0.0, toxicity.PENALTY))
     # As long as the texts learned from: a few words alone are unlike any of them.
     neutral = [f"river lake water stone {term} hill north snow boat house road tree" for term in ("muslims", "christians", "field")]
-    a, b = toxicity.toxic_scores(plain, neutral), toxicity.toxic_scores(fair, neutral)
+    a, b = toxicity.toxic_scores(plain)(neutral), toxicity.toxic_scores(fair)(neutral)
     assert a[0] - a[1] > 0.3 and abs(b[0] - b[1]) < 0.05
     assert a[0] >= toxicity.THRESHOLD > b[0]
-    assert min(toxicity.toxic_scores(fair, ["you idiot of a river lake", "scum water stone"])) >= toxicity.THRESHOLD
+    assert min(toxicity.toxic_scores(fair)(["you idiot of a river lake", "scum water stone"])) >= toxicity.THRESHOLD
 
 
 def test_counterfactuals_swap_inside_their_set():
@@ -207,12 +207,13 @@ def test_rates_meet_the_targets_and_stay_positive(spark):
     rows = shared.staged(spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "tokens long, posteriors array<double>"))
     for weights, budget in (({"a": 1, "b": 1, "c": 1}, 1.0), ({"a": 8, "b": 1.5, "c": 0.5}, 1.3), ({"a": 5, "b": 3, "c": 0.02}, 0.5)):
         fit = mixing.fit_rates(rows, ["a", "b", "c"], weights, budget, rounds=400)
-        rate = mixing.rates_of(p, fit.steps)
-        assert (rate >= 0).all()
+        rate = np.ones(len(p))
+        for step in fit.steps:
+            rate = np.maximum(0.0, rate - p @ np.array(step))
         share = (rate * t) @ p / t.sum()
         assert np.allclose(share, fit.reached, atol=1e-9) and np.allclose(share, fit.targets, atol=2e-3)
         column = [r.r for r in rows.select(mixing.rate_column(F.col("posteriors"), fit.steps).alias("r"), "tokens").collect()]
-        assert math.isclose(sum(column), rate.sum(), rel_tol=1e-9)
+        assert min(column) >= 0 and math.isclose(sum(column), rate.sum(), rel_tol=1e-9)
 
 
 def test_copies_follow_the_rate(spark):
@@ -266,5 +267,5 @@ def test_stages_take_awkward_and_empty_tables(spark, odd, labels, empty, monkeyp
 def test_everything_is_registered():
     names = list(entry.queries())
     assert [n for n in names if n.startswith("op")] == sorted((n for n in names if n.startswith("op")), key=lambda n: int(n[2:].split("_")[0]))
-    assert len([n for n in names if n.startswith("op")]) == 10 and "pipeline" in names
+    assert len([n for n in names if n.startswith("op")]) == 13 and "pipeline" in names
     assert len(corpus_pipeline.STAGES) == 5
