@@ -43,6 +43,11 @@ def value_counts(spark, folder):
     return op.value_counts(meas(spark, folder), "status", keep_null=True)
 
 
+@query("value_counts_known", "SELECT status, count(*) AS n FROM m WHERE status IS NOT NULL GROUP BY status")
+def value_counts_known(spark, folder):
+    return op.value_counts(meas(spark, folder), "status")
+
+
 @query("group_size", "SELECT below_loq, status, uom, count(*) AS n FROM m GROUP BY ALL")
 def group_size(spark, folder):
     return op.group_size(meas(spark, folder), ["below_loq", "status", "uom"])

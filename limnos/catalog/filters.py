@@ -18,6 +18,11 @@ def filter_target(spark, folder):
     return op.filter_target(meas(spark, folder), "PROMO", "RW", KEPT)
 
 
+@query("filter_target_group", "SELECT site_id, target, value, below_loq FROM m WHERE target IN ('LARGE', 'MEDIUM', 'SMALL')")
+def filter_target_group(spark, folder):
+    return op.filter_target_group(meas(spark, folder), "sizes", {"sizes": ("LARGE", "MEDIUM", "SMALL")}).select("site_id", "target", "value", "below_loq")
+
+
 @query("filter_quantified", "SELECT site_id, target, value, below_loq FROM m WHERE NOT below_loq")
 def filter_quantified(spark, folder):
     return op.filter_quantified(meas(spark, folder).select("site_id", "target", "value", "below_loq"))

@@ -113,21 +113,74 @@ def kmeans_sweep(spark, folder):
 
 @query("gmm_sweep")
 def gmm_sweep(spark, folder):
-    scores = ml.pca(_embeddings(spark, folder), EMBEDDING, 3)[0]
-    return ml.gmm_sweep(scores, ["PC1", "PC2", "PC3"])
-
-
-@query("pca")
+    """Mixtures of 1 to 12 components over the whole site matrix."""
+    return ml.gmm_sweep(_matrix(spark, folder), TARGETS)
+
+
+def _pairs(form: str) -> str:
+    return ", ".join(form.format(i=i, j=j, a=TARGETS[i], b=TARGETS[j]) for i in range(len(TARGETS)) for j in range(i, len(TARGETS)))
+
+
+def _eliminated_sql(source: str, last: str) -> str:
+    """Pivots p0, p1, ... of a symmetric matrix c_i_j: their product is the determinant."""
+    steps, d = [], len(TARGETS)
+    for k in range(d):
+        left = ", ".join(f"c_{i}_{j} - c_{k}_{i} * c_{k}_{j} / c_{k}_{k} AS c_{i}_{j}" for i in range(k + 1, d) for j in range(i, d))
+        done = "".join(f", p{i}" for i in range(k))
+        steps.append(f"g{k + 1} AS (SELECT n, c_{k}_{k} AS p{k}{done}{', ' + left if left else ''} FROM {source if k == 0 else f'g{k}'})")
+    return ", ".join(steps) + f", {last} AS (SELECT * FROM g{d})"
+
+
+@query("gmm_single", f"""
+WITH {_sql_matrix('w')}, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, {_pairs("covar_pop({a}, {b}) AS c_{i}_{j}")} FROM w), {_eliminated_sql('s', 'p')},
+l AS (SELECT n, -n / 2 * ({len(TARGETS)} * ln(2 * pi()) + {" + ".join(f"ln(p{i})" for i in range(len(TARGETS)))} + {len(TARGETS)}) AS ll, {len(TARGETS) * (len(TARGETS) + 3) // 2} AS free FROM p)
+SELECT CAST(1 AS INTEGER) AS k, R(ll) AS log_likelihood, R(2 * free - 2 * ll) AS aic, R(free * ln(n) - 2 * ll) AS bic, R(CAST(NULL AS DOUBLE)) AS silhouette, true AS best FROM l""", digits=3)
+def gmm_single(spark, folder):
+    """The mixture of one component, which has a closed form."""
+    return ml.gmm_sweep(_matrix(spark, folder), TARGETS, [1])
+
+
+def _principal_sql(covariance: str, components: int, squarings: int = 14) -> str:
+    """Components of a matrix ``covariance`` (i, j, v) by repeated squaring and deflation, as ``pc`` (c, i, w, value)."""
+    out = [f"d1 AS MATERIALIZED (SELECT * FROM {covariance})"]
+    for c in range(1, components + 1):
+        out.append(f"q{c}_0 AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM d{c} WHERE i = j) AS v FROM d{c})")
+        for s in range(squarings):
+            out.append(f"r{c}_{s} AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM q{c}_{s} a JOIN q{c}_{s} b ON a.j = b.i GROUP BY a.i, b.j), "
+                       f"q{c}_{s + 1} AS MATERIALIZED (SELECT i, j, v / (SELECT sum(v) FROM r{c}_{s} WHERE i = j) AS v FROM r{c}_{s})")
+        # A column of the power is the component, up to its length and sign.
+        out.append(f"u{c} AS MATERIALIZED (SELECT i, v FROM q{c}_{squarings} WHERE j = (SELECT i FROM q{c}_{squarings} WHERE i = j ORDER BY v DESC LIMIT 1)), "
+                   f"v{c} AS MATERIALIZED (SELECT i, v / sqrt((SELECT sum(v * v) FROM u{c})) * sign((SELECT v FROM u{c} ORDER BY abs(v) DESC LIMIT 1)) AS w FROM u{c}), "
+                   f"l{c} AS MATERIALIZED (SELECT sum(x.w * d.v * y.w) AS value FROM d{c} d JOIN v{c} x ON x.i = d.i JOIN v{c} y ON y.i = d.j), "
+                   f"d{c + 1} AS MATERIALIZED (SELECT d.i, d.j, d.v - (SELECT value FROM l{c}) * x.w * y.w AS v FROM d{c} d JOIN v{c} x ON x.i = d.i JOIN v{c} y ON y.i = d.j)")
+    union = " UNION ALL ".join(f"SELECT {c} AS c, i, w, (SELECT value FROM l{c}) AS value FROM v{c}" for c in range(1, components + 1))
+    return ", ".join(out) + f", pc AS ({union})"
+
+
+@query("pca", f"""
+WITH x AS (SELECT vec_id, i, CAST(embedding[i] AS DOUBLE) AS x FROM embeddings, range(1, {EMBEDDING_SIZE + 1}) t(i)),
+z AS MATERIALIZED (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM x),
+cv AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM z a JOIN z b USING (vec_id) GROUP BY a.i, b.i), {_principal_sql("cv", 5)}
+SELECT CAST(c AS INTEGER) AS component, R(max(value) / (SELECT sum(v) FROM cv WHERE i = j)) AS variance_ratio FROM pc GROUP BY c""")
 def pca(spark, folder):
     return ml.pca(_embeddings(spark, folder), EMBEDDING, 5)[1]
 
 
-@query("pca_scores")
+_SCALED = f"""{_sql_matrix('w')}, x AS (SELECT site_id, wb_code, unnest({TARGETS!r}) AS f, unnest(range(1, {len(TARGETS) + 1})) AS i, unnest([{', '.join(TARGETS)}]) AS x FROM w),
+z AS MATERIALIZED (SELECT site_id, wb_code, f, i, (x - avg(x) OVER (PARTITION BY i)) / stddev_samp(x) OVER (PARTITION BY i) AS x FROM x),
+cv AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM z a JOIN z b USING (site_id) GROUP BY a.i, b.i), {_principal_sql("cv", 3)}"""
+
+
+@query("pca_scores", f"""
+WITH {_SCALED}
+SELECT site_id, wb_code, {", ".join(f"R(sum(x * w) FILTER (c = {c})) AS PC{c}" for c in (1, 2, 3))} FROM z JOIN pc USING (i) GROUP BY site_id, wb_code""")
 def pca_scores(spark, folder):
     return ml.pca(_matrix(spark, folder), TARGETS, 3, scale=True)[0]
 
 
-@query("pca_loadings")
+@query("pca_loadings", f"""
+WITH {_SCALED}
+SELECT f AS feature, {", ".join(f"R(max(w) FILTER (c = {c})) AS PC{c}" for c in (1, 2, 3))} FROM (SELECT DISTINCT f, i FROM z) JOIN pc USING (i) GROUP BY f""")
 def pca_loadings(spark, folder):
     return ml.pca(_matrix(spark, folder), TARGETS, 3, scale=True)[2]
 

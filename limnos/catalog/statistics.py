@@ -211,6 +211,15 @@ def impute_mean(spark, folder):
     return ft.impute_mean(_year_matrix(spark, folder), TARGETS)
 
 
+_CELLS = f"(SELECT sum(x) / count(x) FROM (SELECT unnest([{', '.join(TARGETS)}]) AS x FROM w))"
+
+
+@query("impute_global_mean", f"WITH {_WIDE} SELECT site_id, year, {_each('coalesce({t}, ' + _CELLS + ')')} FROM w")
+def impute_global_mean(spark, folder):
+    """A site without a target gets the mean over all pairs of site, year and target."""
+    return ft.impute_global_mean(_year_matrix(spark, folder), TARGETS)
+
+
 _VARIANCE_COLUMNS = ("l_linenumber", "l_quantity", "l_discount", "l_tax", "mostly_zero", "constant")
 
 

@@ -127,9 +127,11 @@ def collect_values(df: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def multi_unit_targets(meas: DataFrame, key: str = "target", unit: str = "uom") -> DataFrame:
-    """Targets measured in more than one unit, with the units."""
-    return (collect_values(meas, key, unit).withColumn("n_units", F.size("values"))
-            .where("n_units > 1").withColumnRenamed("values", "units"))
+    """Targets measured in more than one unit, with the units; units are counted first, and collected for those targets only."""
+    pairs = staged(meas.select(key, unit).distinct())
+    several = pairs.groupBy(col(key).alias("__key")).agg(F.count(col(unit)).cast("int").alias("n_units")).where("n_units > 1")
+    return (pairs.join(several, col(key).eqNullSafe(F.col("__key"))).groupBy(key, "n_units")
+            .agg(F.sort_array(F.collect_list(col(unit))).alias("units")).select(key, "units", "n_units"))
 
 
 def dataset_summary(df: DataFrame, distinct: Sequence[str], date_column: str) -> DataFrame:
@@ -149,15 +151,18 @@ def missing_rate(df: DataFrame, value: str = "value", flag: str = "below_loq") -
 
 
 def data_completeness(meas: DataFrame, target: str = "target", season: str = "season") -> DataFrame:
-    """Per target and season: totals, missing and below-LOQ rows, sites, years, shares; in report order."""
+    """Per target and season: totals, missing and below-LOQ rows, sites, years, shares; in report order.
+
+    The sites of all rows come out of the same scan, as a grouping set of its own.
+    """
     rows = F.count(F.lit(1))
-    total_sites = one_row(meas.agg(distinct_with_null(col("site_id")).alias("n"))).getField("n")
-    recap = meas.groupBy(target, season).agg(
-        rows.alias("total_values"), (rows - F.count("value")).alias("missing_values"),
+    both = staged(meas.groupingSets([[col(target), col(season)], []], col(target), col(season)).agg(
+        F.grouping_id().alias("__set"), rows.alias("total_values"), (rows - F.count("value")).alias("missing_values"),
         F.sum(col("below_loq").cast("long")).alias("not_measured_values"),
         distinct_with_null(col("site_id")).alias("number_of_sites"),
-        distinct_with_null(col("year")).alias("number_of_years"))
-    return (recap
+        distinct_with_null(col("year")).alias("number_of_years")))
+    total_sites = one_row(both.where("__set = 3").select("number_of_sites")).getField("number_of_sites")
+    return (both.where("__set = 0").drop("__set")
             .withColumn("missing_perc", percent(F.col("missing_values"), F.col("total_values")))
             .withColumn("not_measured_perc", percent(F.col("not_measured_values"), F.col("total_values")))
             .withColumn("avg_meas_per_site", ratio(F.col("total_values"), F.col("number_of_sites")))
@@ -174,7 +179,7 @@ def mean_na_propagating(df: DataFrame, keys: Sequence[str], value: str = "value"
 
 def common_to_all_groups(df: DataFrame, group_keys: Sequence[str], value: str) -> DataFrame:
     """Values that occur in every group (relational division)."""
-    pairs = df.select(*group_keys, value).distinct()
+    pairs = staged(df.select(*group_keys, value).distinct())
     groups = one_row(pairs.select(*group_keys).distinct().agg(F.count(F.lit(1)).alias("n"))).getField("n")
     per_value = pairs.dropna(subset=[value]).groupBy(value).agg(F.count(F.lit(1)).alias("n_groups"))
     return per_value.where(F.col("n_groups") == groups)

@@ -47,6 +47,14 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _replace(df, {c: F.coalesce(col(c), m) for c, m in zip(columns, means)})
 
 
+def impute_global_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A null feature becomes the mean of all known cells of all columns."""
+    total = sum((F.coalesce(F.sum(col(c)), F.lit(0.0)) for c in columns), F.lit(0.0))
+    known = sum((F.count(col(c)) for c in columns), F.lit(0))
+    mean = one_row(df.agg(ratio(total, known).alias("m"))).getField("m")
+    return _replace(df, {c: F.coalesce(col(c), mean) for c in columns})
+
+
 def variance_metrics(df: DataFrame, columns: Sequence[str], freq_cut: float = 80 / 20,
                      unique_cut: float = 33.0) -> DataFrame:
     """Per column: ratio of the two most common values, percentage of distinct values, and the verdict."""
@@ -89,22 +97,26 @@ def drop_small_classes(df: DataFrame, label: str, at_least: int) -> DataFrame:
 def oversample(df: DataFrame, label: str, keys: Sequence[str], seed: int = 0) -> DataFrame:
     """All rows, plus draws with replacement until every label has the size of the largest.
 
-    Draws are ranges spread over the cluster; each picks a row by its shuffled number in the label.
+    The draws of all labels are one range spread over the cluster; each picks a row by its shuffled number in the label, in one
+    join. An empty table stays empty.
     """
-    spark = df.sparkSession
-    sizes = {r[label]: r["n"] for r in class_balance(df.dropna(subset=[label]), label).collect()}
-    largest = max(sizes.values())
-    numbered = shuffled_position(df.dropna(subset=[label]), [label], keys, seed, "__pos").drop("__pos_size")
-    out = numbered.drop("__pos").withColumn("copy", F.lit(0).cast("long"))
-    kind = df.schema[label].dataType
-    for name, n in sizes.items():
-        if n == largest:
-            continue
-        picks = spark.range(largest - n).select(
-            F.lit(name).cast(kind).alias(label), F.pmod(draw(seed + 1, F.lit(str(name)), F.col("id")), F.lit(n)).alias("__pos"),
-            (F.col("id") + 1).alias("copy"))
-        out = out.unionByName(picks.join(numbered, [label, "__pos"]).drop("__pos"))
-    return out
+    numbered = staged(shuffled_position(df.dropna(subset=[label]), [label], keys, seed, "__pos"))
+    sizes = numbered.groupBy(label).agg(F.first("__pos_size").alias("__n")).orderBy(label).collect()  # one row per label
+    largest = max((r["__n"] for r in sizes), default=0)
+    rows = numbered.drop("__pos_size")
+    kind, wanted = df.schema[label].dataType, F.lit(None)
+    first = 0
+    for r in sizes:
+        upto = first + largest - r["__n"]
+        mine = F.struct(F.lit(r[label]).cast(kind).alias("label"), F.lit(r["__n"]).cast("long").alias("n"), (F.col("id") - first).alias("i"))
+        wanted = F.when((F.col("id") >= first) & (F.col("id") < upto), mine).otherwise(wanted)
+        first = upto
+    out = rows.drop("__pos").withColumn("copy", F.lit(0).cast("long"))
+    if not first:
+        return out
+    drawn = df.sparkSession.range(first).select(wanted.alias("w")).select(
+        F.col("w.label").alias(label), F.pmod(draw(seed + 1, F.col("w.label"), F.col("w.i")), F.col("w.n")).alias("__pos"), (F.col("w.i") + 1).alias("copy"))
+    return out.unionByName(drawn.join(rows, [label, "__pos"]).drop("__pos"))
 
 
 def undersample(df: DataFrame, label: str, keys: Sequence[str], seed: int = 0) -> DataFrame:

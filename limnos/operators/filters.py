@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,6 +18,11 @@ TARGET_GROUPS = {
 }
 
 
+def filter_target_group(df: DataFrame, group: str, groups: Mapping[str, Sequence[str]] = TARGET_GROUPS) -> DataFrame:
+    """Rows of the targets of a named group."""
+    return df.where(col("target").isin(*groups[group]))
+
+
 def filter_target(df: DataFrame, target: str, wb: str | None = None,
                   columns: Sequence[str] | None = None) -> DataFrame:
     """Rows of one target, optionally of one water-body type, projected."""

@@ -75,10 +75,10 @@ def full_outer_year_compare(agg: DataFrame, meas: DataFrame, samples: str = "n")
 
 
 def join_scalar_total(df: DataFrame, per_key: str, counted: str) -> DataFrame:
-    """Distinct ``counted`` per key and their share, in percent, of the distinct total."""
-    total = one_row(df.agg(F.count_distinct(col(counted)).alias("n"))).getField("n")
-    return (df.groupBy(per_key).agg(F.count_distinct(col(counted)).alias("n_distinct"))
-            .withColumn("share_pct", percent(F.col("n_distinct"), total)))
+    """Distinct ``counted`` per key and their share, in percent, of the distinct total; both from one scan."""
+    both = staged(df.groupingSets([[col(per_key)], []], col(per_key)).agg(F.grouping_id().alias("__set"), F.count_distinct(col(counted)).alias("n_distinct")))
+    total = one_row(both.where("__set = 1").select("n_distinct")).getField("n_distinct")
+    return both.where("__set = 0").select(per_key, "n_distinct", percent(F.col("n_distinct"), total).alias("share_pct"))
 
 
 def dedupe_rows(df: DataFrame) -> DataFrame:

@@ -1,33 +1,29 @@
-"""Clustering, projection and classification with Spark ML.
+"""Clustering and projection over folded arrays, classification with Spark ML.
 
 Initialisation, solver and loss differ from other libraries, so results agree in kind, not digit by
-digit. Spark's silhouette uses squared Euclidean distance.
+digit. The silhouette uses squared Euclidean distance.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Sequence
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, IndexToString, PCAModel, StringIndexer, VectorAssembler
+from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
+from limnos.functions.folds import moments
 from limnos.functions.nulls import col, drop_null_rows
-from limnos.operators.features import scale_sample
+from limnos.operators.clusters import kmeans_fits, labels_of, mixture_fits, nearest_centre, silhouettes
 from limnos.session import staged
 
-# Partitions a fit's rows are hashed into: the same on every cluster, so that a seed draws the same rows. A parameter of
-# ``fit_input``; a training table of many million rows wants more.
+# Rows of a partition that the classifiers are fitted to, and the fewest partitions. Their number follows from the rows alone, so that a
+# seed draws the same rows on every cluster.
+FIT_ROWS = 100_000
 FIT_PARTITIONS = 8
-# Fits of one k that run side by side.
-STARTS_AT_ONCE = 4
 
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -43,121 +39,113 @@ def expand_array(df: DataFrame, column: str, size: int, prefix: str = "x") -> Da
                      *[col(column)[i].cast("double").alias(f"{prefix}{i}") for i in range(size)])
 
 
-def fit_input(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+def fit_input(df: DataFrame) -> DataFrame:
     """Training rows computed once, placed by a hash of the row and sorted in each partition.
 
     The estimators cache what they iterate over, and release it.
     """
     row = ["__vector", *[c for c in df.columns if c != "features"]]
-    placed = staged(df).withColumn("__vector", vector_to_array("features"))
+    rows = staged(df)
+    partitions = max(FIT_PARTITIONS, -(-rows.count() // FIT_ROWS))
+    placed = rows.withColumn("__vector", vector_to_array("features"))
     return placed.repartition(partitions, *[col(c) for c in row]).sortWithinPartitions(*[col(c) for c in row]).drop("__vector")
 
 
-def kmeans_model(vectors: DataFrame, k: int, starts: int = 10, seed: int = 1, max_iter: int = 100) -> KMeansModel:
-    """The best of several random starts, by within-cluster sum of squares."""
-    def start(s: int) -> KMeansModel:
-        return KMeans(k=k, seed=seed + s, initMode="random" if s else "k-means||", maxIter=max_iter).fit(vectors)
-
-    with ThreadPool(min(starts, STARTS_AT_ONCE)) as pool:
-        models = pool.map(inheritable_thread_target(vectors.sparkSession)(start), range(starts), 1)
-    return min(models, key=lambda model: model.summary.trainingCost)
+def _vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Complete rows, written once, with the columns as the array ``__x``."""
+    return staged(drop_null_rows(df, columns).withColumn("__x", F.array(*[col(c).cast("double") for c in columns])))
 
 
 def kmeans(df: DataFrame, columns: Sequence[str], k: int, starts: int = 10, seed: int = 1) -> DataFrame:
-    """Rows with their cluster number, 0-based."""
-    vectors = fit_input(assembled(df, columns))
-    model = kmeans_model(vectors, k, starts, seed)
-    return model.setPredictionCol("cluster").transform(vectors).drop("features")
+    """Rows with their cluster number, 0-based: the best of several starts, each row at its nearest centre."""
+    rows = _vectors(df, columns)
+    fits = kmeans_fits(rows, "__x", [k], starts, seed)
+    cluster = nearest_centre(F.col("__x"), fits[k].centres) if fits else F.lit(None).cast("int")
+    return rows.withColumn("cluster", cluster).drop("__x")
 
 
 def kmeans_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2, 15), starts: int = 10,
                  seed: int = 1) -> DataFrame:
     """Silhouette and within-cluster sum of squares per number of clusters."""
-    vectors = fit_input(assembled(df, columns))
-    score = ClusteringEvaluator(predictionCol="prediction", featuresCol="features")
-    rows = []
-    for k in ks:
-        model = kmeans_model(vectors, k, starts, seed)
-        rows.append((k, float(score.evaluate(model.transform(vectors))), float(model.summary.trainingCost)))
-    return df.sparkSession.createDataFrame(rows, "k int, silhouette double, within_ss double")
-
-
-def single_gaussian_likelihood(df: DataFrame, columns: Sequence[str]) -> float:
-    """Log-likelihood of the one-component mixture, which has a closed form."""
-    d = len(columns)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.covar_pop(col(columns[i]), col(columns[j])).alias(f"c_{i}_{j}") for i, j in pairs]).first()
-    covariance = np.zeros((d, d))
-    for i, j in pairs:
-        covariance[i, j] = covariance[j, i] = row[f"c_{i}_{j}"]
-    return -row["n"] / 2 * (d * math.log(2 * math.pi) + np.linalg.slogdet(covariance)[1] + d)
-
-
-def gmm_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(2, 15), seed: int = 1,
-              max_iter: int = 100) -> DataFrame:
+    rows = _vectors(df, columns)
+    fits = kmeans_fits(rows, "__x", ks, starts, seed)
+    scores = silhouettes(rows, "__x", [labels_of(f.centres) for f in fits.values()]) if fits else []
+    out = [(k, s, f.within) for (k, f), s in zip(fits.items(), scores)]
+    return df.sparkSession.createDataFrame(out, "k int, silhouette double, within_ss double")
+
+
+def gmm_sweep(df: DataFrame, columns: Sequence[str], ks: Iterable[int] = range(1, 13), seed: int = 1, max_iter: int = 100) -> DataFrame:
     """Full-covariance mixtures: log-likelihood, AIC, BIC and silhouette; the least BIC is marked best."""
-    complete = staged(drop_null_rows(df.select(*[col(c) for c in columns]), columns))
-    vectors = fit_input(assembled(complete, columns).select("features"))
-    n, d = vectors.count(), len(columns)
-    score = ClusteringEvaluator(predictionCol="prediction", featuresCol="features")
-    rows = []
-    for k in ks:
+    rows, d = _vectors(df, columns), len(columns)
+    n, fits = mixture_fits(rows, "__x", ks, seed=seed, max_iter=max_iter)
+    scores = silhouettes(rows, "__x", [(k, lambda x, m=m: m.log_joint(x).argmax(axis=1)) for k, (m, _) in fits.items()]) if fits else []
+    out = []
+    for (k, (_, seen)), silhouette in zip(fits.items(), scores):
         free = k - 1 + k * d + k * d * (d + 1) // 2
-        silhouette = None
-        if k == 1:
-            ll = float(single_gaussian_likelihood(complete, columns))
-        else:
-            model = GaussianMixture(k=k, seed=seed, maxIter=max_iter).fit(vectors)
-            ll = float(model.summary.logLikelihood)
-            labelled = model.transform(vectors)
-            if labelled.select("prediction").distinct().count() > 1:
-                silhouette = float(score.evaluate(labelled))
-        rows.append((k, ll, 2.0 * free - 2.0 * ll, free * math.log(n) - 2.0 * ll, silhouette))
-    least = min(r[3] for r in rows)
-    return df.sparkSession.createDataFrame([(*r, r[3] == least) for r in rows],
+        out.append((k, seen[-1], 2.0 * free - 2.0 * seen[-1], free * math.log(n) - 2.0 * seen[-1], silhouette))
+    least = min((r[3] for r in out), default=None)
+    return df.sparkSession.createDataFrame([(*r, r[3] == least) for r in out],
                                            "k int, log_likelihood double, aic double, bic double, silhouette double, best boolean")
 
 
-def _centred(df: DataFrame, columns: Sequence[str], scale: bool) -> DataFrame:
-    """Centre by column mean, and divide by the sd on request; Spark's PCA transform does not centre."""
-    complete = drop_null_rows(df, columns)
-    if scale:
-        return scale_sample(complete, columns)
-    means = complete.agg(*[F.avg(col(c)).alias(c) for c in columns]).first()
-    return complete.select(*[(col(c) - means[c]).alias(c) if c in columns else col(c) for c in complete.columns])
+def _components(covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the variance and loadings (columns by components), the largest first.
+
+    The sign of a component, which is open, makes its largest loading positive.
+    """
+    values, vectors = np.linalg.eigh(covariance)
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    signs = np.sign(vectors[np.abs(vectors).argmax(axis=0), np.arange(len(values))])
+    total = values.sum()
+    return values / total if total > 0 else values, vectors * np.where(signs == 0, 1, signs)
 
 
-def _signs(model: PCAModel) -> list[float]:
-    """Sign of each component that makes its largest loading positive; the solver leaves it open."""
-    weights = model.pc.toArray()
-    return [float(np.sign(w[np.abs(w).argmax()])) or 1.0 for w in weights.T]
+def _projected(x: Column, mean: np.ndarray, weights: np.ndarray) -> list[Column]:
+    """Each component of an array column."""
+    return [sum(((F.get(x, F.lit(j)) - float(m)) * float(w) for j, (m, w) in enumerate(zip(mean, column))), F.lit(0.0)) for column in weights.T]
+
+
+def _scales(n: float, squares: np.ndarray, scale: bool) -> np.ndarray:
+    """Divisors of the columns: the sd with n - 1 on request; a constant column is left as it is."""
+    sd = np.sqrt(np.diag(squares) / max(n - 1, 1))
+    return np.where(sd > 0, sd, 1.0) if scale else np.ones(len(sd))
 
 
 def pca(df: DataFrame, columns: Sequence[str], k: int, scale: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores per row (PC1..PCk), explained-variance ratio per component, loadings per column."""
-    vectors = fit_input(assembled(_centred(staged(df), columns, scale), columns))
-    model = PCA(k=k, inputCol="features", outputCol="__pc").fit(vectors)
-    keep = [c for c in df.columns if c not in columns]
-    signs = _signs(model)
-    scores = (model.transform(vectors).withColumn("__pc", vector_to_array("__pc"))
-              .select(*keep, *[(F.col("__pc")[i] * signs[i]).alias(f"PC{i + 1}") for i in range(k)]))
-    spark = df.sparkSession
-    ratios = [(i + 1, float(r)) for i, r in enumerate(model.explainedVariance.toArray())]
-    weights = [(c, *map(float, row)) for c, row in zip(columns, model.pc.toArray() * signs)]
-    names = ", ".join(f"PC{i + 1} double" for i in range(k))
+    """Scores per row (PC1..PCk), explained-variance ratio per component, loadings per column.
+
+    One aggregate gives the centred cross-products; scores are a column expression, computed where the rows are. A constant column has no loading.
+    An empty table gives no scores, ratios or loadings.
+    """
+    rows = _vectors(df, columns)
+    n, mean, squares = moments(rows, "__x")
+    keep, spark = [c for c in df.columns if c not in columns], df.sparkSession
+    names = [f"PC{i + 1}" for i in range(k)]
+    loads = f"feature string, {', '.join(f'{c} double' for c in names)}"
+    if not n:
+        return (rows.select(*keep, *[F.lit(0.0).alias(c) for c in names]), spark.createDataFrame([], "component int, variance_ratio double"),
+                spark.createDataFrame([], loads))
+    scales = _scales(n, squares, scale)
+    shares, weights = _components(squares / max(n - 1, 1) / np.outer(scales, scales))
+    scores = rows.select(*keep, *[c.alias(name) for c, name in zip(_projected(F.col("__x"), mean, weights[:, :k] / scales[:, None]), names)])
+    ratios = [(i + 1, float(r)) for i, r in enumerate(shares[:k])]
     return (scores, spark.createDataFrame(ratios, "component int, variance_ratio double"),
-            spark.createDataFrame(weights, f"feature string, {names}"))
+            spark.createDataFrame([(c, *map(float, row)) for c, row in zip(columns, weights[:, :k])], loads))
 
 
 def cluster_projection(df: DataFrame, columns: Sequence[str], ids: Sequence[str], clusters: int, components: int = 3,
                        starts: int = 10, seed: int = 1, scale: bool = True) -> DataFrame:
-    """Ids, cluster and first components of every row, in one pass over the same vectors."""
-    vectors = fit_input(assembled(_centred(staged(df), columns, scale), columns))
-    grouped = kmeans_model(vectors, clusters, starts, seed).setPredictionCol("cluster").transform(vectors)
-    model = PCA(k=components, inputCol="features", outputCol="__pc").fit(vectors)
-    signs = _signs(model)
-    return (model.transform(grouped).withColumn("__pc", vector_to_array("__pc"))
-            .select(*ids, "cluster", *[(F.col("__pc")[i] * signs[i]).alias(f"PC{i + 1}") for i in range(components)]))
+    """Ids, cluster and first components of every row, over the same centred and scaled vectors."""
+    rows = _vectors(df, columns)
+    n, mean, squares = moments(rows, "__x")
+    if not n:
+        return rows.select(*ids, F.lit(0).alias("cluster"), *[F.lit(0.0).alias(f"PC{i + 1}") for i in range(components)])
+    scales = _scales(n, squares, scale)
+    scaled = staged(rows.select(*ids, F.array(*[(F.get("__x", F.lit(j)) - float(m)) / float(s) for j, (m, s) in enumerate(zip(mean, scales))]).alias("__x")))
+    centres = kmeans_fits(scaled, "__x", [clusters], starts, seed)[clusters].centres
+    _, weights = _components(squares / max(n - 1, 1) / np.outer(scales, scales))
+    projected = _projected(F.col("__x"), np.zeros(len(mean)), weights[:, :components])
+    return scaled.select(*ids, nearest_centre(F.col("__x"), centres).alias("cluster"), *[c.alias(f"PC{i + 1}") for i, c in enumerate(projected)])
 
 
 def _fit_and_predict(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, estimator) -> DataFrame:

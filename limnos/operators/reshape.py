@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from limnos.functions.nulls import col, drop_null_rows, unpivot_columns
+from limnos.session import staged
 
 
 def pivot_values(df: DataFrame, column: str = "target") -> list[str]:
@@ -107,7 +108,8 @@ def dense_columns(df: DataFrame, columns: Sequence[str], min_filled: int | None
 
 def drop_sparse_columns(df: DataFrame, ids: Sequence[str], min_filled: int | None = None, no_nulls: bool = False,
                         min_cell: float | None = None, drop_empty_rows: bool = True) -> DataFrame:
-    """Keep well-filled pivot columns, then drop the rows left empty."""
+    """Keep well-filled pivot columns, then drop the rows left empty; the pivot is computed once."""
+    df = staged(df)
     kept = dense_columns(df, [c for c in df.columns if c not in ids], min_filled, no_nulls, min_cell)
     out = df.select(*ids, *[col(c) for c in kept])
     return drop_null_rows(out, kept, "all") if drop_empty_rows and kept else out

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from limnos.operators import clusters
 from limnos.operators import evaluation as ev
 from limnos.operators import features as ft
 from limnos.operators import models as ml
@@ -236,3 +237,61 @@ def test_evaluation(spark, rows):
     report = {r.label: r for r in ev.classification_report(pred).collect()}
     assert report["a"].precision == 1.0 and report["a"].recall == 0.8 and report["c"].f1 == 0.0
     assert report["weighted avg"].recall == pytest.approx(0.75) and report["accuracy"].support == 8
+
+
+def test_rows_lie_at_their_nearest_centre(spark):
+    """Labels, sums of squares and silhouettes against plain arithmetic; copies and more clusters than distinct rows."""
+    rng = np.random.default_rng(1)
+    data = np.concatenate([rng.normal(c, 1.0, (40, 2)) for c in (0, 6, 20)] + [np.ones((60, 2))])
+    rows = spark.createDataFrame([(x.tolist(),) for x in data], "x array<double>").repartition(5)
+    fits = clusters.kmeans_fits(rows, "x", [2, 3, 5], starts=4)
+    scores = clusters.silhouettes(rows, "x", [clusters.labels_of(f.centres) for f in fits.values()])
+    for (k, fit), score in zip(fits.items(), scores):
+        gaps = ((data[:, None] - fit.centres[None]) ** 2).sum(axis=2)
+        label = gaps.argmin(axis=1)
+        assert fit.within == pytest.approx(gaps.min(axis=1).sum())
+        for c in range(k):
+            assert fit.centres[c] == pytest.approx(data[label == c].mean(axis=0), abs=1e-4)
+        all_gaps, each = ((data[:, None] - data[None]) ** 2).sum(axis=2), []
+        for i, own in enumerate(label):
+            means = [all_gaps[i, label == c].sum() / max((label == c).sum() - (c == own), 1) for c in range(k)]
+            other = min(m for c, m in enumerate(means) if c != own)
+            each.append((other - means[own]) / max(other, means[own]))
+        assert score == pytest.approx(np.mean(each))
+    same = spark.createDataFrame([([1.0, 2.0],)] * 30, "x array<double>")
+    assert clusters.kmeans_fits(same, "x", [3], starts=2)[3].within == 0.0
+    assert clusters.kmeans_fits(same.limit(0), "x", [3]) == {}
+
+
+def test_mixtures_never_lose_likelihood(spark):
+    """Overlapping groups, and a column that is constant."""
+    rng = np.random.default_rng(6)
+    data = np.concatenate([rng.normal(0, 1, (150, 2)), rng.normal(2, 0.4, (80, 2)), rng.normal((-3, 4), 2, (70, 2))])
+    rows = spark.createDataFrame([(x.tolist() + [7.0],) for x in data], "x array<double>").repartition(4)
+    n, fits = clusters.mixture_fits(rows, "x", [1, 2, 3, 6], starts=2, max_iter=25)
+    assert n == 300
+    for k, (mixture, seen) in fits.items():
+        assert all(b >= a - 1e-6 * abs(a) for a, b in zip(seen, seen[1:])) and np.isfinite(seen).all()
+        joint = mixture.log_joint(np.column_stack((data, np.full(300, 7.0))))
+        assert np.log(np.exp(joint).sum(axis=1)).sum() == pytest.approx(seen[-1])
+        assert mixture.weights.sum() == pytest.approx(1) and len(seen) == (2 if k == 1 else len(seen))
+
+
+def test_a_constant_column_has_no_loading(spark):
+    df = spark.createDataFrame([(i, float(i), 5.0, float(i * i % 7)) for i in range(20)], "id int, a double, b double, c double")
+    scores, ratios, loadings = ml.pca(df, ["a", "b", "c"], 3, scale=True)
+    weights = {r.feature: (r.PC1, r.PC2) for r in loadings.collect()}
+    assert weights["b"] == pytest.approx((0, 0), abs=1e-12) and scores.count() == 20
+    assert [r.variance_ratio for r in ratios.orderBy("component").collect()][2] == pytest.approx(0, abs=1e-12)
+    assert ml.pca(df.limit(0), ["a", "b", "c"], 2)[0].count() == 0
+    assert ml.cluster_projection(df.limit(0), ["a", "b", "c"], ["id"], 2).count() == 0
+
+
+def test_oversampling_an_empty_table(spark):
+    df = spark.createDataFrame([], "id int, label string")
+    assert ft.oversample(df, "label", ["id"]).count() == 0
+
+
+def test_global_mean(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, 9.0), (None, None)], "a double, b double")
+    assert [tuple(r) for r in ft.impute_global_mean(df, ["a", "b"]).collect()] == [(1.0, 4.0), (2.0, 9.0), (4.0, 4.0)]
