@@ -52,12 +52,12 @@ def tokens_of(texts: Sequence[str | None]) -> np.ndarray:
 
 def scorer(model: text_model.Model | None, domains: Sequence[str]):
     """Function of texts to their tokens and probabilities in the order of ``domains``: an even split without a model, zero for a domain it does not know."""
-    remembered = model and text_model.Remembered(model.words)
+    lookup = model and text_model.Lookup(model.words)
 
     def score(texts: Sequence[str | None]) -> tuple[pa.Array, pa.Array]:
         p = np.full((len(texts), len(domains)), 1.0 / max(len(domains), 1))
         if model is not None:
-            known = model.posteriors(texts, remembered)
+            known = model.posteriors(texts, lookup)
             p = np.stack([known[:, model.classes.index(d)] if d in model.classes else np.zeros(len(texts)) for d in domains], axis=1)
         return pa.array(tokens_of(texts)), pa.array(list(p), pa.list_(pa.float64()))
     return score

@@ -81,10 +81,10 @@ def site_posteriors(docs: DataFrame, model: text_model.Model | None, host: Colum
     before anything is shuffled, so a host with a third of all rows is a few partial sums.
     """
     def make():
-        remembered = model and text_model.Remembered(model.words)
+        lookup = model and text_model.Lookup(model.words)
 
         def compute(texts):
-            p = [0.5] * len(texts) if model is None else model.posteriors(texts, remembered)[:, model.classes.index(1)].tolist()
+            p = [0.5] * len(texts) if model is None else model.posteriors(texts, lookup)[:, model.classes.index(1)].tolist()
             return {"evidence": pa.array(p, pa.float64())}
         return compute
 

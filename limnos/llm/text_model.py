@@ -7,8 +7,8 @@ fit runs on the sample's sparse features only; scoring is a row-wise map over al
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
-from itertools import chain
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -25,9 +25,10 @@ VOCABULARY = 4_000
 #: Documents of the sample a word must occur in.
 LEAST_DOCUMENTS = 4
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Bytes of words a task remembers the features of, and texts scored at once.
-REMEMBERED_BYTES = 1 << 22
-SCORED_TEXTS = 1_000
+#: Letters scored at once; a longer text is cut behind white space.
+PIECE = 1 << 20
+_BREAK = re.compile(r"\s")
+_BASE = 0x9E3779B97F4A7C15
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>@{}[]=_~^\\/", bytes(range(65, 91)), bytes(range(48, 58))
 SHAPE = ("words", "word_length", "symbols", "bars", "shouts", "upper", "digits", "lines", "distinct")
 
@@ -66,51 +67,109 @@ class Model(NamedTuple):
     shape_weights: np.ndarray
     constant: np.ndarray
 
-    def posteriors(self, texts: Sequence[str | None], remembered: Remembered | None = None) -> np.ndarray:
+    def posteriors(self, texts: Sequence[str | None], lookup: Lookup | None = None) -> np.ndarray:
         """Probability of each class for each text; an even split if there is no class to tell apart."""
-        remembered = remembered or Remembered(self.words)
-        parts = [self._logits(texts[at:at + SCORED_TEXTS], remembered) for at in range(0, len(texts), SCORED_TEXTS)]
-        return softmax(np.concatenate(parts)) if parts else np.zeros((0, len(self.classes)))
-
-    def _logits(self, texts: Sequence[str | None], remembered: Remembered) -> np.ndarray:
-        found = [LETTERS.findall((t or "").lower()) for t in texts]
-        sizes = list(map(len, found))
+        lookup = lookup or Lookup(self.words)
+        logits = np.zeros((len(texts), len(self.classes))) + self.constant
         # Each text's features as a row of marks: a word found again marks the same places.
-        marks = np.zeros((len(texts), len(self.words) + 1), bool)
-        marks[np.repeat(np.arange(len(texts)), sizes)[:, None], remembered.features(list(chain.from_iterable(found)))] = True
-        owner, word = np.nonzero(marks[:, :-1])
-        logits = np.stack([np.bincount(owner, w, len(texts)) for w in self.word_weights[word].T], axis=1) + self.constant
+        marks = np.zeros((len(texts), len(self.words)), bool)
+        counts, kinds = np.zeros(len(texts), np.int64), []
+        for owner, whole, four, five, size in map(_hashed_words, _pieces(texts)):
+            counts += np.bincount(owner, minlength=len(texts))
+            # One key for a text and a word, to count a text's distinct words.
+            key, first = np.unique(whole ^ (owner.astype(np.uint64) * np.uint64(_BASE)), return_index=True)
+            owner, size = owner[first], size[first]
+            kinds.append((key, owner))
+            for hashes, at, table in ((whole[first], size > 0, lookup.words), (four[first], size > 4, lookup.fours), (five[first], size > 5, lookup.fives)):
+                lookup.mark(marks, owner[at], hashes[at], table)
+        owner, word = np.nonzero(marks)
+        logits += np.stack([np.bincount(owner, w, len(texts)) for w in self.word_weights[word].T], axis=1)
         if self.shape_weights.any():
-            logits += (shapes(texts, sizes, [len(set(f)) for f in found]) - self.shape_mean) / self.shape_scale @ self.shape_weights
-        return logits
+            key, of = (np.concatenate(x) for x in zip(*kinds)) if kinds else (np.zeros(0), np.zeros(0, np.int64))
+            distinct = np.bincount(of[np.unique(key, return_index=True)[1]], minlength=len(texts))
+            logits += (shapes(texts, counts, distinct) - self.shape_mean) / self.shape_scale @ self.shape_weights
+        return softmax(logits) if len(texts) else logits
 
 
-class Remembered:
-    """Features of the words a task has met: the numbers of a word and of its beginnings, the number of words where it has none."""
+def _pieces(texts: Sequence[str | None]) -> Iterator[tuple[list[str], list[int]]]:
+    """Lists of at most about ``PIECE`` letters of text, with the numbers of the texts they belong to."""
+    held, owners, size = [], [], 0
+    for i, text in enumerate(texts):
+        lower, at = (text or "").lower(), 0
+        while at < len(lower):
+            end = len(lower)
+            if end - at > PIECE:
+                found = _BREAK.search(lower, at + PIECE)
+                end = found.end() if found else end
+            held.append(lower[at:end])
+            owners.append(i)
+            size, at = size + end - at, end
+            if size >= PIECE:
+                yield held, owners
+                held, owners, size = [], [], 0
+    if held:
+        yield held, owners
+
+
+@lru_cache(1)
+def _is_letter() -> np.ndarray:
+    """Whether each character is one of ``LETTERS``."""
+    out = np.zeros(0x110000, bool)
+    for m in LETTERS.finditer("".join(map(chr, range(0x110000)))):
+        out[m.start():m.end()] = True
+    return out
+
+
+@lru_cache(1)
+def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64."""
+    base, inverse = np.full(count, _BASE, np.uint64), np.full(count, pow(_BASE, -1, 2 ** 64), np.uint64)
+    base[0] = inverse[0] = 1
+    return np.multiply.accumulate(base), np.multiply.accumulate(inverse)
+
+
+def _hashed_words(piece: tuple[list[str], list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each word: the text it is in, hashes of the word and of its first four and five letters, and its letters."""
+    texts, owners = piece
+    codes = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    edges = np.flatnonzero(np.diff(_is_letter()[codes], prepend=False, append=False))
+    start, end = edges[0::2], edges[1::2]
+    text = np.searchsorted(np.cumsum([0] + [len(t) + 1 for t in texts]), start, side="right") - 1
+    power, inverse = _powers(max(1 << 21, 1 << len(codes).bit_length()))
+    # A sum over letters times falling powers; two sums and one product give the hash of any stretch, wherever it lies.
+    total = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * inverse[:len(codes)], out=total[1:])
+    stretch = lambda stop: (total[stop] - total[start]) * power[start]
+    return np.array(owners, np.int64)[text], stretch(end), stretch(np.minimum(start + 4, end)), stretch(np.minimum(start + 5, end)), end - start
+
+
+def _hash_of(words: Sequence[str]) -> np.ndarray:
+    return _hashed_words((list(words), list(range(len(words)))))[1] if words else np.zeros(0, np.uint64)
+
+
+class Lookup:
+    """A model's features by hash: words, and beginnings of four and five letters."""
 
     def __init__(self, words: dict[str, int]):
-        self.words = words
-        self.forget()
-
-    def forget(self) -> None:
-        self.at: dict[str, int] = {}
-        self.rows, self.bytes = np.zeros((0, 3), np.int32), 0
-
-    def features(self, found: list[str]) -> np.ndarray:
-        """Three numbers for each word."""
-        if self.bytes > REMEMBERED_BYTES:
-            self.forget()
-        places = list(map(self.at.get, found))
-        if None in places:
-            new = list(dict.fromkeys([w for w, p in zip(found, places) if p is None]))
-            none = len(self.words)
-            number = self.words.get
-            rows = [(number(w, none), number(w[:4] + "~", none) if len(w) > 4 else none, number(w[:5] + "~", none) if len(w) > 5 else none) for w in new]
-            self.at.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
-            self.rows = np.concatenate((self.rows, np.array(rows, np.int32)))
-            self.bytes += sum(map(len, new)) + 64 * len(new)
-            places = list(map(self.at.get, found))
-        return self.rows[np.array(places, np.int64)]
+        plain = [w for w in words if not w.endswith("~")]
+        begins = {n: [w for w in words if w.endswith("~") and len(w) == n + 1] for n in (4, 5)}
+        self.words, self.fours, self.fives = (self._table(ws, [w.removesuffix("~") for w in ws], words) for ws in (plain, begins[4], begins[5]))
+
+    @staticmethod
+    def _table(names: list[str], letters: list[str], words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        hashes = _hash_of(letters)
+        order = np.argsort(hashes)
+        if len(hashes) != len(names) or len(np.unique(hashes)) != len(names):
+            raise ValueError("two features share a hash, or one is not a run of letters")
+        return hashes[order], np.array([words[n] for n in names], np.int64)[order]
+
+    @staticmethod
+    def mark(marks: np.ndarray, owner: np.ndarray, hashes: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> None:
+        known, number = table
+        if len(known):
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = known[at] == hashes
+            marks[owner[hit], number[at[hit]]] = True
 
 
 class Rows(NamedTuple):

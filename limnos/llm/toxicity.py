@@ -65,8 +65,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def toxic_scores(model: text_model.Model | None):
     """Function of texts to their probabilities."""
-    remembered = model and text_model.Remembered(model.words)
-    return lambda texts: [0.0] * len(texts) if model is None else model.posteriors(texts, remembered)[:, model.classes.index(1)].tolist()
+    lookup = model and text_model.Lookup(model.words)
+    return lambda texts: [0.0] * len(texts) if model is None else model.posteriors(texts, lookup)[:, model.classes.index(1)].tolist()
 
 
 def score_toxicity(docs: DataFrame, model: text_model.Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -198,6 +198,25 @@ def test_site_posteriors_against_plain_arithmetic(odd, labels, empty):
     assert site_quality.site_posteriors(odd, None, host, path).where("evidence <> 0.5").count() == 0
 
 
+def test_posteriors_of_slices_against_single_texts(odd_rows, monkeypatch):
+    texts = [r[1] for r in odd_rows] + ["a ÄÖ_b1c ß x²y Σας İi  z", "abcd abcde abcdef " * 3, "İ" * 7, "\ud800 word", "\x85word\u3000абв"]
+    names = sorted({f for t in texts for f in text_model.features(text_model.LETTERS.findall((t or "").lower()))})
+    rnd = np.random.default_rng(3)
+    words = {w: i for i, w in enumerate(names)}
+    model = text_model.Model([0, 1, 2], words, rnd.normal(size=(len(names), 3)) / 50, np.full(9, 0.1), np.full(9, 2.0), rnd.normal(size=(9, 3)) / 50, np.array([0.1, 0.0, -0.1]))
+
+    def alone(text):
+        found = text_model.LETTERS.findall((text or "").lower())
+        logits = model.constant + sum((model.word_weights[words[f]] for f in text_model.features(found)), np.zeros(3))
+        return text_model.softmax((logits + (np.array(text_model.shape(text or "", found)) - 0.1) / 2.0 @ model.shape_weights)[None])[0]
+
+    want = np.array([alone(t) for t in texts])
+    assert np.allclose(model.posteriors(texts), want, atol=1e-10)
+    monkeypatch.setattr(text_model, "PIECE", 200)
+    assert np.allclose(model.posteriors(texts), want, atol=1e-10)
+    assert model.posteriors([]).shape == (0, 3)
+
+
 # Mixing
 
 def test_rates_meet_the_targets_and_stay_positive(spark):
