@@ -26,7 +26,7 @@ from limnos.llm.shared import numbered_in_place, text_slices
 from limnos.session import staged
 
 #: Rows and bytes of text at which a segment ends.
-SEGMENT_ROWS = 128
+SEGMENT_ROWS = 32
 SEGMENT_BYTES = 1 << 20
 #: Neighbouring segments that are merged at once, as a power of two.
 MERGE_BITS = 6
@@ -70,13 +70,17 @@ def search(initials: str, faults: str, entry: int, target: int | None) -> tuple[
 
     Without a target the rows end the conversation: rows may be inserted behind them, and an accepting state is reached.
     """
+    return _deepen(initials, faults, entry, target, {})
+
+
+def _deepen(initials: str, faults: str, entry: int, target: int | None, proven: dict[tuple[int, int], int]) -> tuple[int, str] | None:
+    """The search; ``proven`` holds what a row and state cost at least on the way to the target, whatever the entry."""
     n = len(initials)
     if target is not None and not _reachable(initials, faults, entry, target):
         return None
     rest = [0] * (n + 1)
     for i in range(n - 1, -1, -1):
         rest[i] = rest[i + 1] + _least(initials[i], faults[i])
-    proven: dict[tuple[int, int], int] = {}
     path: list[str] = []
 
     def descend(i: int, state: int, left: int) -> bool:
@@ -94,7 +98,7 @@ def search(initials: str, faults: str, entry: int, target: int | None) -> tuple[
         proven[i, state] = left + 1 if best is None else max(best, left + 1)
         return False
 
-    bound = rest[0]
+    bound = proven.get((0, entry), rest[0])
     while not descend(0, entry, bound):
         bound = proven[0, entry]
     edits = "".join(path)
@@ -264,8 +268,9 @@ def segment_table(initials: str, faults: str) -> tuple[list[int | None], list[in
     """Least cost between every two states (entry times 4 plus exit), and the place of its edits among those of the same entry."""
     costs: list[int | None] = []
     places: list[int | None] = []
+    proven: list[dict] = [{} for _ in STATES]  # shared by the entries of a target
     for entry in STATES:
-        found = [search(initials, faults, entry, t) for t in STATES]
+        found = [_deepen(initials, faults, entry, t, proven[t]) for t in STATES]
         order = sorted(t for t in STATES if found[t] is not None)
         order.sort(key=lambda t: found[t][1])
         costs += [f[0] if f else None for f in found]

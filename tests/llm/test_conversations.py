@@ -105,7 +105,7 @@ def test_merged_segments_are_the_whole():
                     assert "".join(reversed(edits)) == alone[1]
 
 
-@pytest.mark.parametrize("segment_rows, merge_bits", [(128, 6), (3, 2)])
+@pytest.mark.parametrize("segment_rows, merge_bits", [(32, 6), (3, 2)])
 def test_awkward_conversations(spark, segment_rows, merge_bits):
     rows = [r for i in range(60) for r in conversation(i, 1 + i % 9, None if i == 7 else i)]
     rows += conversation(99, 300, 1000) + [(2000, 5, "user", "Same.")] * 200 + [(3000, None, "user", "x" * 100_000 + ".")]
