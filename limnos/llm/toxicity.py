@@ -3,11 +3,13 @@
 Toxic labels often go with mentions of groups of people, and a plain classifier learns the groups. Here every sentence of
 a sampled labelled document that names a group is copied twice, with the term swapped for another of its set and for a
 neutral word without weight, and the squared change of the score is penalised, so the terms themselves carry no weight and
-neutral mentions stay clean.
+neutral mentions stay clean. Mentions are also made where the sample has few: a word of a labelled sentence gives place to a term.
 """
 
 from __future__ import annotations
 
+from zlib import crc32
+
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
@@ -15,6 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from limnos.functions.nulls import col
 from limnos.llm import text_model
 from limnos.llm.shared import filter_texts, held_out, map_texts
+from limnos.session import staged
 
 # Identity terms that are swapped within their set.
 IDENTITY_SETS = (
@@ -29,8 +32,11 @@ SENTENCE = regex.compile(r"[^.!?\n]+")
 THRESHOLD = 0.3
 PENALTY = 10.0
 RIDGE = 4e-5
-#: Most counterfactual sentences a fit uses, in the order of a hash.
+#: Most counterfactual sentences a fit uses, in the order of a hash: found ones, and ones made of sentences of so many words at least.
 PAIRS = 20_000
+MADE_PAIRS = 4_000
+MADE_WORDS = 5
+_TERMS = sorted(SWAPS)
 
 
 def counterfactuals(text: str | None) -> list[tuple[list[str], list[str]]]:
@@ -43,17 +49,35 @@ def counterfactuals(text: str | None) -> list[tuple[list[str], list[str]]]:
     return out
 
 
+def made_mentions(text: str | None) -> list[tuple[list[str], list[str]]]:
+    """Distinct words of each sentence without an identity term, after one of its words gave place to a term, and to the term's swap.
+
+    A checksum of the sentence picks the word and the term.
+    """
+    out = []
+    for sentence in SENTENCE.findall((text or "").lower()):
+        words = text_model.LETTERS.findall(sentence)
+        if len(words) >= MADE_WORDS and not any(w in SWAPS for w in words):
+            pick = crc32(" ".join(words).encode("utf-8", "surrogatepass"))
+            at, term = pick % len(words), _TERMS[pick // len(words) % len(_TERMS)]
+            out.append(tuple(sorted({*words[:at], t, *words[at + 1:]}) for t in (term, SWAPS[term])))
+    return out
+
+
 def _pairs_of(rows: DataFrame) -> list[tuple[list[str], list[str]]]:
+    sides = pa.list_(pa.struct([("a", pa.list_(pa.string())), ("b", pa.list_(pa.string()))]))
+    listed = lambda pairs: [{"a": a, "b": b} for a, b in pairs]
+
     def make():
-        return lambda texts: {"pairs": pa.array([[{"a": a, "b": b} for a, b in counterfactuals(t)] for t in texts],
-                                                pa.list_(pa.struct([("a", pa.list_(pa.string())), ("b", pa.list_(pa.string()))])))}
+        return lambda texts: {"found": pa.array([listed(counterfactuals(t)) for t in texts], sides), "made": pa.array([listed(made_mentions(t)) for t in texts], sides)}
 
-    found = map_texts(rows, "text", {"doc_id": "doc_id"}, make, "pairs array<struct<a:array<string>,b:array<string>>>")
-    one = found.select(F.explode("pairs").alias("p")).select("p.a", "p.b").distinct()
-    both = lambda words: sorted(text_model.features(words))  # noqa: E731  the beginnings of a term are swapped with it
-    drawn = one.orderBy(F.xxhash64("a", "b")).limit(PAIRS).collect()
+    kind = "array<struct<a:array<string>,b:array<string>>>"
+    both = staged(map_texts(rows, "text", {"doc_id": "doc_id"}, make, f"found {kind}, made {kind}"))
+    drawn = [r for name, most in (("found", PAIRS), ("made", MADE_PAIRS))
+             for r in both.select(F.explode(name).alias("p")).select("p.a", "p.b").distinct().orderBy(F.xxhash64("a", "b"), "a", "b").limit(most).collect()]
+    shared = lambda words: sorted(text_model.features(words))  # noqa: E731  the beginnings of a term are swapped with it
     plain = lambda words: [w for w in words if w not in SWAPS]
-    return [(both(r["a"]), both(other)) for r in drawn for other in (r["b"], plain(r["a"]))]
+    return [(shared(r["a"]), shared(other)) for r in drawn for other in (r["b"], plain(r["a"]))]
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic", penalty: float = PENALTY,

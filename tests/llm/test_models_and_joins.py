@@ -71,6 +71,23 @@ def test_swapped_terms_score_alike(spark):
     assert min(toxicity.toxic_scores(fair)(["you idiot of a river lake", "scum water stone"])) >= toxicity.THRESHOLD
 
 
+def test_mentions_are_made_where_there_are_none(spark):
+    made = toxicity.made_mentions("The river runs by the old mill here. A river flows down to the sea! Too short.")
+    assert len(made) == 1  # the first sentence has a term of its own
+    (a, b), = made
+    assert len(set(a) - set(b)) == len(set(b) - set(a)) == 1 and toxicity.SWAPS[(set(a) - set(b)).pop()] == (set(b) - set(a)).pop()
+    assert toxicity.made_mentions(None) == []
+    # Terms whose beginnings the sample shares with toxic words: without the penalty a neutral mention changes the score.
+    rows = [(i, ("christmas scum idiot trash fool " if i % 2 else "river lake water stone hill ") + f"q{chr(97 + i % 26)}{chr(97 + i // 26)} z{chr(97 + i % 7)}", i % 2) for i in range(400)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    plain, fair = (toxicity.train(rows.select("doc_id", "text"), rows.select("doc_id", "toxic"), penalty=p) for p in (0.0, toxicity.PENALTY))
+    neutral = ["river lake water stone christian hill river", "river lake water stone muslim hill river"]
+    gap = lambda model: abs(float(np.subtract(*toxicity.toxic_scores(model)(neutral))))
+    assert gap(fair) < gap(plain) / 2
+    truth = [r.toxic for r in rows.limit(100).collect()]
+    assert [s >= toxicity.THRESHOLD for s in toxicity.toxic_scores(fair)([r.text for r in rows.limit(100).collect()])] == [bool(t) for t in truth]
+
+
 def test_counterfactuals_swap_inside_their_set():
     assert toxicity.counterfactuals("Hello there. The Women swim! Old boats\nnothing") == [(["swim", "the", "women"], ["men", "swim", "the"]), (["boats", "old"], ["boats", "young"])]
     assert toxicity.counterfactuals(None) == []
