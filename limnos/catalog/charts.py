@@ -76,10 +76,10 @@ WITH v AS (SELECT wb_code, value / 1000000.0e0 AS v FROM m WHERE value IS NOT NU
 e AS (SELECT min(v) AS lo, max(v) AS hi, (max(v) - min(v)) / 512.0e0 AS w FROM v),
 s AS (SELECT wb_code, count(*) AS n, 0.9e0 * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34e0)
   * power(count(*), -0.2e0) AS bw FROM v GROUP BY wb_code),
-b AS (SELECT wb_code, least(floor((v - lo) / w), 511) AS bin, count(*) AS c FROM v, e GROUP BY ALL),
+b AS (SELECT wb_code, least(floor((v - lo) / w), 511) AS bin, count(*) AS c, sum((v - lo) / w - least(floor((v - lo) / w), 511)) AS up FROM v, e GROUP BY ALL),
 g AS (SELECT i AS point, lo + i * (hi - lo) / 127.0e0 AS x FROM e, range(128) t(i))
 SELECT b.wb_code, CAST(point AS INTEGER) AS point, R(x) AS x, R(bw) AS bandwidth,
-  R(sum(c * exp(-power((x - lo - (bin + 0.5e0) * w) / bw, 2) / 2)) / (n * bw * sqrt(2 * pi()))) AS density
+  R(sum((c - up) * exp(-power((x - lo - bin * w) / bw, 2) / 2) + up * exp(-power((x - lo - (bin + 1) * w) / bw, 2) / 2)) / (n * bw * sqrt(2 * pi()))) AS density
 FROM b JOIN s USING (wb_code), g, e GROUP BY b.wb_code, point, x, bw, n""", digits=6)
 def density_curve(spark, folder):
     rows = meas(spark, folder).withColumn("value", col("value") / 1000000.0)

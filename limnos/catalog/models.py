@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from limnos.catalog import sql_text
 from limnos.catalog.registry import TARGETS, merged, query
+from limnos.catalog.statistics import KEPT, PREPARED_SQL, prep_water_body
 from limnos.functions.nulls import col
 from limnos.operators import evaluation as ev
 from limnos.operators import models as ml
 from limnos.operators import neighbours as nn
 from limnos.operators.features import scale_sample
 from limnos.operators.reshape import site_target_matrix
+from limnos.plans import europe
+from limnos.session import staged
 from limnos.sources.driver_tables import table
 
 EMBEDDING_SIZE = 64
@@ -267,3 +270,43 @@ def classification_report(spark, folder):
 def classify_knn_report(spark, folder):
     pred = nn.classify_knn(*_split(spark, folder), "site_id", "wb_code", TARGETS, 5)
     return ev.classification_report(pred)
+
+
+_PLAN = f"""{PREPARED_SQL}, ts AS (SELECT {", ".join(f"avg({t}) AS m_{t}, stddev_pop({t}) AS s_{t}" for t in KEPT)} FROM prepared WHERE split = 'train'),
+x AS (SELECT site_id, wb_code, split, {", ".join(f"({t} - m_{t}) / s_{t} AS {t}" for t in KEPT)} FROM prepared, ts),
+d AS (SELECT q.site_id, q.wb_code AS actual, a.wb_code AS vote, row_number() OVER (PARTITION BY q.site_id
+  ORDER BY sqrt({" + ".join(f"(a.{t} - q.{t}) ** 2" for t in KEPT)}), a.site_id) AS r FROM x q, x a WHERE q.split = 'test' AND a.split = 'train'),
+v AS (SELECT site_id, actual, vote, count(*) AS n FROM d WHERE r <= 5 GROUP BY ALL),
+pred AS (SELECT site_id, actual, vote AS predicted FROM v QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY n DESC, vote) = 1)"""
+
+
+@query("water_body_neighbours", f"WITH {_PLAN} SELECT site_id, actual, predicted FROM pred")
+def water_body_neighbours(spark, folder):
+    """Test sites of the prepared matrix, classified by a plan fitted to its training sites."""
+    prepared = staged(prep_water_body(spark, folder))
+    return europe.fit_plan(prepared, KEPT, "k_neighbours").predict(prepared.where("split = 'test'"))
+
+
+@query("water_body_report", f"WITH {_PLAN}, {_REPORT}")
+def water_body_report(spark, folder):
+    return europe.classify_water_bodies(prep_water_body(spark, folder), KEPT, "k_neighbours")
+
+
+@query("water_body_report_forest")
+def water_body_report_forest(spark, folder):
+    return europe.classify_water_bodies(prep_water_body(spark, folder), KEPT, "random_forest")
+
+
+@query("water_body_clusters")
+def water_body_clusters(spark, folder):
+    return europe.cluster_water_bodies(prep_water_body(spark, folder), KEPT)
+
+
+@query("water_body_variance", f"""
+WITH {PREPARED_SQL}, lx AS (SELECT site_id, unnest(range(1, {len(KEPT) + 1})) AS i, unnest([{", ".join(KEPT)}]) AS x FROM prepared),
+lz AS MATERIALIZED (SELECT site_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM lx),
+cv AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM lz a JOIN lz b USING (site_id) GROUP BY a.i, b.i), {_principal_sql("cv", 2)}
+SELECT CAST(c AS INTEGER) AS component, R(max(value) / (SELECT sum(v) FROM cv WHERE i = j)) AS variance_ratio FROM pc GROUP BY c""")
+def water_body_variance(spark, folder):
+    """Shares of variance of the first components of the prepared matrix."""
+    return europe.project_water_bodies(prep_water_body(spark, folder), KEPT)[1]

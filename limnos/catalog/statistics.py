@@ -312,17 +312,20 @@ def prep_features(spark, folder):
     return swiss.prep_features(swiss.merge_data(meas(spark, folder), sites(spark, folder)), 0.5, seed=2)
 
 
-_KEPT = [t for t in TARGETS if t != "SMALL"]
-_ZW = ", ".join(f"({t} - avg({t}) OVER ()) / stddev_pop({t}) OVER () AS {t}" for t in _KEPT)
+KEPT = [t for t in TARGETS if t != "SMALL"]
+_ZW = ", ".join(f"({t} - avg({t}) OVER ()) / stddev_pop({t}) OVER () AS {t}" for t in KEPT)
 
 
-@query("prep_water_body", f"""
-WITH w AS (SELECT site_id, wb_code, {", ".join(f"max(mean) FILTER (target = '{t}') AS {t}" for t in _KEPT)} FROM asw GROUP BY ALL),
-z AS (SELECT site_id, wb_code, {_ZW} FROM w), c AS (SELECT * FROM z WHERE {" AND ".join(f"{t} IS NOT NULL" for t in _KEPT)}),
+#: The prepared matrix, as common table expressions that end in ``prepared``.
+PREPARED_SQL = f"""w AS (SELECT site_id, wb_code, {", ".join(f"max(mean) FILTER (target = '{t}') AS {t}" for t in KEPT)} FROM asw GROUP BY ALL),
+z AS (SELECT site_id, wb_code, {_ZW} FROM w), c AS (SELECT * FROM z WHERE {" AND ".join(f"{t} IS NOT NULL" for t in KEPT)}),
 u AS ({_placed('c', 'wb_code', 'site_id', 4)}),
-b AS (SELECT site_id, wb_code, {", ".join(_KEPT)} FROM u WHERE pos < (SELECT min(n) FROM (SELECT count(*) AS n FROM c GROUP BY wb_code))),
-p AS ({_placed('b', 'wb_code', 'site_id', 5)})
-SELECT site_id, wb_code, {", ".join(f'R({t}) AS {t}' for t in _KEPT)}, CASE WHEN pos < round(size * 0.5e0) THEN 'train' ELSE 'test' END AS split FROM p""")
+b AS (SELECT site_id, wb_code, {", ".join(KEPT)} FROM u WHERE pos < (SELECT min(n) FROM (SELECT count(*) AS n FROM c GROUP BY wb_code))),
+p AS ({_placed('b', 'wb_code', 'site_id', 5)}),
+prepared AS (SELECT site_id, wb_code, {", ".join(KEPT)}, CASE WHEN pos < round(size * 0.5e0) THEN 'train' ELSE 'test' END AS split FROM p)"""
+
+
+@query("prep_water_body", f"WITH {PREPARED_SQL} SELECT site_id, wb_code, {', '.join(f'R({t}) AS {t}' for t in KEPT)}, split FROM prepared")
 def prep_water_body(spark, folder):
     return europe.prep_water_body(aggregated(spark, folder, "site_id", "wb_code", "target"),
                                   aggregated(spark, folder, "wb_code", "target"), 30, 50, 6, seed=4)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from limnos.catalog.registry import TARGETS, aggregated, meas, merged, query, sites
 from limnos.functions.nulls import col
 from limnos.operators import time_traces as op
+from limnos.operators.aggregates import aggregate_moments
 from limnos.operators.columns import derive_period
 
 
@@ -46,9 +47,10 @@ def find_time_traces_source_year(spark, folder):
     return op.find_time_traces_source(_source(spark, folder), sites(spark, folder), 10, 10, targets=TARGETS)[1]
 
 
-def _traces(spark, folder):
-    return op.find_time_traces(aggregated(spark, folder, "site_id", "target"),
-                               aggregated(spark, folder, "site_id", "target", "year"), 30, 80, 10, 10, 50, TARGETS)
+def _year_traces(spark, folder, targets=TARGETS):
+    """Only the rows of the targets asked for are aggregated."""
+    agg = aggregated(spark, folder, "site_id", "target", "year").where(col("target").isin(targets))
+    return op.trace_matrix(agg, ["site_id", "year"], 30, 10, 50, targets)
 
 
 def _rows(view: str, least: int, cells: str, at_least: int) -> str:
@@ -58,17 +60,19 @@ k AS (SELECT * FROM f WHERE target IN (SELECT target FROM f GROUP BY target HAVI
 
 @query("find_time_traces", f"{_rows('ag', 80, 'site_id', 10)} SELECT site_id, {_pivot(_MAX)} FROM k GROUP BY site_id")
 def find_time_traces(spark, folder):
-    return _traces(spark, folder)[0]
+    """The site grain is merged from the moments of sites and years."""
+    moments = aggregate_moments(merged(spark, folder), ["site_id", "target", "year"])
+    return op.trace_matrix(op.both_grains(moments)[0], ["site_id"], 30, 80, 10, TARGETS)
 
 
 @query("find_time_traces_year", f"{_rows('ay', 10, '(site_id, year)', 50)} SELECT site_id, year, {_pivot(_MAX)} FROM k GROUP BY site_id, year")
 def find_time_traces_year(spark, folder):
-    return _traces(spark, folder)[1]
+    return _year_traces(spark, folder)
 
 
 @query("select_time_trace", f"""{_rows('ay', 10, '(site_id, year)', 50)}
 SELECT site_id, year, CAST(sampled_on AS VARCHAR) AS sampled_on, target, value FROM me
 WHERE site_id = 1 AND target = 'PROMO' AND year IN (SELECT year FROM k WHERE site_id = 1 AND target = 'PROMO')""")
 def select_time_trace(spark, folder):
-    rows = op.select_time_trace(merged(spark, folder), _traces(spark, folder)[1], 1, "PROMO")
+    rows = op.select_time_trace(merged(spark, folder).where(col("target") == "PROMO"), _year_traces(spark, folder, ["PROMO"]), 1, "PROMO")
     return rows.select("site_id", "year", col("sampled_on").cast("string").alias("sampled_on"), "target", "value")

@@ -77,16 +77,20 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
 def density_curve(df: DataFrame, column: str, by: Sequence[str], grid: int = 128, bins: int = 512) -> DataFrame:
     """Gaussian kernel density per group on a shared grid over the overall range.
 
-    Values are counted into ``bins`` equal bins, so the kernel sum of a group has a fixed number of
-    terms whatever its size. Bandwidth: 0.9 * min(sd, IQR / 1.34) * n ** -0.2 of the exact values.
+    Each value is shared between the two ends of its bin, by its distance from them, so the kernel sum of a group has
+    ``bins`` + 1 terms whatever its size. With bins of width w and bandwidth h no density is farther from the sum over the values
+    themselves than w ** 2 / (8 * sqrt(2 * pi) * h ** 3): the error of a straight line between two points of the kernel.
+    Bandwidth: 0.9 * min(sd, IQR / 1.34) * n ** -0.2 of the exact values.
     """
     rows = staged(df.where(col(column).isNotNull()).select(*by, column, col(column).cast("double").alias("__v")))
     ends = one_row(rows.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi")))
     lo, hi = ends.getField("lo"), ends.getField("hi")
     width = (hi - lo) / float(bins)
-    bin_no = F.least(F.floor((F.col("__v") - lo) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
-    binned = rows.groupBy(*by, F.coalesce(bin_no, F.lit(0)).alias("__bin")).agg(F.count(F.lit(1)).alias("__c"))
-    curves = binned.groupBy(*by).agg(F.collect_list(F.struct("__bin", "__c")).alias("__bins"))
+    place = F.coalesce((F.col("__v") - lo) / F.nullif(width, F.lit(0.0)), F.lit(0.0))
+    placed = rows.withColumn("__p", place).withColumn("__bin", F.least(F.floor("__p"), F.lit(bins - 1)))
+    # The share of a bin's values that goes to its upper end is a sum; the rest goes to the lower end.
+    binned = placed.groupBy(*by, "__bin").agg(F.count(F.lit(1)).alias("__c"), F.sum(F.col("__p") - F.col("__bin")).alias("__up"))
+    curves = binned.groupBy(*by).agg(F.collect_list(F.struct("__bin", "__c", "__up")).alias("__bins"))
     iqr = quantiles(rows, by, column, {"__q1": 0.25, "__q3": 0.75}).select(*by, (F.col("__q3") - F.col("__q1")).alias("__iqr"))
     spread = rows.groupBy(*by).agg(F.stddev_samp("__v").alias("__sd"), F.min("__v").alias("__least"), F.count(F.lit(1)).alias("n"))
     nonzero = lambda c: F.nullif(c, F.lit(0.0))
@@ -99,9 +103,12 @@ def density_curve(df: DataFrame, column: str, by: Sequence[str], grid: int = 128
         "x", F.col("__lo") + F.col("point") * F.col("__range") / float(grid - 1))
 
     def kernel(total: Column, b: Column) -> Column:
-        centre = F.col("__lo") + (b.getField("__bin") + 0.5) * F.col("__range") / float(bins)
-        z = (F.col("x") - centre) / F.col("bandwidth")
-        return total + b.getField("__c") * F.exp(-z * z / 2.0)
+        def at(end: Column) -> Column:
+            z = (F.col("x") - F.col("__lo") - end * F.col("__range") / float(bins)) / F.col("bandwidth")
+            return F.exp(-z * z / 2.0)
+
+        low, up = b.getField("__bin"), b.getField("__up")
+        return total + (b.getField("__c") - up) * at(low) + up * at(low + 1)
 
     return points.select(
         *by, "point", "x", "bandwidth",

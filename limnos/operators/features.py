@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -37,6 +37,16 @@ def scale_sample(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _replace(df, {c: F.try_divide(col(c) - m, s) for c, m, s in zip(columns, means, sds)})
 
 
+def fit_scaling(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
+    """Mean and sd (divisor n) of each column, to be applied to other rows; a constant or empty column has sd 1."""
+    row = df.agg(*[f(col(c)).alias(f"{name}{i}") for i, c in enumerate(columns) for name, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(columns)}
+
+
+def apply_scaling(df: DataFrame, scaling: Mapping[str, tuple[float, float]]) -> DataFrame:
+    return _replace(df, {c: (col(c) - m) / s for c, (m, s) in scaling.items()})
+
+
 def impute_zero(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return fill_null(df, columns, 0.0)
 

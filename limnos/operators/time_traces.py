@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from limnos.functions.nulls import col
+from limnos.operators.aggregates import roll_up_stats
 from limnos.operators.filters import filter_false_or_null, filter_thresholds
 from limnos.operators.joins import semi_known_sites, semi_site_years
 from limnos.operators.reshape import count_matrix, pivot_values
@@ -34,8 +35,8 @@ def source_trace_rows(agg: DataFrame, sites: DataFrame, min_samples: int = 100,
 def find_time_traces_source(agg: DataFrame, sites: DataFrame, min_samples: int = 100, min_sites: int = 10,
                             reliable_only: bool = False, targets: list[str] | None = None,
                             ) -> tuple[DataFrame, DataFrame]:
-    """Count matrices by site and by site and year, from the source's own aggregates."""
-    rows = source_trace_rows(agg, sites, min_samples, min_sites, reliable_only)
+    """Count matrices by site and by site and year, from the source's own aggregates; both come out of one written selection."""
+    rows = staged(source_trace_rows(agg, sites, min_samples, min_sites, reliable_only))
     targets = pivot_values(rows) if targets is None else targets
     return count_matrix(rows, targets), count_matrix(rows, targets, ["site_id", "year"])
 
@@ -50,17 +51,25 @@ def trace_rows(agg: DataFrame, keys: list[str], max_below_loq_pct: float, min_sa
 def find_time_traces(agg: DataFrame, agg_year: DataFrame, max_below_loq_pct: float = 30, min_samples: int = 300,
                      min_samples_per_year: int = 100, min_sites: int = 10, min_site_years: int = 50,
                      targets: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Sample-count matrices by site and by site and year, from custom aggregates.
+    """Sample-count matrices by site and by site and year, from custom aggregates."""
+    return (trace_matrix(agg, ["site_id"], max_below_loq_pct, min_samples, min_sites, targets),
+            trace_matrix(agg_year, ["site_id", "year"], max_below_loq_pct, min_samples_per_year, min_site_years, targets))
+
+
+def trace_matrix(agg: DataFrame, keys: list[str], max_below_loq_pct: float, min_samples: int, min_cells: int,
+                 targets: list[str] | None = None) -> DataFrame:
+    """One sample-count matrix, from custom aggregates by its keys and target.
 
     Dropping the sparse targets before the pivot leaves no empty row behind.
     """
-    out = []
-    for table, keys, least, cells in ((agg, ["site_id"], min_samples, min_sites),
-                                      (agg_year, ["site_id", "year"], min_samples_per_year, min_site_years)):
-        rows = trace_rows(table, keys, max_below_loq_pct, least, cells)
-        columns = pivot_values(rows) if targets is None else targets
-        out.append(rows.groupBy(*keys).pivot("target", columns).agg(F.max("n")))
-    return out[0], out[1]
+    rows = trace_rows(agg, keys, max_below_loq_pct, min_samples, min_cells)
+    return rows.groupBy(*keys).pivot("target", pivot_values(rows) if targets is None else targets).agg(F.max("n"))
+
+
+def both_grains(moments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Statistics by site and target, and by site, target and year, merged from one written table of the finer ``aggregate_moments``."""
+    fine = staged(moments)
+    return roll_up_stats(fine, ["site_id", "target"]), roll_up_stats(fine, ["site_id", "target", "year"])
 
 
 def select_time_trace(meas: DataFrame, traces: DataFrame, site, target: str) -> DataFrame:

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
+from functools import reduce
+from multiprocessing.pool import ThreadPool
+from urllib.parse import unquote
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from limnos.functions.nulls import MISSING_MARKERS, col, missing_to_null, nan_to_null
@@ -59,16 +63,35 @@ SITE_COLUMNS = {
 }
 
 
+#: Header lines read side by side.
+HEADERS_AT_ONCE = 8
+
+
 def typed_csv(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """CSV by header name: text is normalised first, then cast; bad numbers become NULL.
 
-    The files may hold more columns, in any order, but all in the same one: only one header line is read here, the scan
-    is pruned to the declared columns, and a file with another header fails the scan.
+    The files may hold more columns, or fewer, in any order. Only the header line of each file is read here; files with the same header
+    are one scan, pruned to the declared columns, and the scans are put together by name. A declared column that a file lacks is NULL there.
     """
-    found = spark.read.csv(path, header=True).columns
+    files = [unquote(f) for f in spark.read.text(path).inputFiles()]
+
+    def header_of(file: str) -> tuple[str, ...]:
+        return tuple(spark.read.csv(file, header=True).columns)
+
+    with ThreadPool(HEADERS_AT_ONCE) as pool:
+        found = pool.map(inheritable_thread_target(spark)(header_of), sorted(files))
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for header, file in zip(found, sorted(files)):
+        by_header.setdefault(header, []).append(file)
+    scans = [_typed_scan(spark, group, header, columns) for header, group in by_header.items()]
+    return reduce(DataFrame.unionByName, scans)
+
+
+def _typed_scan(spark: SparkSession, files: list[str], found: Sequence[str], columns: dict[str, str]) -> DataFrame:
+    """The declared columns of files with one header; a file with another header fails the scan."""
     raw = spark.read.schema(T.StructType([T.StructField(name, T.StringType()) for name in found]))
     header = [name.strip().lstrip("﻿") for name in found]
-    df = raw.csv(path, header=True, enforceSchema=False).toDF(*header)
+    df = raw.csv(files, header=True, enforceSchema=False).toDF(*header)
     out = []
     for name, kind in columns.items():
         c = missing_to_null(col(name)) if name in header else F.lit(None).cast("string")

@@ -28,6 +28,14 @@ def test_query(spark, con, name):
     assert compare(spark, con, FOLDER, QUERIES[name], ORACLES.get(name)) == ""
 
 
+@pytest.mark.parametrize("name", ["join_scalar_total", "data_completeness", "common_to_all_groups", "drop_sparse_columns", "multi_unit_targets", "boxplot_stats",
+                                  "find_time_traces", "find_time_traces_year"])
+def test_the_raw_table_is_scanned_once(spark, name):
+    """What is left to run reads the raw rows at most once: the parts that need them again read a written result."""
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert sum("lineitem.parquet" in line for line in plan.splitlines() if "FileScan" in line) <= 1
+
+
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
 
