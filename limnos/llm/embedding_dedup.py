@@ -31,7 +31,9 @@ SLACK = 1e-6
 
 
 def unit(flat: np.ndarray) -> np.ndarray:
+    """Rows of length one; a power of two is taken out first, so that no square over- or underflows."""
     flat = flat.astype(np.float64)
+    flat = np.ldexp(flat, -np.frexp(np.abs(flat).max(axis=1, keepdims=True, initial=0.0))[1])
     return flat / np.sqrt((flat * flat).sum(axis=1, keepdims=True))
 
 

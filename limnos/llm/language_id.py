@@ -25,8 +25,10 @@ VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
 #: Documents of each language the probabilities are fitted to, on average.
 TRAIN_DOCUMENTS = 300
 ROUNDS = 4
-#: Longer runs of letters are scored in stretches of this length.
-LONGEST = 32
+#: Letters up to which the probability of a word is summed as it is; that of a longer run is summed in logarithms, where it cannot underflow.
+PLAIN = 32
+#: Letters of the words whose spans are looked up at once.
+LATTICE = 660_000
 #: Probability of a letter that is no piece, and the least of any piece.
 FLOOR = 1e-8
 UNKNOWN = "und"
@@ -67,11 +69,8 @@ def pieces(path: str) -> Pieces:
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case, none longer than ``LONGEST``."""
-    found = LETTERS.findall((text or "").lower())
-    if max(map(len, found), default=0) > LONGEST:
-        found = [w[i:i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    """Runs of letters in lower case, however long."""
+    return LETTERS.findall((text or "").lower())
 
 
 def lattices(words: Sequence[str], vocabulary: Pieces) -> Iterator[tuple[np.ndarray, dict[tuple[int, int], np.ndarray]]]:
@@ -84,8 +83,9 @@ def lattices(words: Sequence[str], vocabulary: Pieces) -> Iterator[tuple[np.ndar
     lengths = np.fromiter(map(len, marked), np.int64, len(marked))
     for m in np.unique(lengths).tolist():
         every = np.nonzero(lengths == m)[0]
-        for at in range(0, len(every), 20_000):
-            rows = every[at:at + 20_000]
+        step = max(1, LATTICE // m)
+        for at in range(0, len(every), step):
+            rows = every[at:at + step]
             codes = np.frombuffer("".join([marked[r] for r in rows]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(rows), m).astype(np.uint64) + np.uint64(1)
             spans = {}
             for i in range(m):
@@ -110,6 +110,22 @@ def forward(spans: dict[tuple[int, int], np.ndarray], table: np.ndarray) -> list
     return alpha
 
 
+def log_forward(spans: dict[tuple[int, int], np.ndarray], log_table: np.ndarray) -> list[np.ndarray]:
+    """Logarithms of the same for runs of any length."""
+    n, m = len(spans[0, 1]), max(i + k for i, k in spans)
+    longest = max(k for _, k in spans)
+    alpha = [np.zeros((n, log_table.shape[1]))]
+    for j in range(1, m + 1):
+        ways = [alpha[i] + log_table[spans[i, j - i]] for i in range(max(0, j - longest), j)]
+        alpha.append(np.logaddexp.reduce(ways))
+    return alpha
+
+
+def log_of(table: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore"):
+        return np.log(table)
+
+
 def fit(words: Sequence[str], counts: np.ndarray, vocabulary: Pieces, rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities of one language (with those of no piece behind them) from its words and their counts."""
     size = vocabulary.size
@@ -119,8 +135,11 @@ def fit(words: Sequence[str], counts: np.ndarray, vocabulary: Pieces, rounds: in
     for _ in range(rounds):
         expected = np.zeros(size + 2)
         for rows, spans in lattice:
+            m = max(i + k for i, k in spans)
+            if m > PLAIN + 1:
+                _expect_long(spans, prob, counts[rows], expected)
+                continue
             alpha = [a[:, 0] for a in forward(spans, prob[:, None])]
-            m = len(alpha) - 1
             beta = [np.zeros(len(rows)) for _ in range(m)] + [np.ones(len(rows))]
             for i in range(m - 1, -1, -1):
                 for k in range(1, m - i + 1):
@@ -133,6 +152,18 @@ def fit(words: Sequence[str], counts: np.ndarray, vocabulary: Pieces, rounds: in
     return prob
 
 
+def _expect_long(spans: dict[tuple[int, int], np.ndarray], prob: np.ndarray, counts: np.ndarray, expected: np.ndarray) -> None:
+    """Add the expected pieces of long runs: forward and backward sums in logarithms."""
+    log_prob = log_of(prob)
+    alpha = [a[:, 0] for a in log_forward(spans, log_prob[:, None])]
+    m, longest = len(alpha) - 1, max(k for _, k in spans)
+    beta = [np.zeros(len(counts)) for _ in range(m + 1)]
+    for i in range(m - 1, -1, -1):
+        beta[i] = np.logaddexp.reduce([log_prob[spans[i, k]] + beta[i + k] for k in range(1, min(longest, m - i) + 1)])
+    for (i, k), piece in spans.items():
+        expected += np.bincount(piece, np.exp(alpha[i] + log_prob[piece] + beta[i + k] - alpha[m]) * counts, len(expected))
+
+
 class Model(NamedTuple):
     languages: list[str]
     table: np.ndarray
@@ -150,7 +181,8 @@ class Scorer:
     def learn(self, new: list[str]) -> None:
         scores = np.zeros((len(new), len(self.model.languages)))
         for rows, spans in lattices(new, self.vocabulary):
-            scores[rows] = np.log(forward(spans, self.model.table)[-1])
+            long = max(i + k for i, k in spans) > PLAIN + 1
+            scores[rows] = log_forward(spans, log_of(self.model.table))[-1] if long else np.log(forward(spans, self.model.table)[-1])
         self.known.update(zip(new, range(len(self.scores), len(self.scores) + len(new))))
         self.scores = np.concatenate((self.scores, scores))
 

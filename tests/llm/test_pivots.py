@@ -16,3 +16,10 @@ def test_a_label_whose_vectors_are_not_drawn_has_a_pivot(spark):
     assert late.count() == 30
     found = embedding_dedup.similar_vectors(late)
     assert found.count() == 30 and found.where("n_links is null or component_id is null").count() == 0
+
+
+def test_extreme_magnitudes_link_by_direction(spark):
+    rows = [(1, [1e-200, 1e-200]), (2, [0.1, 1.0]), (3, [1e200, 1e200]), (4, [1e200, 1.01e200]), (5, [5e-324, 5e-324])]
+    table = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.similar_vectors(table).collect()}
+    assert got == {1: (3, 1), 2: (0, 2), 3: (3, 1), 4: (3, 1), 5: (3, 1)}

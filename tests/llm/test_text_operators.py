@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -289,9 +290,30 @@ def test_the_forward_algorithm_sums_all_segmentations():
     words = ["the", "wasser", "ñandú", "of", "日本", "a", "water"]
     for rows, spans in language_id.lattices(words, vocabulary):
         got = language_id.forward(spans, table)[-1]
+        assert np.allclose(language_id.log_forward(spans, language_id.log_of(table))[-1], np.log(got))
         for r, p in zip(rows, got):
             assert np.allclose(p, total(language_id.START + words[r]), rtol=1e-9)
 
+    # A run of 100 letters is one word: its sum by exact fractions, far below what a double holds for longer ones.
+    from fractions import Fraction
+
+    run = ("wasserbergtalschnee" * 6)[:100]
+    assert language_id.words_of(f"a {run}.") == ["a", run]
+    alpha = [Fraction(1)]
+    marked = language_id.START + run
+    for j in range(1, len(marked) + 1):
+        alpha.append(sum(alpha[i] * Fraction(float(table[number(marked[i:j]), 0])) for i in range(max(0, j - vocabulary.longest), j)))
+    (_, spans), = language_id.lattices([run], vocabulary)
+    want = math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+    assert math.isclose(language_id.log_forward(spans, language_id.log_of(table))[-1][0, 0], want, rel_tol=1e-9)
+    # The fit counts the same pieces whether sums are plain or logarithmic.
+    plain = language_id.fit(["wasser", "talwasser", "schnee"], np.array([3.0, 1.0, 2.0]), vocabulary)
+    short, language_id.PLAIN = language_id.PLAIN, 0
+    try:
+        assert np.allclose(language_id.fit(["wasser", "talwasser", "schnee"], np.array([3.0, 1.0, 2.0]), vocabulary), plain)
+    finally:
+        language_id.PLAIN = short
+
 
 def test_languages_are_learned_and_unlearnable_texts_are_und(odd, odd_rows):
     model = language_id.train(odd)
