@@ -20,10 +20,9 @@ from limnos.functions.nulls import col, drop_null_rows
 from limnos.operators.clusters import kmeans_fits, labels_of, mixture_fits, nearest_centre, silhouettes
 from limnos.session import staged
 
-# Rows of a partition that the classifiers are fitted to, and the fewest partitions. Their number follows from the rows alone, so that a
-# seed draws the same rows on every cluster.
-FIT_ROWS = 100_000
-FIT_PARTITIONS = 8
+# Rows of a partition that the classifiers are fitted to. The number of partitions follows from the rows alone, so that a seed draws the
+# same rows on every cluster.
+FIT_ROWS = 50_000
 
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -46,7 +45,7 @@ def fit_input(df: DataFrame) -> DataFrame:
     """
     row = ["__vector", *[c for c in df.columns if c != "features"]]
     rows = staged(df)
-    partitions = max(FIT_PARTITIONS, -(-rows.count() // FIT_ROWS))
+    partitions = max(1, -(-rows.count() // FIT_ROWS))
     placed = rows.withColumn("__vector", vector_to_array("features"))
     return placed.repartition(partitions, *[col(c) for c in row]).sortWithinPartitions(*[col(c) for c in row]).drop("__vector")
 

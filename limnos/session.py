@@ -59,7 +59,7 @@ def remove_scratch(spark: SparkSession) -> None:
 
 def shuffle_width(spark: SparkSession) -> int:
     """Number of slices a hot group is cut into: as many as a shuffle has partitions."""
-    return max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1024))
+    return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def staged(df: DataFrame) -> DataFrame:
