@@ -26,7 +26,7 @@ VOCABULARY = 4_000
 LEAST_DOCUMENTS = 4
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Letters scored at once; a longer text is cut behind white space.
-PIECE = 1 << 20
+PIECE = 1 << 18
 _BREAK = re.compile(r"\s")
 _BASE = 0x9E3779B97F4A7C15
 _SYMBOLS, _UPPER, _DIGITS = b"#*$%&|<>@{}[]=_~^\\/", bytes(range(65, 91)), bytes(range(48, 58))
@@ -135,7 +135,7 @@ def _hashed_words(piece: tuple[list[str], list[int]]) -> tuple[np.ndarray, np.nd
     edges = np.flatnonzero(np.diff(_is_letter()[codes], prepend=False, append=False))
     start, end = edges[0::2], edges[1::2]
     text = np.searchsorted(np.cumsum([0] + [len(t) + 1 for t in texts]), start, side="right") - 1
-    power, inverse = _powers(max(1 << 21, 1 << len(codes).bit_length()))
+    power, inverse = _powers(max(2 * PIECE, 1 << len(codes).bit_length()))
     # A sum over letters times falling powers; two sums and one product give the hash of any stretch, wherever it lies.
     total = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * inverse[:len(codes)], out=total[1:])
