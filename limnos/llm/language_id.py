@@ -239,7 +239,7 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def identify(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, lang_pred, score``: the likeliest language of each whole text and its probability.
 
-    All languages are equally likely before the text is seen; equal ones give the first in the alphabet. A null text, one
+    All languages are equally likely before the text is seen; very long texts and words count whole; equal ones give the first in the alphabet. A null text, one
     without a letter, or a model without languages gives 'und' and score 0. Repeated rows and null ids are rows like
     any other (a null id is not held out, nor learned from). An empty table gives an empty result; no other column is read.
     """

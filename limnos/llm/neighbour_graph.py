@@ -244,7 +244,7 @@ def _build_shard(rows: pa.Table) -> pa.Table:
 def build(table: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", nearest: int = NEAREST_MOST, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The index: one row for each shard, ``size, shard, ids, vectors, counts, nodes, links``, for up to ``nearest`` neighbours.
 
-    Vectors that are null, empty, zero or hold a null or non-finite component take no part. Equal vectors are one node, with the ``nearest`` + 1 smallest ids
+    Columns beyond id and vector are not read, whatever their names. Vectors that are null, empty, zero or hold a null or non-finite component take no part. Equal vectors are one node, with the ``nearest`` + 1 smallest ids
     (null last): no more of them can be among the nearest. Vectors of different lengths are in different shards.
     """
     rows = _classes(table, vec_id, vector)

@@ -128,5 +128,5 @@ def score_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rul
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The documents no rule rejects, with their own columns, whatever their names."""
+    """The documents no rule rejects, with their own columns, whatever their names; null and empty texts go, repeated rows stay or go together."""
     return docs.where(let(measures(col(text)), lambda m: ~(compile_rules(BASE_RULES, m) | compile_rules(rules, m))))

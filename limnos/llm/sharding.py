@@ -44,7 +44,7 @@ def shard_documents(docs: DataFrame, weights: Mapping[int, float], grown: Mappin
     texts under different ids may part. ``slot`` numbers the rows of a shard 0, 1, 2 ... in the order of a digest of id
     and checksum, then id, checksum and size.
 
-    Texts are read once and never shuffled. Equal rows are first counted into one, so a repeated row, however hot, is
+    Texts, however long, are read once and never shuffled. Equal rows are first counted into one, so a repeated row, however hot, is
     one row of a slice; slices of a shard are numbered by themselves and moved by the rows before them. Null ids
     share the shard of the key 'null'. An empty table gives an empty result; columns beyond the two are not read.
     """

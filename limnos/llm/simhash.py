@@ -134,7 +134,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """``doc_id``, ``fingerprint`` (16 hex digits), ``component_id``: the smallest id reachable over links.
 
     Equal fingerprints are one class from the start, so exact copies, however many, are never compared; only
-    the ids move with them. A null or blank text has fingerprint zero and links like any other. Null ids do not count as smallest; a
+    the ids move with them. A null or blank text has fingerprint zero and links like any other; very long texts count whole. Null ids do not count as smallest; a
     component of null ids only has a null component_id. Repeated rows are rows of one class. An empty table gives an
     empty result; columns beyond the two are not read.
     """

@@ -76,7 +76,7 @@ def site_posteriors(docs: DataFrame, model: text_model.Model | None, host: Colum
 
     ``evidence`` is the classifier's probability, ``host_rate`` and ``path_rate`` are shrunk rates (the path's without the document
     itself), ``score`` joins them: logit(evidence) - logit(global rate) + logit(path rate). All documents count in the rates. A
-    null or empty text is scored as an empty one, a null host or path is a site of its own, without a model all evidence is 0.5. Repeated
+    null or empty text is scored as an empty one, a very long one as a whole, a score equal to the threshold is kept, a null host or path is a site of its own, without a model all evidence is 0.5. Repeated
     rows count each. An empty table gives an empty result; the other columns are not read. Documents are counted per path
     before anything is shuffled, so a host with a third of all rows is a few partial sums.
     """

@@ -127,7 +127,7 @@ def _counts(path: str, limit: int):
 def token_counts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = VOCABULARY, limit: int = LIMIT) -> DataFrame:
     """``doc_id, n_bytes, n_tokens, over_limit`` of each whole text.
 
-    A null text counts as empty: no bytes and no tokens. Repeated rows and null ids are rows like any other. An
+    A null text counts as empty: no bytes and no tokens. A very long text is a slice of its own and counted whole. Repeated rows and null ids are rows like any other. An
     empty table gives an empty result; columns beyond the two are not read.
     """
     return map_texts(docs, text, {"doc_id": doc_id}, _counts(path, limit), "n_bytes long, n_tokens long, over_limit boolean")

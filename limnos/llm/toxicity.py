@@ -96,7 +96,7 @@ def toxic_scores(model: text_model.Model | None):
 def score_toxicity(docs: DataFrame, model: text_model.Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, held_out, score, predicted``: probability that a whole text is toxic, and 1 from ``THRESHOLD`` on.
 
-    A null text is scored as an empty one. Without a model (no two classes to learn from) all scores are 0. Repeated rows
+    A null text is scored as an empty one, a very long one as a whole; a score equal to the threshold counts as toxic. Without a model (no two classes to learn from) all scores are 0. Repeated rows
     and null ids are rows like any other. An empty table gives an empty result; no other column is read.
     """
     def make():
@@ -108,7 +108,7 @@ def score_toxicity(docs: DataFrame, model: text_model.Model | None, doc_id: str
 
 
 def keep_civil(docs: DataFrame, model: text_model.Model | None, text: str = "text") -> DataFrame:
-    """The documents that are not predicted toxic, with their own columns."""
+    """The documents that are not predicted toxic, with their own columns, whatever their names; null and empty texts are scored as empty ones."""
     def make():
         score = toxic_scores(model)
         return lambda texts: [s < THRESHOLD for s in score(texts)]
