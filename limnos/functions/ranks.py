@@ -1,54 +1,43 @@
 """Exact ranks of groups of any size.
 
 A plain ``row_number() over (partition by key order by value)`` sorts a whole group in one task, and
-``percentile`` holds a group's values in one task's memory. Here equal values are counted first, then
-every group is cut into slices by a repeatable sample of its own values, ranked slice by slice, and
-shifted by the number of rows in the slices before.
+``percentile`` holds a group's values in one task's memory. Here all groups together are dealt by ranges of key and
+value, sorted range by range and written; a range is ranked by itself and shifted by the rows its groups have in the ranges before.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from limnos.functions.nulls import col
 from limnos.session import shuffle_width, staged
 
-# One distinct value in so many becomes a possible cut point. A group with fewer rows stays one slice.
+# Rows of a range, as long as there are no more than four times as many ranges as a shuffle has partitions.
 SAMPLE_EVERY = 1 << 16
 
+def _part() -> Column:
+    return F.shiftright("__dealt_seq", 33)
 
-def _ranked(counted: DataFrame, keys: list[str], value: str, order: Sequence[str], sample_every: int, weights: Sequence[str] = ("n_equal",)) -> DataFrame:
-    """Add ``n_below`` and ``n_group`` to rows with ``n_equal`` copies, ordered within the keys.
 
-    ``value`` is compared with the cut points; ``order`` are the columns it stands for. Every further weight w is summed
-    over the rows before as ``<w>_below``.
+def _dealt(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sample_every: int) -> DataFrame:
+    """Rows without a null key, written in the order of keys and ``order``; ``__dealt_seq`` holds the range and the place in it.
+
+    ``rows`` is read three times, so it should be a written table.
     """
-    slices = shuffle_width(counted.sparkSession)
-    sampled = F.when(F.pmod(F.xxhash64(col(value)), F.lit(sample_every)) == 0, col(value))
-    # The sample depends on the values alone, so a repeated task finds the same cuts.
-    cuts = (counted.groupBy(*keys)
-            .agg(F.sort_array(F.collect_list(sampled)).alias("__all"), F.sum("n_equal").alias("n_group")))
-    thinned = F.transform(
-        F.sequence(F.lit(1), F.lit(slices - 1)),
-        lambda i: F.get(F.col("__all"), (i * F.size("__all") / slices).cast("int")))
-    cuts = staged(cuts.withColumn("__cuts", F.when(F.col("n_group") <= sample_every, F.slice("__all", 1, 0))
-                                  .when(F.size("__all") < slices, F.col("__all")).otherwise(thinned))
-                  .drop("__all"))
-    sliced = (counted.join(cuts, keys)
-              .withColumn("__slice", F.size(F.filter("__cuts", lambda c: c <= col(value))))
-              .drop("__cuts"))
-    earlier = Window.partitionBy(*keys).orderBy("__slice")
-    before = (sliced.groupBy(*keys, "__slice").agg(*[F.sum(w).alias(f"__n_{w}") for w in weights])
-              .select(*keys, "__slice", *[(F.sum(f"__n_{w}").over(earlier) - F.col(f"__n_{w}")).alias(f"__before_{w}") for w in weights]))
-    within = (Window.partitionBy(*keys, "__slice").orderBy(*[col(c) for c in order])
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    below = {w: "n_below" if w == "n_equal" else f"{w}_below" for w in weights}
-    return (sliced.withColumns({f"__running_{w}": F.sum(w).over(within) for w in weights})
-            .join(before, [*keys, "__slice"])
-            .withColumns({out: F.col(f"__before_{w}") + F.col(f"__running_{w}") - F.col(w) for w, out in below.items()})
-            .drop("__slice", *[f"__{part}_{w}" for w in weights for part in ("running", "before")]))
+    known = rows.where(reduce(Column.__and__, [col(k).isNotNull() for k in keys]))
+    ranges = max(1, min(-(-known.count() // sample_every), 4 * shuffle_width(rows.sparkSession)))
+    by = [col(c) for c in (*keys, *order)]
+    return staged(known.repartitionByRange(ranges, *by).sortWithinPartitions(*by).withColumn("__dealt_seq", F.monotonically_increasing_id()))
+
+
+def _shifts(dealt: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
+    """For each group in each range ``__dealt_part``: its first ``__dealt_seq``, the weight before the range, and of the whole group."""
+    runs = dealt.groupBy(*[col(k) for k in keys], _part().alias("__dealt_part")).agg(F.sum(weight).alias("__dealt_weight"), F.min("__dealt_seq").alias("__dealt_first"))
+    group = Window.partitionBy(*[col(k) for k in keys])
+    return staged(runs.withColumn("__dealt_before", F.sum("__dealt_weight").over(group.orderBy("__dealt_part")) - F.col("__dealt_weight")).withColumn("n_group", F.sum("__dealt_weight").over(group)).drop("__dealt_weight"))
 
 
 def ranked_values(df: DataFrame, keys: Sequence[str], value: str,
@@ -58,26 +47,25 @@ def ranked_values(df: DataFrame, keys: Sequence[str], value: str,
     Columns: keys, value, ``n_equal`` (copies), ``n_below`` (rows with a smaller value), ``n_group``,
     and any extra aggregate given in ``measures``.
     """
-    keys = list(keys)
-    counted = staged(df.where(col(value).isNotNull()).groupBy(*keys, value)
-                     .agg(F.count(F.lit(1)).alias("n_equal"), *measures))
-    if keys:
-        return _ranked(counted, keys, value, [value], sample_every)
-    return _ranked(counted.withColumn("__all_rows", F.lit(0)), ["__all_rows"], value, [value],
-                   sample_every).drop("__all_rows")
+    counted = df.where(col(value).isNotNull()).groupBy(*[col(k) for k in keys], col(value)).agg(F.count(F.lit(1)).alias("n_equal"), *measures)
+    counted = staged(counted if keys else counted.withColumn("__all_rows", F.lit(0)))
+    by = list(keys) or ["__all_rows"]
+    dealt = _dealt(counted, by, [value], sample_every)
+    running = Window.partitionBy(*[col(k) for k in by], "__dealt_part").orderBy("__dealt_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (dealt.withColumn("__dealt_part", _part()).withColumn("__dealt_running", F.sum("n_equal").over(running)).join(_shifts(dealt, by, F.col("n_equal")), [*by, "__dealt_part"])
+            .withColumn("n_below", F.col("__dealt_before") + F.col("__dealt_running") - F.col("n_equal")).drop("__dealt_seq", "__dealt_part", "__dealt_first", "__dealt_before", "__dealt_running", "__all_rows"))
 
 
 def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "position",
               sample_every: int = SAMPLE_EVERY) -> DataFrame:
     """Number the rows of each group 1, 2, 3 ...; adds ``n_group``.
 
-    ``order`` has to identify a row within its group.
+    ``order`` has to identify a row within its group; ``df`` should be a written table.
     """
-    counted = (df.withColumn("__order", F.struct(*[col(c) for c in order]))
-               .withColumn("n_equal", F.lit(1).cast("long")))
-    return (_ranked(counted, list(keys), "__order", order, sample_every)
-            .withColumn(out, F.col("n_below") + 1)
-            .drop("n_equal", "n_below", "__order"))
+    dealt = _dealt(df, keys, order, sample_every)
+    # A group's rows are consecutive in a range.
+    return (dealt.withColumn("__dealt_part", _part()).join(_shifts(dealt, keys, F.lit(1)), [*keys, "__dealt_part"])
+            .withColumn(out, F.col("__dealt_before") + F.col("__dealt_seq") - F.col("__dealt_first") + 1).drop("__dealt_seq", "__dealt_part", "__dealt_first", "__dealt_before"))
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: Sequence[str], k: int, out: str = "rank") -> DataFrame:

@@ -135,7 +135,8 @@ def qq_two_sample(df: DataFrame, column: str, by: Sequence[str], row_key: str, s
     """
     rows = staged(df.where(col(column).isNotNull()).select(*by, column, row_key))
     moments = rows.groupBy(*by).agg(F.avg(col(column)).alias("__mean"), F.stddev_samp(col(column)).alias("__sd"))
-    drawn = rows.select(*by, row_key, normal_quantile(uniform(seed, col(row_key))).alias("__z"))
+    # The draw is a column of its own, or every use of it in the quantile would digest the key again.
+    drawn = staged(rows.withColumn("__u", uniform(seed, col(row_key))).select(*by, row_key, normal_quantile(F.col("__u")).alias("__z")))
     observed = positions(rows, by, [column, row_key]).select(*by, "position", col(column).alias("observed"))
     simulated = positions(drawn, by, ["__z", row_key]).select(*by, "position", "__z")
     return (observed.join(simulated, [*by, "position"]).join(moments, list(by))
