@@ -1,4 +1,4 @@
-"""One array of numbers from all rows of a table: a partial array per task, merged in a bounded number of tasks, then on the driver.
+"""One array of numbers from all rows of a table: a partial array per task, merged in a bounded number of tasks, then in one; the driver gets one array.
 
 Rows stay in their partitions, and what is shuffled and gathered does not grow with them.
 """
@@ -6,13 +6,12 @@ Rows stay in their partitions, and what is shuffled and gathered does not grow w
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Tasks that merge the partial arrays; as many arrays reach the driver.
+#: Tasks that merge the partial arrays, before one task merges theirs.
 MERGERS = 16
 #: Rows a task works on at once.
 CHUNK = 2_048
@@ -45,9 +44,9 @@ def fold(vectors: DataFrame, column: str, part: Callable[[np.ndarray], np.ndarra
             yield pa.RecordBatch.from_arrays([pa.array([state], pa.list_(pa.float64()))], names=["state"])
 
     kind = "state array<double>"
-    parts = vectors.select(column).mapInArrow(partial, kind).repartition(MERGERS).mapInArrow(joined, kind).toArrow()
-    states = [parts["state"][i].values.to_numpy(zero_copy_only=False) for i in range(parts.num_rows)]
-    return reduce(merge, states) if states else None
+    merged = vectors.select(column).mapInArrow(partial, kind).repartition(MERGERS).mapInArrow(joined, kind)
+    whole = merged.repartition(1).mapInArrow(joined, kind).toArrow()
+    return whole["state"][0].values.to_numpy(zero_copy_only=False) if whole.num_rows else None
 
 
 def moments(vectors: DataFrame, column: str) -> tuple[float, np.ndarray, np.ndarray]:
