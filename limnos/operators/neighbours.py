@@ -1,32 +1,42 @@
 """Exact k nearest neighbours over a two-level index of pivots.
 
 The training rows belong to the cell of a pivot; there are as many cells as the square root of the rows, and pivots are grouped
-under as many centres as the square root of the cells. A first pass ranks the home cell of every query, which gives the true distance
-of a k-th neighbour. A second pass visits only the cells that a ball of that radius touches: those whose nearest and farthest
-row, seen from their pivot, the triangle inequality allows, looked up under the centres it allows. Copies of a vector are collapsed
-first on both sides, and large cells are split, so neither a hot vector nor a hot cell lands in one task. Rows meet in blocks of bounded
-size, and only the k best of a block leave it. Nothing is approximated or capped.
+under as many centres as the square root of the cells. A first look into the home cell of every query gives the true distance
+of a k-th neighbour. Only cells that a ball of that radius touches can hold a nearer one: those whose nearest and farthest
+row, seen from their pivot, the triangle inequality allows, looked up under the centres it allows. Runs of cells make shards of
+bounded size, so that a query is copied once for each shard that holds a touched cell, and not once for each cell. Copies of a vector
+are collapsed first on both sides, and large cells are spread, so neither a hot vector nor a hot cell lands in one task. A block of queries meets
+a shard in one task: products of the vectors leave the rows that can be among the k best, distances rank them, and only the k best leave it.
+Nothing is approximated or capped.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from limnos.functions.draws import draw, shuffled_position
 from limnos.functions.nulls import col, drop_null_rows
 from limnos.functions.ranks import first_k
-from limnos.session import staged
+from limnos.session import shuffle_width, staged
 
 #: Bytes of pivots sent to every task; beyond (about 60,000 pivots of 64 numbers) cells grow instead of their number.
 PIVOT_BYTES = 1 << 25
+#: Rows of a home cell in the first look; tables of no more are not parted.
 TRAIN_BLOCK = 4096
 QUERY_BLOCK = 1024
+#: Bytes of vectors of a shard of train rows or a block of queries; pairs of them wanted on small tables; distances held at once.
+BLOCK_BYTES = 1 << 25
+GRID = 48
+PAIRS = 1 << 21
 
 
 def feature_array(columns: Sequence[str]) -> Column:
@@ -120,34 +130,67 @@ def _touched_udf(index: Index, k: int):
     return touched
 
 
-def _best_of_blocks(k: int, size: int, carry: Sequence[str], apart: bool):
-    """The k best pairs of every query in a pair of blocks."""
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for b in batch.itertuples(index=False):
-                train = np.asarray(b.t_features, dtype=float).reshape(-1, size)
-                asked = np.asarray(b.q_features, dtype=float).reshape(-1, size)
-                ids, classes = np.asarray(b.t_id), np.asarray(b.t_apart) if apart else None
-                last, picks, gaps = min(k, len(ids)) - 1, [], []
-                for i, vector in enumerate(asked):
-                    gap = np.sqrt(((train - vector) ** 2).sum(axis=1))
-                    if apart:
-                        gap[classes == b.q_apart[i]] = np.inf
-                    near = np.flatnonzero((gap <= np.partition(gap, last)[last]) & (gap < np.inf))
-                    near = near[np.lexsort((ids[near], gap[near]))][:k]
-                    picks.append(near)
-                    gaps.append(gap[near])
-                rows = np.concatenate(picks)
-                found = {"__q": np.repeat(np.asarray(b.q_id), [len(p) for p in picks]), "train": ids[rows],
-                         "distance": np.concatenate(gaps)}
-                for c in range(len(carry)):
-                    found[f"carry_{c}"] = np.asarray(getattr(b, f"c_{c}"))[rows]
-                yield pd.DataFrame(found)
+def _rough_best(asked: np.ndarray, train: np.ndarray, k: int, apart: np.ndarray | None) -> np.ndarray:
+    """Pairs that can be among the k nearest of each asked row, by products instead of differences, with slack for their rounding."""
+    squares, own = (train * train).sum(axis=1), (asked * asked).sum(axis=1)
+    rough = squares - 2 * (asked @ train.T)
+    if apart is not None:
+        rough[apart] = np.inf
+    last = min(k, len(train)) - 1
+    slack = 8 * (train.shape[1] + 8) * np.finfo(float).eps * (own + np.nanmax(squares, initial=0.0))
+    return (rough <= np.partition(rough, last, axis=1)[:, last, None] + slack[:, None]) & (rough < np.inf)
+
+
+def _matrix(features: pa.ChunkedArray, size: int) -> np.ndarray:
+    return features.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+
+
+def _shards_udf(index: Index, k: int, first: np.ndarray, last: np.ndarray):
+    """Shards that hold one of the cells a query touches."""
+    @F.pandas_udf("array<int>")
+    def shards(vectors: pd.Series, radius: pd.Series) -> pd.Series:
+        def of(cells: np.ndarray) -> np.ndarray:
+            opened = np.bincount(first[cells], minlength=last.max() + 2) - np.bincount(last[cells] + 1, minlength=last.max() + 2)
+            return np.flatnonzero(opened.cumsum() > 0).astype("int32")
+
+        return pd.Series([of(cells) for cells in touched_cells(np.stack(vectors.to_list()), radius.to_numpy(float), k, index)])
+    return shards
+
+
+def _best_of_blocks(k: int, size: int, query_features: str, schema: pa.Schema, apart: bool):
+    """The k best train rows of every query of a block of queries and a block of train rows."""
+    def best(queries: pa.Table, train: pa.Table) -> pa.Table:
+        if not queries.num_rows or not train.num_rows:
+            return schema.empty_table()
+        ids = train["t_id"].combine_chunks()
+        place = np.empty(len(ids), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))  # ties go to the smaller id
+        asked, held = _matrix(queries[query_features], size), _matrix(train["t_features"], size)
+        middle = held.mean(axis=0)
+        if apart:
+            both = pa.chunked_array([*queries["q_apart"].chunks, *train["t_apart"].chunks]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            mine, theirs = both[:len(asked)], both[len(asked):]
+        picks, rows, gaps, ranks = [], [], [], []
+        step = max(1, PAIRS // len(held))
+        for at in range(0, len(asked), step):
+            some = asked[at:at + step]
+            near = _rough_best(some - middle, held - middle, k, mine[at:at + step, None] == theirs if apart else None)
+            q, t = np.nonzero(near)
+            gap = np.sqrt(((held[t] - some[q]) ** 2).sum(axis=1))
+            order = np.lexsort((place[t], gap, q))
+            q, t, gap = q[order], t[order], gap[order]
+            rank = np.arange(len(q)) - np.searchsorted(q, q)
+            keep = rank < k
+            picks.append(q[keep] + at), rows.append(t[keep]), gaps.append(gap[keep]), ranks.append(rank[keep] + 1)
+        picks, rows = np.concatenate(picks), np.concatenate(rows)
+        found = [queries["__q"].take(picks), train["t_id"].take(rows), pa.array(np.concatenate(gaps)), pa.array(np.concatenate(ranks))]
+        found += [train[n].take(rows) for n in train.column_names if n.startswith("c_")]
+        return pa.Table.from_arrays([c.cast(f.type) for c, f in zip(found, schema)], schema=schema)
     return best
 
 
 class Search(NamedTuple):
-    """Tables of a search: queries, one row of each distinct query with the cell it starts from, cells visited beyond it, and the best rows found."""
+    """Tables of a search: queries, one row of each distinct query with the cell it starts from, cells visited beyond it (computed when read), and the best rows found."""
     queries: DataFrame
     asked: DataFrame
     visits: DataFrame
@@ -197,40 +240,64 @@ def search(queries: DataFrame, train: DataFrame, k: int, query_id: str, train_id
     at = _home_udf(index.centres, index.pivots, index.first)(col(features))
     asked = staged(queries.groupBy(features, *classes).agg(F.min(query_id).alias("__q")).withColumn("__cell", at["cell"]))
 
-    sizes = staged(points.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / TRAIN_BLOCK).cast("int").alias("__parts")))
-    train_blocks = staged(points.join(sizes, "__cell").withColumn("__part", F.pmod(F.xxhash64(train_id), F.col("__parts")).cast("int"))
-                          .groupBy("__cell", "__part")
-                          .agg(F.collect_list(F.struct(train_id, features, *dict.fromkeys([*carry, *classes]))).alias("t")))
-
     def kind(df: DataFrame, name: str) -> str:
         return df.schema[name].dataType.simpleString()
 
-    schema = ", ".join([f"`__q` {kind(queries, query_id)}", f"train {kind(train, train_id)}", "distance double",
-                        *[f"carry_{i} {kind(train, c)}" for i, c in enumerate(carry)]])
+    names = T._parse_datatype_string(", ".join([f"`__q` {kind(queries, query_id)}", f"train {kind(train, train_id)}", "distance double", "rank int",
+                                                *[f"carry_{i} {kind(train, c)}" for i, c in enumerate(carry)]]))
     size = index.pivots.shape[1]
-
-    def meet(sent: DataFrame) -> DataFrame:
-        """The k best rows that every query finds in the cells it is sent to."""
-        arrived = sent.groupBy(F.col("__cell").alias("__c")).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("__slices"))
-        query_blocks = (sent.join(staged(arrived), F.col("__cell") == F.col("__c")).withColumn("__slice", F.pmod(F.xxhash64("__q"), F.col("__slices")))
-                        .groupBy("__cell", "__slice").agg(F.collect_list(F.struct("__q", features, *classes)).alias("q"))
-                        .join(sizes, "__cell").withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))))
-        pairs = query_blocks.join(train_blocks, ["__cell", "__part"]).select(
-            F.col("q.__q").alias("q_id"), F.flatten(F.col("q").getField(features)).alias("q_features"),
-            F.col("t").getField(train_id).alias("t_id"), F.flatten(F.col("t").getField(features)).alias("t_features"),
-            *[F.col("t").getField(c).alias(f"c_{i}") for i, c in enumerate(carry)],
-            *([F.col("q").getField(apart).alias("q_apart"), F.col("t").getField(apart).alias("t_apart")] if apart else []))
-        return keep_nearest(pairs.mapInPandas(_best_of_blocks(k, size, carry, bool(apart)), schema), "__q", "train", k)
-
-    at_home = staged(meet(asked))
-    radius = at_home.groupBy(F.col("__q").alias("__p")).agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("__radius"))
-    known = asked.join(radius, F.col("__q") == F.col("__p"), "left")
-    cells = F.explode(_touched_udf(index, k)(col(features), F.coalesce("__radius", F.lit(float("nan")))))
-    visits = staged(known.withColumn("__other", cells).where("__other <> __cell").select("__q", features, *classes, F.col("__other").alias("__cell")))
-    best = keep_nearest(at_home.unionByName(meet(visits)), "__q", "train", k)
+    best_of = _best_of_blocks(k, size, features, to_arrow_schema(names, prefers_large_types=False), bool(apart))
+    held = points.select("__cell", col(train_id).alias("t_id"), col(features).alias("t_features"), *[col(c).alias(f"c_{i}") for i, c in enumerate(carry)],
+                         *([col(apart).alias("t_apart")] if apart else []))
+    own = [col(apart).alias("q_apart")] if apart else []
+
+    def meet(sent: DataFrame, shown: DataFrame, groups: int) -> DataFrame:
+        """The k best rows that the queries of a group find among its train rows."""
+        by_group = lambda df: df.repartition(groups, "__group").groupBy("__group")
+        return by_group(sent.select("__group", "__q", features, *own)).cogroup(by_group(shown.drop("__cell"))).applyInArrow(best_of, names)
+
+    # A first look at a bounded part of the home cell gives the distance of a k-th row, where it holds k.
+    rows, width = int(index.held.sum()), shuffle_width(queries.sparkSession)
+    parts = F.get(F.lit(np.ceil(index.held / TRAIN_BLOCK).astype(int).tolist()), "__cell")
+    slices = staged(asked.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("__slices")))
+    group = lambda at: F.struct("__cell", at.alias("slice"))
+    at_home = asked.join(slices, "__cell").withColumn("__group", group(F.pmod(F.xxhash64("__q"), F.col("__slices")).cast("int")))
+    some = (held.where(F.pmod(F.xxhash64("t_id"), parts) == 0).join(slices, "__cell")
+            .withColumn("__slice", F.explode(F.sequence(F.lit(0), F.col("__slices") - 1))).withColumn("__group", group(F.col("__slice"))).drop("__slice", "__slices"))
+    radius = meet(at_home, some, width).groupBy(F.col("__q").alias("__p")).agg(F.when(F.count(F.lit(1)) == k, F.max("distance")).alias("__radius"))
+    known = staged(asked.join(radius, F.col("__q") == F.col("__p"), "left").withColumn("__radius", F.coalesce("__radius", F.lit(float("nan")))).drop("__p"))
+    touched = _touched_udf(index, k)(col(features), F.col("__radius"))
+    visits = known.withColumn("__other", F.explode(touched)).where("__other <> __cell").select("__q", F.col("__other").alias("__cell"))
+
+    # Runs of cells make shards of the train rows; a query goes to the shards that hold a cell it touches.
+    asking = known.count()
+    shards, blocks = _grid(rows, asking, 8 * size + 16, k, min(width, GRID))
+    first, last = _shards_of(index.held, shards)
+    at = lambda ends: F.get(F.lit(ends.tolist()), "__cell")
+    spread = at(first) + F.pmod(F.xxhash64("t_id"), at(last) - at(first) + 1).cast("int")
+    sent = known.withColumn("__shard", F.explode(_shards_udf(index, k, first, last)(col(features), F.col("__radius"))))
+    sent = sent.withColumn("__group", F.col("__shard") * blocks + F.pmod(F.xxhash64("__q"), F.lit(blocks)).cast("int"))
+    dealt = held.withColumn("__group", F.explode(F.sequence(spread * blocks, spread * blocks + blocks - 1)))
+    found = meet(sent, dealt, shards * blocks)
+    best = found if shards == 1 else keep_nearest(found, "__q", "train", k)
     return Search(queries, asked, visits, best, int((index.held > 0).sum()))
 
 
+def _grid(rows: int, asking: int, row_bytes: int, k: int, wanted: int) -> tuple[int, int]:
+    """Shards of the train rows and blocks of the queries: about ``wanted`` pairs of them, with the fewest bytes copied and found, none over ``BLOCK_BYTES``."""
+    even = math.sqrt(wanted * rows * row_bytes / max(1, asking * (row_bytes + 24 * k)))
+    shards = max(1, min(round(even), wanted, -(-rows // TRAIN_BLOCK)), -(-rows * row_bytes // BLOCK_BYTES))
+    return shards, max(1, min(-(-wanted // shards), -(-asking // QUERY_BLOCK)), -(-asking * row_bytes // BLOCK_BYTES))
+
+
+def _shards_of(held: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last shard of each cell: shards of even size along the order of the cells."""
+    ends = held.cumsum()
+    size = max(1.0, ends[-1] / shards)
+    first = np.minimum((ends - held) // size, shards - 1)
+    return first.astype(int), np.maximum(first, np.minimum((ends - 1) // size, shards - 1)).astype(int)
+
+
 def nearest_neighbours(queries: DataFrame, train: DataFrame, k: int, query_id: str, train_id: str,
                        features: str = "features", carry: Sequence[str] = (), apart: str | None = None) -> DataFrame:
     """Rows (query_id, train_id, carried columns, distance, rank 1..k); ties go to the smaller id.
