@@ -23,6 +23,8 @@ from limnos.session import staged
 # Rows of a partition that the classifiers are fitted to. The number of partitions follows from the rows alone, so that a seed draws the
 # same rows on every cluster.
 FIT_ROWS = 50_000
+# Rows times trees of a forest that are grown at once.
+TREE_ROWS = 400_000
 
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -147,15 +149,20 @@ def cluster_projection(df: DataFrame, columns: Sequence[str], ids: Sequence[str]
     return scaled.select(*ids, nearest_centre(F.col("__x"), centres).alias("cluster"), *[c.alias(f"PC{i + 1}") for i, c in enumerate(projected)])
 
 
-def _fit_and_predict(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, estimator) -> DataFrame:
-    def named(df: DataFrame) -> DataFrame:
-        return df.select(*ids, col(label).cast("string").alias("actual"), "features")
+def _named(df: DataFrame, ids: Sequence[str], label: str) -> DataFrame:
+    return df.select(*ids, col(label).cast("string").alias("actual"), "features")
+
+
+def _label_index(train: DataFrame):
+    return StringIndexer(inputCol="actual", outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
+
 
-    train = staged(named(train))
-    index = StringIndexer(inputCol="actual", outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="skip").fit(train)
+def _fit_and_predict(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, estimator) -> DataFrame:
+    train = staged(_named(train, ids, label))
+    index = _label_index(train)
     model = estimator.fit(fit_input(index.transform(train)))
     names = IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)
-    return names.transform(model.transform(named(test))).select(*ids, "actual", "predicted")
+    return names.transform(model.transform(_named(test, ids, label))).select(*ids, "actual", "predicted")
 
 
 def classify_linear_svc(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, columns: Sequence[str],
@@ -167,9 +174,25 @@ def classify_linear_svc(train: DataFrame, test: DataFrame, ids: Sequence[str], l
 
 def classify_random_forest(train: DataFrame, test: DataFrame, ids: Sequence[str], label: str, columns: Sequence[str],
                            trees: int = 100, depth: int = 30, seed: int = 1) -> DataFrame:
-    """Random forest; Spark limits the depth to 30."""
-    forest = RandomForestClassifier(labelCol="__label", numTrees=trees, maxDepth=depth, seed=seed)
-    return _fit_and_predict(assembled(train, columns), assembled(test, columns), ids, label, forest)
+    """Random forest; Spark limits the depth to 30.
+
+    Trees are grown ``TREE_ROWS`` rows times trees at once, and their votes added to the test rows, so that the driver never holds more of the
+    forest than that. Tasks keep the node of each row instead of being sent the trees again for every level.
+    """
+    train = staged(_named(assembled(train, columns), ids, label))
+    index = _label_index(train)
+    rows = fit_input(index.transform(train)).persist()
+    group = max(1, min(trees, TREE_ROWS // max(1, train.count())))
+    voted = _named(assembled(test, columns), ids, label).withColumn("__votes", F.array_repeat(F.lit(0.0), len(index.labels)))
+    for first in range(0, trees, group):
+        forest = RandomForestClassifier(labelCol="__label", numTrees=min(group, trees - first), maxDepth=depth, seed=seed + first, cacheNodeIds=True)
+        model = forest.fit(rows)
+        votes = vector_to_array("rawPrediction")
+        voted = staged(model.transform(voted).select(*ids, "actual", "features", F.zip_with("__votes", votes, lambda a, b: a + b).alias("__votes")))
+        del model
+    rows.unpersist()
+    winner = F.array_position("__votes", F.array_max("__votes")).cast("int")
+    return voted.select(*ids, "actual", F.element_at(F.lit(list(index.labels)), winner).alias("predicted"))
 
 
 def fourier_features(columns: Sequence[str], gamma: float, size: int, seed: int) -> Column:
