@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql.classic.dataframe import DataFrame
 
 from limnos.functions.folds import fold
 
