@@ -110,11 +110,15 @@ def _bracketed(slices: DataFrame, rest: DataFrame, keys: Sequence[str]) -> DataF
 
 
 def _undecided(least: np.ndarray, most: np.ndarray, n: np.ndarray, kinds: np.ndarray, t: float) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """Ordered pairs and distinct ordered pairs up to t in the pairs of slices that their ends decide, and for each slice the run of the others."""
+    """Ordered pairs and distinct ordered pairs up to t in the pairs of slices that their ends decide, and for each slice the run of the others.
+
+    A value that pairs with itself counts once more, so that ordered pairs, halved, are each pair once; ``_look`` adds those of the slice around t.
+    """
     whole = np.searchsorted(most, 2 * t - most, side="right")
     part = np.maximum(np.searchsorted(least, 2 * t - least, side="right"), whole)
     upto, distinct = (np.concatenate(([0], x.cumsum())) for x in (n, kinds))
-    return int((n * upto[whole]).sum()), int((kinds * distinct[whole]).sum()), whole, part
+    below = most <= 2 * t - most
+    return int((n * upto[whole]).sum() + n[below].sum()), int((kinds * distinct[whole]).sum() + kinds[below].sum()), whole, part
 
 
 def _narrowed(slices: DataFrame, rest: DataFrame, keys: Sequence[str], parts: int) -> DataFrame:
@@ -139,11 +143,7 @@ def _narrowed(slices: DataFrame, rest: DataFrame, keys: Sequence[str], parts: in
     values = lambda which: slices.select(*names, F.col("__slice").alias(which), F.col("__values.__x").alias(f"__x{which}"), F.col("__values.n_equal").alias(f"__n{which}"))
     looked = staged(pairs).join(values("a"), [*keys, "a"]).join(values("b"), [*keys, "b"]).select(*names, "a", "b", "__ts", "__xa", "__na", "__xb", "__nb")
     counted = looked.mapInArrow(_look(len(names)), _look_schema(slices, keys))
-    # A value that pairs with itself; ordered pairs and these, halved, are each pair once.
-    alone = asked.join(slices, list(keys)).select(
-        *names, "__t", F.aggregate("__values", F.struct(F.lit(0).cast("long").alias("c"), F.lit(0).cast("long").alias("d")), lambda s, v: F.when(
-            v["__x"] <= 2 * F.col("__t") - v["__x"], F.struct((s["c"] + v["n_equal"]).alias("c"), (s["d"] + 1).alias("d"))).otherwise(s)).alias("__s"))
-    ordered = decided.select(*names, "__t", "c", "d").unionByName(counted).unionByName(alone.select(*names, "__t", "__s.c", "__s.d"))
+    ordered = decided.select(*names, "__t", "c", "d").unionByName(counted)
     counts = staged(ordered.groupBy(*names, "__t").agg(F.shiftright(F.sum("c"), 1).alias("__c"), F.shiftright(F.sum("d"), 1).alias("__d")))
     tried = rest.join(counts, list(keys)).where((F.col("__t") >= F.col("low")) & (F.col("__t") <= F.col("high")))
     under, entry = F.col("__c") < F.col("place"), F.struct("__t", "__c", "__d")
@@ -158,19 +158,23 @@ def _look_schema(slices: DataFrame, keys: Sequence[str]) -> str:
 
 
 def _look(n_keys: int):
-    """Ordered pairs up to each threshold with the first value in one slice and the second in another."""
+    """Ordered pairs up to each threshold with the first value in one slice and the second in another; in one slice a value with itself counts once more."""
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, at, c, d = [], [], [], []
             for i in range(batch.num_rows):
                 ts, xa, na, xb, nb = (batch.column(n_keys + 2 + j)[i].values.to_numpy(zero_copy_only=False) for j in range(5))
                 upto = np.concatenate(([0], nb.cumsum()))
+                same = batch.column(n_keys)[i] == batch.column(n_keys + 1)[i]
                 for t in ts:
-                    below = np.searchsorted(xb, 2 * t - xa, side="right")
-                    rows.append(i), at.append(t), c.append(int((na * upto[below]).sum())), d.append(int(below.sum()))
-            kept = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[:n_keys], pa.array(at, pa.float64()), pa.array(c, pa.int64()), pa.array(d, pa.int64())],
-                                             names=[*kept.schema.names[:n_keys], "__t", "c", "d"])
+                    mirrored = 2 * t - xa
+                    below = np.searchsorted(xb, mirrored, side="right")
+                    alone = (xa <= mirrored) & same
+                    rows.append(i), at.append(t), c.append(int((na * upto[below]).sum() + na[alone].sum())), d.append(int(below.sum() + alone.sum()))
+            # The keys alone are repeated for each threshold, not the values of the slices.
+            repeated = [batch.column(j).take(pa.array(rows, pa.int64())) for j in range(n_keys)]
+            yield pa.RecordBatch.from_arrays([*repeated, pa.array(at, pa.float64()), pa.array(c, pa.int64()), pa.array(d, pa.int64())],
+                                             names=[*batch.schema.names[:n_keys], "__t", "c", "d"])
     return look
 
 
