@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 from limnos.functions.folds import moments
 from limnos.functions.nulls import col, drop_null_rows
 from limnos.operators.clusters import kmeans_fits, labels_of, mixture_fits, nearest_centre, silhouettes
+from limnos.operators.forests import feature_cuts, forest_winners
 from limnos.session import staged
 
 # Rows of a partition that the classifiers are fitted to. The number of partitions follows from the rows alone, so that a seed draws the
 # same rows on every cluster.
 FIT_ROWS = 50_000
-# Rows times trees of a forest that are grown at once.
+# Rows times trees of a forest that are grown at once, and times that the driver grows as many, before a forest is grown in tasks.
 TREE_ROWS = 400_000
+GROUPS = 4
 
 
 def assembled(df: DataFrame, columns: Sequence[str], out: str = "features") -> DataFrame:
@@ -177,22 +179,32 @@ def classify_random_forest(train: DataFrame, test: DataFrame, ids: Sequence[str]
     """Random forest; Spark limits the depth to 30.
 
     Trees are grown ``TREE_ROWS`` rows times trees at once, and their votes added to the test rows, so that the driver never holds more of the
-    forest than that. Tasks keep the node of each row instead of being sent the trees again for every level.
+    forest than that. Tasks keep the node of each row instead of being sent the trees again for every level. A forest of more than ``GROUPS``
+    such groups is grown in tasks, each tree beside the others.
     """
     train = staged(_named(assembled(train, columns), ids, label))
     index = _label_index(train)
-    rows = fit_input(index.transform(train)).persist()
-    group = max(1, min(trees, TREE_ROWS // max(1, train.count())))
-    voted = _named(assembled(test, columns), ids, label).withColumn("__votes", F.array_repeat(F.lit(0.0), len(index.labels)))
+    indexed, n, labels = index.transform(train), train.count(), F.lit(list(index.labels))
+    tested = _named(assembled(test, columns), ids, label)
+    if n * trees > GROUPS * TREE_ROWS:
+        x = vector_to_array("features").alias("__x")
+        tested = staged(tested.select(*ids, "actual", x, F.monotonically_increasing_id().alias("__row")))
+        winners = forest_winners(fit_input(indexed).select(x, "__label"), feature_cuts(indexed.select(x), len(columns)), tested, n, len(index.labels), trees, depth, seed)
+        return tested.join(winners, "__row").select(*ids, "actual", F.element_at(labels, F.col("__winner") + 1).alias("predicted"))
+    rows = fit_input(indexed).persist()
+    group = max(1, min(trees, TREE_ROWS // max(1, n)))
+    voted = tested.withColumn("__votes", F.array_repeat(F.lit(0.0), len(index.labels)))
+    # By itself Spark would give a last group of one tree all columns at each node.
+    subset = "sqrt" if trees > 1 else "auto"
     for first in range(0, trees, group):
-        forest = RandomForestClassifier(labelCol="__label", numTrees=min(group, trees - first), maxDepth=depth, seed=seed + first, cacheNodeIds=True)
+        forest = RandomForestClassifier(labelCol="__label", numTrees=min(group, trees - first), maxDepth=depth, seed=seed + first, cacheNodeIds=True, featureSubsetStrategy=subset)
         model = forest.fit(rows)
         votes = vector_to_array("rawPrediction")
         voted = staged(model.transform(voted).select(*ids, "actual", "features", F.zip_with("__votes", votes, lambda a, b: a + b).alias("__votes")))
         del model
     rows.unpersist()
     winner = F.array_position("__votes", F.array_max("__votes")).cast("int")
-    return voted.select(*ids, "actual", F.element_at(F.lit(list(index.labels)), winner).alias("predicted"))
+    return voted.select(*ids, "actual", F.element_at(labels, winner).alias("predicted"))
 
 
 def fourier_features(columns: Sequence[str], gamma: float, size: int, seed: int) -> Column:
